@@ -192,8 +192,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata: Sequence[str] = ("lang",), **fit) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns as they were."""
-    measured = written(base_columns(docs, id_col, text_col, strata), "quality-measured")
-    cutoffs = fit_cutoffs(measured, labels, id_col, strata, **fit)
-    full = _measured(docs, text_col, "__q_").withColumn("__q_base_failed", _failed("__q_"))
-    return _verdict(full, cutoffs, strata, "__q_").where("__q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that the rules keep, with their columns as they were.
+
+    Verdicts are made on the narrow measured table; the rejected rows, told apart by id, strata
+    and text hash, are then taken out of docs (null ids and texts compare as equal)."""
+    mark = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("x"), *(F.col(f"`{s}`").alias(f"s{n}") for n, s in enumerate(strata)))
+    groups = [f"s{n}" for n in range(len(strata))]
+    measured = written(base_columns(mark, "i", "t", ("x", *groups)), "quality-measured")
+    lab = labels.withColumnRenamed(id_col, "i")
+    cutoffs = fit_cutoffs(measured, lab, "i", groups, **fit)
+    named = measured.withColumnsRenamed({b: f"__q_{b}" for b in (*BASE, "base_failed")})
+    gone = _verdict(named, cutoffs, groups, "__q_").where("NOT __q_kept").select(F.col("i").alias("__i"), F.col("x").alias("__x"), *(F.col(g).alias(f"__{g}") for g in groups)).distinct()
+    gone = written(gone, "quality-rejected")
+    on = (docs[f"`{id_col}`"].eqNullSafe(gone["__i"])) & (F.xxhash64(docs[f"`{text_col}`"]) == gone["__x"])
+    for g, s in zip(groups, strata):
+        on = on & docs[f"`{s}`"].eqNullSafe(gone[f"__{g}"])
+    return docs.join(small_side(gone, gone.count()), on, "left_anti")

@@ -227,7 +227,15 @@ def removed_ranges(docs: DataFrame, size: int, k: int, words: bool, solve: Calla
             uniq = uniq[many[at] > 1]
             if len(uniq):
                 phrase, place = solve([texts[i] for i in uniq.tolist()], count[uniq], doc[uniq])
-                out.append(np.stack([doc[uniq][phrase], first[uniq][phrase] + place, first[uniq][phrase] + place]))
+                hit = uniq[phrase]
+                # What holds for a phrase holds for its repeats in the same document.
+                twin = np.flatnonzero((doc == doc[lead]) & (lead != np.arange(len(lead))))
+                order = np.argsort(hit, kind="stable")
+                lo, hi = np.searchsorted(hit[order], lead[twin]), np.searchsorted(hit[order], lead[twin], side="right")
+                of = np.repeat(twin, hi - lo)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+                entry, place = np.r_[hit, of], np.r_[place, place[order][at]]
+                out.append(np.stack([doc[entry], first[entry] + place, first[entry] + place]))
         found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         order, groups = _grouped(found[0])
         return pa.table({"id": pa.array([g[0] for g in groups], pa.int64()), "ranges": pa.array([_joined(found[1, order[a:b]], found[2, order[a:b]]) for _, a, b in groups], pa.binary())})
@@ -275,11 +283,13 @@ def _phrase_rows(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     if len(later):
         d, f, c = doc[later], first[later], count[later]
         yield _rows(d % buckets, d, lambda i: _pack(_steps(d[i]), f[i], c[i]), -1)
-    mine = np.flatnonzero(lead == np.arange(len(lead)))
+    # The first document's own repeats go along, without their text.
+    mine = np.flatnonzero(doc == doc[lead])
+    bodies = [texts[x] if own else b"" for x, own in zip(mine.tolist(), (lead[mine] == mine).tolist())]
     h, content, doc, first, count = (x[mine] for x in (h, content, doc, first, count))
 
     def pack(i: np.ndarray) -> bytes:
-        body = [texts[x] for x in mine[i].tolist()]
+        body = [bodies[x] for x in i.tolist()]
         return _pack(_steps(doc[i]), first[i], count[i], h[i], content[i], np.array([len(x) for x in body], dtype=np.int64), np.frombuffer(b"".join(body), np.uint8))
 
     yield _rows((h % np.uint64(buckets)).astype(np.int64), doc, pack, 1)

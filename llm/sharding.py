@@ -41,7 +41,7 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
     first = counts.select("shard", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     # At most BUCKETS rows per shard, whatever the input.
     out = rows.join(F.broadcast(first) if len(weights) * BUCKETS <= 1_000_000 else first, ["shard", "__b"])
-    local = F.row_number().over(Window.partitionBy("shard", "__b").orderBy(F.expr(f"`{id_col}` ASC NULLS FIRST")))
+    local = F.row_number().over(Window.partitionBy("shard", "__b").orderBy(F.col(f"`{id_col}`").asc_nulls_first()))
     return out.select(*(F.col(f"`{c}`") for c in cols), "shard", "grown_shard", (F.col("__first") + local - 1).cast("long").alias("slot"))
 
 
