@@ -192,7 +192,7 @@ def removed_ranges(docs: DataFrame, size: int, k: int, words: bool, solve: Calla
                     continue
                 keep = np.concatenate(keep)
                 doc = u.doc[keep]
-                held.append((u.h[keep], u.content[keep], part.column(0).to_numpy()[doc], u.first[keep] - u.off[doc], u.last[keep] - u.first[keep] + 1, [u.text(i) for i in keep.tolist()]))
+                held.append((u.h[keep], u.content[keep], part.column(0).fill_null(0).to_numpy(zero_copy_only=False)[doc], u.first[keep] - u.off[doc], u.last[keep] - u.first[keep] + 1, [u.text(i) for i in keep.tolist()]))
                 weight += len(keep)
                 if weight > 300_000:
                     yield from _phrase_rows(held, buckets)
