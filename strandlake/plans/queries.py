@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..operators import clustering, coverage, hmm, intervals, quality_control, reads, vcf_out
+from ..operators import clustering, coverage, hmm, intervals, quality_control, reads, reports, vcf_out
 from .fixtures import table, with_sql
 
 QUERIES: dict = {}
@@ -374,3 +374,85 @@ def normalised_score(spark, sf):
 def lr_features(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", "source").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id")
     return quality_control.lr_features(d)
+
+
+@query(
+    "!s AS (SELECT sv_type, end_pos - start_pos AS s FROM fx_calls), m AS (SELECT sv_type, s, min(s) OVER (PARTITION BY sv_type) AS lo, max(s) OVER (PARTITION BY sv_type) AS hi FROM s) SELECT sv_type, CASE WHEN hi = lo THEN 0 ELSE least(99, CAST(floor((s - lo) * 100::DOUBLE / (hi - lo)) AS INT)) END AS bin, count(*) AS n FROM m GROUP BY ALL",
+    "fx_calls",
+)
+def sv_size_hist(spark, sf):
+    return reports.size_histogram(table(spark, sf, "fx_calls").withColumn("size", F.col("end_pos") - F.col("start_pos")))
+
+
+@query(
+    "!a AS (SELECT DISTINCT chrom, start_pos FROM fx_calls WHERE sv_type = 'DEL'), b AS (SELECT DISTINCT chrom, start_pos FROM fx_calls WHERE sv_type = 'INS'), x AS (SELECT count(*) AS n FROM a SEMI JOIN b USING (chrom, start_pos)) SELECT n AS n_both, (SELECT count(*) FROM a) - n AS n_a, (SELECT count(*) FROM b) - n AS n_b FROM x",
+    "fx_calls",
+)
+def call_set_overlap(spark, sf):
+    d = table(spark, sf, "fx_calls")
+    return reports.call_set_overlap(d.where("sv_type = 'DEL'"), d.where("sv_type = 'INS'"), ["chrom", "start_pos"])
+
+
+@query(
+    _SPLIT + ", r AS (SELECT p.chrom, p.start_pos // 1000 AS g, p.qname, max(CASE WHEN (p.flag & 16) <> (s.flag & 16) THEN 1 ELSE 0 END) AS inv FROM p JOIN s ON p.qname = s.qname AND p.chrom = s.chrom GROUP BY ALL) SELECT chrom, g, avg(inv) > 0.5 AS inverted, count(*) AS n_reads FROM r GROUP BY ALL",
+    "fx_alignments",
+)
+def inversion_vote(spark, sf):
+    pairs = reads.split_pairs(table(spark, sf, "fx_alignments")).withColumn("g", F.expr("p_start_pos div 1000"))
+    return reports.inversion_vote(pairs, ["chrom", "g"])
+
+
+@query(
+    "!h AS (SELECT *, (end_pos - start_pos + 1) // 2 AS h FROM fx_calls) SELECT call_id AS region_id, 'before' AS section, greatest(1, start_pos - h) AS start_pos, greatest(1, start_pos - 1) AS end_pos FROM h UNION ALL SELECT call_id, 'sv', start_pos, end_pos FROM h UNION ALL SELECT call_id, 'after', end_pos + 1, end_pos + h FROM h",
+    "fx_calls",
+)
+def flank_regions(spark, sf):
+    return reports.flanks(table(spark, sf, "fx_calls").withColumnRenamed("call_id", "region_id"))
+
+
+_VOTED = "CASE cn_state WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'DEL' WHEN 2 THEN 'DEL' WHEN 3 THEN 'NEUTRAL' WHEN 4 THEN 'LOH' ELSE 'DUP' END"
+
+
+@query(
+    f"""!c AS (SELECT call_id, CASE sv_type WHEN 'DEL' THEN 'UNKNOWN' WHEN 'DUP' THEN 'INS' ELSE sv_type END AS sv_type, {_VOTED} AS voted FROM fx_calls)
+SELECT call_id, CASE WHEN sv_type || voted IN ('UNKNOWNDEL', 'UNKNOWNDUP', 'INSDUP') THEN voted ELSE sv_type END AS new_type, voted <> 'UNKNOWN' AND sv_type || voted NOT IN ('UNKNOWNLOH', 'UNKNOWNNEUTRAL', 'INSDEL') AS annotated, false AS added FROM c
+UNION ALL SELECT call_id, 'DEL', true, true FROM c WHERE sv_type || voted = 'INSDEL'""",
+    "fx_calls",
+)
+def split_update_ladder(spark, sf):
+    d = table(spark, sf, "fx_calls").select("call_id", F.expr("CASE sv_type WHEN 'DEL' THEN 'UNKNOWN' WHEN 'DUP' THEN 'INS' ELSE sv_type END AS sv_type"), codes.lookup("cn_state", codes.STATE_TYPE).alias("voted"))
+    return reports.split_update(d).select("call_id", "new_type", "annotated", "added")
+
+
+@query("SELECT chrom, CASE WHEN c5 >= 0.5 * n THEN 'half' ELSE 'less' END AS vote FROM (SELECT chrom, count(*) AS n, count(*) FILTER (cn_state >= 3) AS c5 FROM fx_calls GROUP BY chrom)", "fx_calls")
+def state_vote_cigar(spark, sf):
+    d = table(spark, sf, "fx_calls").groupBy("chrom").agg(F.avg(F.expr("if(cn_state >= 3, 1D, 0D)")).alias("share"))
+    return d.select("chrom", F.expr("if(share >= 0.5, 'half', 'less') AS vote"))
+
+
+@query("SELECT call_id, sv_type FROM fx_calls WHERE sv_type NOT IN ('UNKNOWN', 'NEUTRAL', 'INV')", "fx_calls")
+def valid_type_filter(spark, sf):
+    return table(spark, sf, "fx_calls").where("sv_type IN ('DEL', 'DUP', 'INS', 'BND')").select("call_id", "sv_type")
+
+
+@query("SELECT chrom, count(*) AS n FROM fx_calls GROUP BY chrom UNION ALL SELECT NULL, count(*) FROM fx_calls", "fx_calls")
+def call_totals(spark, sf):
+    return table(spark, sf, "fx_calls").rollup("chrom").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(floor(least(9, n_chars // 1000)) AS INT) AS bin, label, count(*) AS n FROM (SELECT d.n_chars, l.quality AS label FROM documents d JOIN labels l USING (doc_id)) GROUP BY ALL")
+def lr_score_hist(spark, sf):
+    d = lr_features(spark, sf).select(F.expr("cast(least(9, cast(sv_length AS bigint) div 1000) AS int) AS bin"), "label")
+    return d.groupBy("bin", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def lr_train_score(spark, sf):
+    """Logistic regression (L2, unscaled) on the features: doc_id, label and probability."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    d = VectorAssembler(inputCols=["code", "sv_length"], outputCol="features").transform(lr_features(spark, sf))
+    model = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(1, d.count()), elasticNetParam=0.0, standardization=False).fit(d)
+    return model.transform(d).select("doc_id", "label", vector_to_array("probability")[1].alias("probability"))
