@@ -456,3 +456,11 @@ def lr_train_score(spark, sf):
     d = VectorAssembler(inputCols=["code", "sv_length"], outputCol="features").transform(lr_features(spark, sf))
     model = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(1, d.count()), elasticNetParam=0.0, standardization=False).fit(d)
     return model.transform(d).select("doc_id", "label", vector_to_array("probability")[1].alias("probability"))
+
+
+@query()
+def cigar_call_set(spark, sf):
+    """CIGAR candidates through clustering and merging to one call per cluster."""
+    from .calling import CallerParams, cigar_calls
+
+    return cigar_calls(table(spark, sf, "fx_alignments"), CallerParams(min_points=2))

@@ -80,3 +80,35 @@ def test_vcf_insertion_and_lines(spark):
     rows = vcf_out.format_rows(d)
     assert [(r.POS, r.REF, r.ALT) for r in rows.collect()] == [(9, "N", "RACG")]
     assert vcf_out.lines(rows).first().value.count("\t") == 9
+
+
+def test_dbscan_intervals_core_components(spark):
+    r = random.Random(9)
+    rows = [(i, "c", a, a + r.choice((100, 104, 110, 300))) for i, a in enumerate(r.randrange(1, 900) for _ in range(120))]
+    d = spark.createDataFrame(rows, "call_id long, chrom string, start_pos long, end_pos long")
+    got = {x.call_id: (x.island, x.cluster) for x in clustering.dbscan_intervals(d, "call_id", ["chrom"], 0.1, 3).collect()}
+
+    def near(x, y):
+        over = max(0, min(x[3], y[3]) - max(x[2], y[2]))
+        return 1 - min(over / (x[3] - x[2]), over / (y[3] - y[2])) <= 0.1
+
+    around = {x[0]: [y for y in rows if near(x, y)] for x in rows}
+    core = [x for x in rows if len(around[x[0]]) >= 3]
+    for x in core:
+        assert got[x[0]][1] >= 0
+        assert all(got[y[0]] == got[x[0]] for y in around[x[0]] if y in core)
+    for x in rows:
+        if not any(y in core for y in around[x[0]]):
+            assert got[x[0]][1] == -2
+
+
+def test_calling_plan(spark):
+    from strandlake.plans.calling import CallerParams, cigar_calls, vcf_rows
+
+    a = spark.createDataFrame([("c", f"r{i}", 0, 60, 100 + i % 2, 500, "100M60D200M") for i in range(6)], "chrom string, qname string, flag int, mapq int, start_pos long, end_pos long, cigar string")
+    calls = cigar_calls(a, CallerParams(min_points=2)).collect()
+    assert [(x.sv_type, x.cluster_size) for x in calls] == [("DEL", 2)]
+    gaps = spark.createDataFrame([("c", 150, 260)], "chrom string, start_pos long, end_pos long")
+    contigs = spark.createDataFrame([("c", "ACGT" * 200)], "chrom string, sequence string")
+    row = vcf_rows(cigar_calls(a, CallerParams(min_points=2)), a, gaps, contigs).first()
+    assert row.FILTER == "AssemblyGap" and row.REF[0] == row.ALT and "SVLEN=-60" in row.INFO
