@@ -210,10 +210,13 @@ def removed_ranges(docs: DataFrame, size: int, k: int, words: bool, solve: Calla
             if count < 0:  # ranges that a batch has found
                 done.append(np.stack([doc, rest[0], rest[0] + rest[1] - 1]))
                 continue
-            for c, x in zip(cols, (np.frombuffer(raw, np.uint64, n, 24 * n), np.frombuffer(raw, np.uint64, n, 32 * n), doc, *rest)):
+            lens = np.frombuffer(raw, np.int64, n, 32 * n)
+            body = np.frombuffer(raw, np.uint8, offset=40 * n)
+            ends = np.cumsum(lens)
+            content = tb.span_hash(tb.prefix_hash(tb.byte_values(body)), ends - lens, ends)
+            for c, x in zip(cols, (np.frombuffer(raw, np.uint64, n, 24 * n), content, doc, *rest)):
                 c.append(x)
-            lens = np.frombuffer(raw, np.int64, n, 40 * n)
-            ends = np.cumsum(lens) + 48 * n
+            ends += 40 * n
             texts += [raw[e - m : e] for e, m in zip(ends.tolist(), lens.tolist())]
         out = [*done]
         if texts:
@@ -243,7 +246,8 @@ def removed_ranges(docs: DataFrame, size: int, k: int, words: bool, solve: Calla
     packed = "bucket long, n long, payload binary"
     by_id = src.repartition(n, "id")
     have = src.where("id IS NOT NULL").mapInArrow(triggers, packed).groupBy("bucket").applyInArrow(shared, "id long, hashes binary").repartition(n, "id").groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
-    sent = by_id.join(have, "id").select("id", "text", "hashes").mapInArrow(phrases, packed)
+    # A left join here too: an inner one would add a filter below the exchange, and Spark could not use it twice.
+    sent = by_id.join(have, "id", "left").select("id", "text", "hashes").mapInArrow(phrases, packed)
     back = sent.groupBy("bucket").applyInArrow(solved, "id long, ranges binary").repartition(n, "id").groupBy("id").agg(F.collect_list("ranges").alias("ranges"))
     # An id with different texts is ambiguous: such rows stay whole, though they count as earlier documents.
     twice = src.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("n > 1 AND a <> b").select("id")
@@ -283,14 +287,12 @@ def _phrase_rows(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     if len(later):
         d, f, c = doc[later], first[later], count[later]
         yield _rows(d % buckets, d, lambda i: _pack(_steps(d[i]), f[i], c[i]), -1)
-    # The first document's own repeats go along, without their text.
-    mine = np.flatnonzero(doc == doc[lead])
-    bodies = [texts[x] if own else b"" for x, own in zip(mine.tolist(), (lead[mine] == mine).tolist())]
-    h, content, doc, first, count = (x[mine] for x in (h, content, doc, first, count))
+    mine = np.flatnonzero(doc == doc[lead])  # the first document's own repeats go along
+    h, doc, first, count = (x[mine] for x in (h, doc, first, count))
 
     def pack(i: np.ndarray) -> bytes:
-        body = [bodies[x] for x in i.tolist()]
-        return _pack(_steps(doc[i]), first[i], count[i], h[i], content[i], np.array([len(x) for x in body], dtype=np.int64), np.frombuffer(b"".join(body), np.uint8))
+        body = [texts[x] for x in mine[i].tolist()]
+        return _pack(_steps(doc[i]), first[i], count[i], h[i], np.array([len(x) for x in body], dtype=np.int64), np.frombuffer(b"".join(body), np.uint8))
 
     yield _rows((h % np.uint64(buckets)).astype(np.int64), doc, pack, 1)
 
