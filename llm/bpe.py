@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pretokens import PieceCache, text_slices
+from .pretokens import PieceCache, packed, text_slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -78,20 +78,20 @@ def _encoder(model: bytes, pattern: str) -> PieceCache:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         split, table = regex.compile(pattern).findall, dict(enumerate(byte_characters()))
-        known = PieceCache(lambda tokens: sp.encode([t.encode().decode("latin-1").translate(table) for t in tokens], num_threads=1))
+        known = PieceCache(lambda tokens: [packed(x) for x in sp.encode([t.encode().decode("latin-1").translate(table) for t in tokens], num_threads=1)])
 
-        def encode(texts: list[str]) -> list[list[int]]:
+        def encode(texts: list[str]) -> list[bytes]:
             cut = [split(t) for t in texts]
             need = list(set().union(*cut)) if cut else []
             ids = dict(zip(need, _pre_tokens(known, need)))
-            return [sum((ids[t] for t in c), []) if len(c) < 50 else [i for t in c for i in ids[t]] for c in cut]
+            return [b"".join([ids[t] for t in c]) for c in cut]
 
         _WORKER.clear()
         _WORKER[key] = PieceCache(encode)
     return _WORKER[key]
 
 
-def _pre_tokens(cache: PieceCache, tokens: list[str]) -> list[list[int]]:
+def _pre_tokens(cache: PieceCache, tokens: list[str]) -> list[bytes]:
     if len(cache.young) > cache.limit:
         cache.old, cache.young = cache.young, {}
     missing = [t for t in tokens if t not in cache.young and t not in cache.old]
@@ -105,8 +105,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Null and empty texts have no tokens; repeated rows are encoded each; a very long text is
     split at safe places, so it needs no more than its own ids in memory.  The model (under 2 MB,
     fixed by the vocabulary) travels with the task; only `id`, `keep` and `text` are read."""
-    import numpy as np
-
     model = sentencepiece_model(load_ranks(ranks_path))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = list(dict.fromkeys((id_col, *keep)))
@@ -116,9 +114,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         enc = _encoder(sent.value, pattern)
         for batch in batches:
             for part, texts in text_slices(batch, text_col):
-                ids = [np.array(x, dtype="<u4") for x in enc.encode_texts(texts)]
+                ids = list(enc.encode_texts(texts))
                 cols = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=[*names, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*names, "n_tokens", "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*(f"`{c}`" for c in names)).schema)
     return src.mapInArrow(run, f"{fields}, n_tokens long, ids binary")

@@ -152,7 +152,7 @@ def _run(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
-        count = lambda texts: [len(x) for x in enc.encode_texts(texts)]
+        count = lambda texts: [len(x) // 4 for x in enc.encode_texts(texts)]
         ints = pa.list_(pa.int32())
         for batch in batches:
             for part in slices(batch, text_col):

@@ -8,6 +8,7 @@ there; everything between two cuts is one piece, and equal pieces have equal ids
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,16 +36,21 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def packed(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit integers, a fifth of the memory of a list."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceCache:
-    """ids of pieces; at most about 2 * limit entries, the less used half is forgotten first."""
+    """Packed ids of pieces; at most about 2 * limit entries, the less used half is forgotten first."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 200_000):
         self.encode, self.limit = encode, limit
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def encode_texts(self, texts: list[str]) -> Iterator[list[int]]:
-        """ids of each whole text, in order."""
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each whole text, in order."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
@@ -59,13 +65,10 @@ class PieceCache:
                 young[p] = ids
         young.update(zip(missing, self.encode([f" {p}" for p in missing])))
         for parts, first in zip(split, self.encode([p[0] for p in split])):
-            ids = list(first)
-            for p in parts[1:]:
-                ids += young[p]
-            yield ids
+            yield first + b"".join([young[p] for p in parts[1:]])
 
 
-def text_slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Row ranges of a batch of up to `most` bytes of text (one row at least), with the texts; null is empty."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)

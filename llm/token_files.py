@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import work_dir, written
 from .files import open_fs
-from .pretokens import PieceCache, text_slices
+from .pretokens import PieceCache, packed, text_slices
 from .textblocks import mix64
 
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("length", "<i8")])
@@ -38,7 +38,7 @@ def _tokenizer(blob: str) -> PieceCache:
         t = Tokenizer.from_str(blob)
         t.encode_special_tokens = True
         _WORKER.clear()
-        _WORKER[key] = PieceCache(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        _WORKER[key] = PieceCache(lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)])
     return _WORKER[key]
 
 
@@ -73,8 +73,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
                     sink = system.open_output_stream(p)
                 offsets, lengths, same = [], [], []
                 for key, ids in zip(part.column(0).to_pylist(), enc.encode_texts(texts)):
-                    ids.append(end_id)
-                    sink.write(np.array(ids, dtype=width).tobytes())
+                    ids = np.frombuffer(ids + packed([end_id]), "<u4")
+                    sink.write(ids.astype(width).tobytes())
                     offsets.append(at)
                     lengths.append(len(ids))
                     at += len(ids)
