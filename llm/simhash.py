@@ -210,10 +210,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = joined.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     label = written(label, "simhash-labels")
     return prints.join(label, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs without the rows whose id is not the smallest of its component (rows with a null id stay)."""
-    found = near_duplicates(docs, id_col, text_col, shingle).where(f"`{id_col}` <> component_id").select(F.col(f"`{id_col}`").alias("__gone")).distinct()
-    found = written(found, "simhash-gone")
-    return docs.join(found, docs[f"`{id_col}`"] == found["__gone"], "left_anti")

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from llm import bpe, components, counts, decontaminate, quality, queries, repeats, sharding, simhash, suffix_array, suffix_tree, token_files, warc
+from llm import bpe, components, counts, decontaminate, jaccard, quality, queries, repeats, sharding, simhash, suffix_array, suffix_tree, token_files, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, kept string, id string, ids string"
 SF = "/root/testdata/sf0.001"
@@ -147,6 +147,53 @@ def test_simhash_rows(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shingles(t, n=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def brute_near_first(rows):
+    """Ids (of id, text) that are the smallest of their component of links of similarity 0.8 or more."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or (min(len(x), len(y)) * 5 >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {i for i in sets if find(i) == i}
+
+
+@pytest.mark.parametrize("short_run", [64, 4])
+def test_near_copies_of_similarity(spark, docs, short_run, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT_RUN", short_run)
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = r.choices(vocabulary, k=60)
+    rows = [(x.doc_id, x.text) for x in docs.collect() if x.doc_id is not None]
+    for group in range(60):
+        base = r.choices(vocabulary, k=r.choice((60, 120, 300)))
+        base = base + passage if group % 3 == 0 else base
+        for _ in range(r.choice((1, 2, 3))):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.choice((0, 1, 2, 3))):
+                w[at] = r.choice(vocabulary)
+            rows.append((1000 + len(rows), " ".join(w)))
+    many = r.choices(vocabulary, k=100)
+    for i in range(100):
+        rows.append((5000 + i, " ".join([*many[:i], "changed", *many[i + 1 :]])))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id for x in jaccard.keep_first(d).collect()}
+    assert got == brute_near_first(rows)
+    assert jaccard.keep_first(d.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def tiktoken_ids():
     import tiktoken
