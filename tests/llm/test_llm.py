@@ -318,3 +318,47 @@ def test_pipeline(spark):
     assert rows and {r.doc_id for r in rows} <= set(docs)
     assert {(r.doc_id, r.text) for r in rows} == {(r.doc_id, r.text) for r in left.collect()}
     assert all(zlib.crc32(r.ids) is not None and r.n_tokens * 4 == len(r.ids) for r in rows)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, tiktoken_ids):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    vocabulary = [f"{a}{b}" for a in ("Lo", "mi", "ra", "sen", "tu", "vel") for b in ("na", "ko", "dis", "pe", "ru", "tam", "go")] + [f"n{i}" for i in range(400)]
+    say = lambda n: r.choices(vocabulary, k=n)
+    item, passage = say(16), say(30)
+    texts = [say(n) for n in (20, 49, 60, 90, 150, 150, 200)]
+    texts += [[*say(40), *passage, *say(40)], [*say(60), *passage], [*say(20), *item, *say(60)], [*say(9), *item[:13], *say(400)], say(3) * 40]
+    for base, changes in ((4, 1), (4, 2), (5, 3), (6, 5), (6, 0)):
+        w = list(texts[base])
+        for at in r.sample(range(0, len(w), 6), changes):
+            w[at] = "changed"
+        texts.append(w)
+    rows = [(7 * i + 1, " ".join(w), "en" if i % 3 else "de", "s", len(" ".join(w))) for i, w in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, *_ in rows[::2]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", " ".join(item))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def good(t):
+        w = t.split()
+        tri = list(zip(w, w[1:], w[2:]))
+        return len(w) >= 50 and 2 * len({i + d for i, x in enumerate(tri) if tri.count(x) > 1 for d in range(3)}) <= len(w)
+
+    def clean(t):
+        w, b = t.lower().split(), [x.lower() for x in item]
+        grams = {tuple(b[i : i + 13]) for i in range(len(b) - 12)}
+        hit = {i + d for i in range(len(w) - 12) if tuple(w[i : i + 13]) in grams for d in range(13)}
+        return not hit or 20 * len(hit) < len(w)
+
+    left = [(i, t) for i, t, *_ in rows if good(t)]
+    first = brute_near_first(left)
+    left = [(i, t) for i, t in left if i in first]
+    cut = brute_repeats([(i, t.encode()) for i, t in left], 50)
+    assert len(rows) > len(first) and any(n for _, n in cut.values())
+    want = {i: t for i, t in ((i, bytes(cut[i][0]).decode()) for i, _ in left) if clean(t)}
+    assert len(want) < len(left)
+    got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i: (x.text, x.n_chars) for i, x in got.items()} == {i: (t, len(t)) for i, t in want.items()}
+    for x in got.values():
+        assert np.frombuffer(x.ids, "<u4").tolist() == tiktoken_ids(x.text)
+        assert x.decoded_sha256 == hashlib.sha256(x.text.encode()).hexdigest()
