@@ -17,8 +17,8 @@ FIXTURES = {
     "fx_calls": """SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey AS call_id, 'chr' || CAST(1 + l_suppkey % 5 AS VARCHAR(20)) AS chrom, l_partkey * 7 + l_orderkey % 13 AS start_pos,
   l_partkey * 7 + l_orderkey % 13 + 50 + CAST(l_quantity AS BIGINT) * 4 AS end_pos, CASE l_linenumber % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'DUP' WHEN 2 THEN 'INV' ELSE 'INS' END AS sv_type,
   CASE WHEN l_tax > 0.065 THEN -floor(l_extendedprice) / 100 ELSE 0.0 END AS hmm_lh, CAST(l_quantity AS INTEGER) AS cluster_size, CAST(l_partkey % 7 AS INTEGER) AS cn_state
-  FROM lineitem WHERE l_orderkey % 6 = 0""",
-    "fx_gaps": "SELECT 'chr' || CAST(1 + p_size % 5 AS VARCHAR(20)) AS chrom, p_partkey * 7 AS start_pos, p_partkey * 7 + p_size * 10 AS end_pos FROM part WHERE p_partkey % 50 = 0",
+  FROM lineitem""",
+    "fx_gaps": "SELECT 'chr' || CAST(1 + p_size % 5 AS VARCHAR(20)) AS chrom, p_partkey * 7 AS start_pos, p_partkey * 7 + p_size * 10 AS end_pos FROM part",
     "fx_snps": """SELECT 'chr' || CAST(1 + o_custkey % 5 AS VARCHAR(20)) AS chrom, 1 + o_orderkey * 5 AS pos, CAST(floor(o_totalprice) AS BIGINT) % 100 AS qual, o_custkey % 60 AS dp,
   o_orderkey % 23 AS ad_ref, o_custkey % 19 AS ad_alt, CASE WHEN o_orderstatus = 'P' THEN 'LowQual' ELSE 'PASS' END AS flt FROM orders""",
     "fx_pfb": "SELECT 'chr' || CAST(1 + c_nationkey % 5 AS VARCHAR(20)) AS chrom, 1 + c_custkey * 50 AS pos, floor((c_acctbal + 1000) / 11000 * 10000) / 10000 AS af FROM customer",

@@ -153,7 +153,7 @@ def window_snp_range_join(spark, sf):
     calls = table(spark, sf, "fx_calls")
     snps = table(spark, sf, "fx_snps").select("chrom", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"), F.monotonically_increasing_id().alias("snp"))
     hit = intervals.overlap_pairs(calls, snps.withColumnRenamed("snp", "call_id"), "call_id", 1024).groupBy(F.col("a_id").alias("call_id")).agg(F.count(F.lit(1)).alias("n"))
-    return calls.select("call_id").join(hit, "call_id", "left").select("call_id", F.coalesce("n", F.lit(0)).alias("n_snps"))
+    return calls.select("call_id").distinct().join(hit, "call_id", "left").select("call_id", F.coalesce("n", F.lit(0)).alias("n_snps"))
 
 
 _PAIR = "1 - least((least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) / (a.end_pos - a.start_pos)::DOUBLE, (least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) / (b.end_pos - b.start_pos)::DOUBLE) <= 0.1"
@@ -166,7 +166,10 @@ def reciprocal_overlap_pairs(spark, sf):
 
 @query(f"SELECT a.chrom, a.sv_type, a.call_id, count(*) AS n FROM fx_calls a JOIN fx_calls b ON a.chrom = b.chrom AND a.sv_type = b.sv_type AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos AND {_PAIR} GROUP BY ALL HAVING count(*) >= 3", "fx_calls")
 def dbscan2d_core_calls(spark, sf):
-    return clustering.core_intervals(table(spark, sf, "fx_calls"), "call_id", ["chrom", "sv_type"], 0.1, 3)[0].select("chrom", "sv_type", "call_id", "n")
+    # An id may stand for several calls; neighbours are counted by row and summed by id.
+    calls = table(spark, sf, "fx_calls").withColumn("row", F.monotonically_increasing_id())
+    n = clustering.core_intervals(calls, "row", ["chrom", "sv_type"], 0.1, 1)[0].join(calls.select("row", "call_id"), "row")
+    return n.groupBy("chrom", "sv_type", "call_id").agg(F.sum("n").alias("n")).where("n >= 3")
 
 
 @query()

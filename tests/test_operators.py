@@ -112,3 +112,11 @@ def test_calling_plan(spark):
     contigs = spark.createDataFrame([("c", "ACGT" * 200)], "chrom string, sequence string")
     row = vcf_rows(cigar_calls(a, CallerParams(min_points=2)), a, gaps, contigs).first()
     assert row.FILTER == "AssemblyGap" and row.REF[0] == row.ALT and "SVLEN=-60" in row.INFO
+
+
+def test_calls_and_gaps_are_whole_tables(spark):
+    from strandlake.plans.fixtures import table
+
+    sf = "/root/testdata/sf0.001"
+    for name, source in (("fx_calls", "lineitem"), ("fx_gaps", "part")):
+        assert table(spark, sf, name).count() == spark.read.parquet(f"{sf}/{source}.parquet").count()
