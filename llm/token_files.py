@@ -27,6 +27,21 @@ SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("
 _WORKER: dict = {}
 
 
+class _WholeOrPieces(PieceCache):
+    """Texts that hold an added token are encoded whole, as a cut at a space may change the ids around it."""
+
+    def __init__(self, encode, added: list[str]):
+        super().__init__(encode)
+        self.added = added
+
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        whole = [any(a in t for a in self.added) for t in texts]
+        apart = iter(self.encode([t for t, w in zip(texts, whole) if w]))
+        pieces = super().encode_texts([t for t, w in zip(texts, whole) if not w])
+        for w in whole:
+            yield next(apart if w else pieces)
+
+
 def _tokenizer(blob: str) -> PieceCache:
     key = hash(blob)
     if key not in _WORKER:
@@ -36,9 +51,8 @@ def _tokenizer(blob: str) -> PieceCache:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(blob)
-        t.encode_special_tokens = True
         _WORKER.clear()
-        _WORKER[key] = PieceCache(lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        _WORKER[key] = _WholeOrPieces(lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)], [x.content for x in t.get_added_tokens_decoder().values()])
     return _WORKER[key]
 
 

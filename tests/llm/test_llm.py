@@ -258,6 +258,19 @@ def test_token_files(docs, tiktoken_ids):
     assert token_files.lookup(empty.select("id", "occurrence"), token_files.build_index(empty)).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.TOKENIZER)
+    texts = ["a b<|endoftext|> c", "a   <|endoftext|>   b", "<|endoftext|>", "<|endoftext| >", "plain  text "]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    manifest = token_files.write_shards(d, queries.TOKENIZER)
+    found = token_files.lookup(manifest.select("id", "occurrence"), token_files.build_index(manifest))
+    got = {x.id: np.frombuffer(x.ids, "<u4").tolist() for x in token_files.read_ids(found, token_files.shard_table(manifest), 2).collect()}
+    assert got == {i: [*whole.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def test_perfect_hash():
     r = np.random.default_rng(3)
     h1, h2 = (r.integers(0, 1 << 63, 5000).astype(np.uint64) for _ in range(2))
