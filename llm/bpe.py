@@ -12,10 +12,11 @@ import base64
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pretokens import PieceCache, packed, text_slices
+from .pretokens import PieceEncoder, binary_column, packed, text_slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,36 +70,20 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 _WORKER: dict = {}
 
 
-def _encoder(model: bytes, pattern: str) -> PieceCache:
-    """One encoder and cache for a Python worker, kept between its tasks."""
+def _encoder(model: bytes, pattern: str) -> PieceEncoder:
+    """One encoder and its caches for a Python worker, kept between its tasks."""
     key = (hash(model), pattern)
     if key not in _WORKER:
         import regex
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        split, table = regex.compile(pattern).findall, dict(enumerate(byte_characters()))
-        known = PieceCache(lambda tokens: [packed(x) for x in sp.encode([t.encode().decode("latin-1").translate(table) for t in tokens], num_threads=1)])
-
-        def encode(texts: list[str]) -> list[bytes]:
-            cut = [split(t) for t in texts]
-            need = list(set().union(*cut)) if cut else []
-            ids = dict(zip(need, _pre_tokens(known, need)))
-            return [b"".join([ids[t] for t in c]) for c in cut]
-
+        table = dict(enumerate(byte_characters()))
         _WORKER.clear()
-        _WORKER[key] = PieceCache(encode)
+        _WORKER[key] = PieceEncoder(regex.compile(pattern).findall, lambda tokens: [packed(x) for x in sp.encode([t.encode().decode("latin-1").translate(table) for t in tokens], num_threads=1)])
     return _WORKER[key]
 
 
-def _pre_tokens(cache: PieceCache, tokens: list[str]) -> list[bytes]:
-    if len(cache.young) > cache.limit:
-        cache.old, cache.young = cache.young, {}
-    missing = [t for t in tokens if t not in cache.young and t not in cache.old]
-    cache.young.update(zip(missing, cache.encode(missing)))
-    return [cache.young[t] if t in cache.young else cache.old[t] for t in tokens]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns id, `keep`, n_tokens long, ids binary (little-endian unsigned 32-bit), one row per input row.
 
@@ -114,18 +99,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         enc = _encoder(sent.value, pattern)
         for batch in batches:
             for part, texts in text_slices(batch, text_col):
-                ids = list(enc.encode_texts(texts))
+                ids, off = enc.encode_column(texts)
                 cols = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*names, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(off), pa.int64()), binary_column(ids, off)], names=[*(f"_{i}" for i in range(len(names))), "n_tokens", "ids"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*(f"`{c}`" for c in names)).schema)
-    return src.mapInArrow(run, f"{fields}, n_tokens long, ids binary")
+    # Inside, kept columns go by their place, so that they may be called n_tokens or ids; of equal names the kept one comes first.
+    fields = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(src.select(*(f"`{c}`" for c in names)).schema))
+    return src.mapInArrow(run, f"{fields}, n_tokens long, ids binary").toDF(*names, "n_tokens", "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """encoded plus decoded binary: the bytes of the ids, by the inverse of the byte mapping; null ids give null."""
-    import numpy as np
-
     sent = encoded.sparkSession.sparkContext.broadcast(sentencepiece_model(load_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

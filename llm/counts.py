@@ -7,7 +7,7 @@ join across a leaf's edge, and updates the sums above them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,11 @@ from .decontaminate import slices
 from .pretokens import pieces
 
 LEAF = 64
+#: Bytes of text that a worker handles at once (one row at least).
+SLICE = 1 << 20
 _EDITS = "array<struct<start:long,stop:long,text:string>>"
-_TREE = "leaf_chars array<int>, tree array<int>"
+_TREE, _COUNTS = "leaf_chars array<int>, tree array<int>", "n_edits long, n_before long, n_tokens long, n_reencoded long"
+_INTS = pa.list_(pa.int32())
 
 
 def leaves_of(text: str, leaf: int = LEAF) -> list[str]:
@@ -133,8 +136,18 @@ def edit(text: str, chars: list[int], tree: list[int], edits: list, count) -> tu
 
 
 def build_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, text, `keep`, leaf_chars array<int> and tree array<int> per row; null and empty texts have no leaves."""
-    return _run(docs, ranks_path, pattern, id_col, text_col, keep, None)
+    """id, text, `keep`, leaf_chars array<int> and tree array<int> per row; null and empty texts have no leaves.
+
+    Kept columns may not be called leaf_chars or tree."""
+    names = list(dict.fromkeys((id_col, text_col, *keep)))
+    src = docs.select(*(f"`{c}`" for c in names))
+
+    def rows(part: pa.RecordBatch, count: Callable) -> pa.RecordBatch:
+        texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+        chars, trees = _built(texts, count)
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(chars, _INTS), pa.array(trees, _INTS)], names=[*names, "leaf_chars", "tree"])
+
+    return _run(src, ranks_path, pattern, text_col, rows, f"{_fields(src)}, {_TREE}")
 
 
 def apply_edits(trees: DataFrame, ranks_path: str, pattern: str, edits: str = "edits", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,64 +155,71 @@ def apply_edits(trees: DataFrame, ranks_path: str, pattern: str, edits: str = "e
     n_edits, n_before, n_tokens and n_reencoded (characters that were encoded again).
 
     Null or empty edits change nothing; edits of a null text are ignored."""
-    return _run(trees, ranks_path, pattern, id_col, text_col, (), edits)
+    src = trees.select(f"`{id_col}`", f"`{text_col}`", "leaf_chars", "tree", F.col(f"`{edits}`").cast(_EDITS).alias("edits"))
 
+    def rows(part: pa.RecordBatch, count: Callable) -> pa.RecordBatch:
+        texts, chars, tree, todo = (c.to_pylist() for c in part.columns[1:])
+        return _edited(part.column(0), texts, chars, tree, todo, count, (id_col, text_col))
 
-def _run(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, keep: tuple[str, ...], edits: str | None) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(sentencepiece_model(load_ranks(ranks_path)))
-    names = list(dict.fromkeys((id_col, text_col, *keep)))
-    src = df.select(*(f"`{c}`" for c in names), *(["leaf_chars", "tree", F.col(f"`{edits}`").cast(_EDITS).alias("edits")] if edits else []))
+    return _run(src, ranks_path, pattern, text_col, rows, f"{_fields(src.select(src[0], src[1]))}, {_TREE}, {_COUNTS}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(sent.value, pattern)
-        count = lambda texts: [len(x) // 4 for x in enc.encode_texts(texts)]
-        ints = pa.list_(pa.int32())
-        for batch in batches:
-            for part in slices(batch, text_col):
-                get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
-                texts = get(text_col).to_pylist()
-                if edits is None:
-                    leaves = [leaves_of(t or "") for t in texts]
-                    counts = iter(count([x for y in leaves for x in y]))
-                    trees = [build([next(counts) for _ in y]) for y in leaves]
-                    cols = [*(get(c) for c in names), pa.array([[len(x) for x in y] for y in leaves], ints), pa.array(trees, ints)]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*names, "leaf_chars", "tree"])
-                    continue
-                rows = []
-                for t, chars, tree, todo in zip(texts, get("leaf_chars").to_pylist(), get("tree").to_pylist(), get("edits").to_pylist()):
-                    before = total(tree)
-                    if t is None or not todo:
-                        rows.append((t, chars, tree, 0, before, before, 0))
-                    else:
-                        t, chars, after, done = edit(t, chars, tree, todo, count)
-                        rows.append((t, chars, after, len(todo), before, total(after), done))
-                out = list(zip(*rows))
-                kinds = (pa.string(), ints, ints, *[pa.int64()] * 4)
-                yield pa.RecordBatch.from_arrays([get(id_col), *(pa.array(c, k) for c, k in zip(out, kinds))], names=[id_col, text_col, "leaf_chars", "tree", "n_edits", "n_before", "n_tokens", "n_reencoded"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in ((id_col, text_col) if edits else names)]
-    more = _TREE + (", n_edits long, n_before long, n_tokens long, n_reencoded long" if edits else "")
-    return src.mapInArrow(run, f"{', '.join(fields)}, {more}")
-
-
-def repeated_line_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and edits: one that deletes each non-empty line equal to an earlier line, with the break before it."""
+
+def recount(docs: DataFrame, ranks_path: str, pattern: str, edits_of: Callable[[str], list[dict]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """build_trees and apply_edits in one pass, with edits that a function derives from the text: columns as of apply_edits.
+
+    Trees are built once per row and updated by its edits, so a text is held once by one worker."""
     src = docs.select(f"`{id_col}`", f"`{text_col}`")
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())]))
+
+    def rows(part: pa.RecordBatch, count: Callable) -> pa.RecordBatch:
+        texts = part.column(1).to_pylist()
+        return _edited(part.column(0), texts, *_built(texts, count), [edits_of(t) if t else [] for t in texts], count, (id_col, text_col))
+
+    return _run(src, ranks_path, pattern, text_col, rows, f"{_fields(src)}, {_TREE}, {_COUNTS}")
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _built(texts: list, count: Callable) -> tuple[list, list]:
+    leaves = [leaves_of(t or "") for t in texts]
+    counts = iter(count([x for y in leaves for x in y]))
+    return [[len(x) for x in y] for y in leaves], [build([next(counts) for _ in y]) for y in leaves]
+
+
+def _edited(ids: pa.Array, texts: list, chars: list, trees: list, edits: list, count: Callable, names: tuple[str, str]) -> pa.RecordBatch:
+    rows = []
+    for t, sizes, tree, todo in zip(texts, chars, trees, edits):
+        before = total(tree)
+        if t is None or not todo:
+            rows.append((t, sizes, tree, 0, before, before, 0))
+        else:
+            t, sizes, after, done = edit(t, sizes, tree, todo, count)
+            rows.append((t, sizes, after, len(todo), before, total(after), done))
+    out = list(zip(*rows)) or [[]] * 7
+    kinds = (pa.string(), _INTS, _INTS, *[pa.int64()] * 4)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(out, kinds))], names=[*names, "leaf_chars", "tree", "n_edits", "n_before", "n_tokens", "n_reencoded"])
+
+
+def _run(src: DataFrame, ranks_path: str, pattern: str, text_col: str, rows: Callable, fields: str) -> DataFrame:
+    """One worker a task: it holds one encoder, and a slice of texts at a time."""
+    sent = src.sparkSession.sparkContext.broadcast(sentencepiece_model(load_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(sent.value, pattern)
         for batch in batches:
-            for part in slices(batch, text_col):
-                out = []
-                for t in part.column(1).to_pylist():
-                    seen, at, found = set(), 0, []
-                    for line in (t or "").split("\n"):
-                        if line and line in seen:
-                            found.append({"start": at - 1, "stop": at + len(line), "text": ""})
-                        seen.add(line)
-                        at += len(line) + 1
-                    out.append(found)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], names=[id_col, text_col, "edits"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
-    return src.mapInArrow(run, f"{fields}, edits {_EDITS}")
+            for part in slices(batch, text_col, SLICE):
+                yield rows(part, lambda texts: [len(x) // 4 for x in enc.encode_texts(texts)])
+
+    return src.mapInArrow(run, fields)
+
+
+def repeated_lines(text: str) -> list[dict]:
+    """Edits that delete each non-empty line equal to an earlier line, with the break before it."""
+    seen, at, found = set(), 0, []
+    for line in text.split("\n"):
+        if line and line in seen:
+            found.append({"start": at - 1, "stop": at + len(line), "text": ""})
+        seen.add(line)
+        at += len(line) + 1
+    return found

@@ -24,9 +24,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after the edits that delete repeated lines, from trees that are built once."""
-    docs = counts.repeated_line_edits(_table(spark, sf_dir, "documents"))
-    trees = counts.build_trees(docs, RANKS, public_tokenizers.PATTERN, keep=("edits",))
-    out = counts.apply_edits(trees, RANKS, public_tokenizers.PATTERN)
+    out = counts.recount(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, counts.repeated_lines)
     return out.select("doc_id", "n_edits", "n_before", "n_tokens", "n_reencoded", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_after"))
 
 
@@ -37,7 +35,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_shards(_table(spark, sf_dir, "documents"), TOKENIZER)
+    manifest = token_files.write_shards(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
     index = token_files.build_index(manifest)
     found = token_files.lookup(manifest.select("id", "occurrence"), index)
     read = token_files.read_ids(found, token_files.shard_table(manifest), token_files.id_width(TOKENIZER))

@@ -10,55 +10,73 @@ one bucket, a few bit probes and one slot, however many documents there are.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
 from .common import work_dir, written
 from .files import open_fs
-from .pretokens import PieceCache, packed, text_slices
+from .pretokens import PieceEncoder, packed, text_slices
 from .textblocks import mix64
 
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("length", "<i8")])
 _WORKER: dict = {}
 
 
-class _WholeOrPieces(PieceCache):
-    """Texts that hold an added token are encoded whole, as a cut at a space may change the ids around it."""
+#: Strings whose pre-tokens are the same in every Unicode version and library: Latin letters, digits, marks and plain white space.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
 
-    def __init__(self, encode, added: list[str]):
-        super().__init__(encode)
-        self.added = added
 
-    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        whole = [any(a in t for a in self.added) for t in texts]
-        apart = iter(self.encode([t for t, w in zip(texts, whole) if w]))
-        pieces = super().encode_texts([t for t, w in zip(texts, whole) if not w])
-        for w in whole:
-            yield next(apart if w else pieces)
+class _Encoder:
+    """Ids as the library gives them for whole texts.  Texts that hold an added token are encoded whole, as a cut at a space may change the ids around it."""
 
+    def __init__(self, blob: str, pattern: str):
+        import regex
+        from tokenizers import Tokenizer
 
-def _tokenizer(blob: str) -> PieceCache:
-    key = hash(blob)
+        t = Tokenizer.from_str(blob)
+        model, characters = t.model, dict(enumerate(byte_characters()))
+        self.added = [x.content for x in t.get_added_tokens_decoder().values()]
+        self.whole = lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        one = lambda x: packed([y.id for y in model.tokenize(x.encode().decode("latin-1").translate(characters))])
+        self.pieces = PieceEncoder(regex.compile(pattern).findall, lambda tokens: [one(x) for x in tokens], self.whole, _PLAIN)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.zeros(len(column), dtype=bool)
+        for a in self.added:
+            apart |= pa.compute.fill_null(pa.compute.match_substring(column, a), False).to_numpy(zero_copy_only=False)
+        ids, off = self.pieces.encode_column(pa.compute.if_else(pa.array(apart), pa.scalar("", column.type), column))
+        if apart.any():
+            rows = [ids[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            for i, x in zip(np.flatnonzero(apart).tolist(), self.whole(column.filter(pa.array(apart)).to_pylist())):
+                rows[i] = np.frombuffer(x, np.uint32)
+            ids, off = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        return ids, off
+
+
+def _tokenizer(blob: str, pattern: str) -> _Encoder:
+    key = hash((blob, pattern))
     if key not in _WORKER:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(blob)
         _WORKER.clear()
-        _WORKER[key] = _WholeOrPieces(lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)], [x.content for x in t.get_added_tokens_decoder().values()])
+        _WORKER[key] = _Encoder(blob, pattern)
     return _WORKER[key]
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Encode whole texts, append end_id, write shards; the manifest as a written table.
 
+    `pattern` is the pre-token pattern of the tokenizer file's byte-level splitter, by which encoded
+    pre-tokens are kept for reuse.
     Manifest: id, occurrence long, shard int, file string, offset and n_tokens (long, in ids).
     Documents are range-partitioned and sorted by id (nulls first), so shards ascend; rows with
     equal ids are told apart by `occurrence`.  A task writes its shard under a name of its own
@@ -77,7 +95,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
     kind = dict(src.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sink, file, at, last, seen, first = _tokenizer(sent.value), None, "", 0, None, 0, True
+        enc, sink, file, at, last, seen, first = _tokenizer(sent.value, pattern), None, "", 0, None, 0, True
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 if sink is None:
@@ -85,18 +103,17 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
                     system, p = open_fs(file)
                     system.create_dir(p.rsplit("/", 1)[0], recursive=True)
                     sink = system.open_output_stream(p)
-                offsets, lengths, same = [], [], []
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode_texts(texts)):
-                    ids = np.frombuffer(ids + packed([end_id]), "<u4")
-                    sink.write(ids.astype(width).tobytes())
-                    offsets.append(at)
-                    lengths.append(len(ids))
-                    at += len(ids)
+                ids, off = enc.encode_column(texts)
+                ids = np.insert(ids, off[1:], end_id)
+                sink.write(ids.astype(width).tobytes())
+                lengths = np.diff(off) + 1
+                offsets = at + np.cumsum(lengths) - lengths
+                at += len(ids)
+                same = []
+                for key in part.column(0).to_pylist():
                     seen = seen + 1 if key == last and not first else 0
                     last, first = key, False
                     same.append(seen)
-                if not texts:
-                    continue
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(same, pa.int64()), part.column(2), pa.array([file] * len(same), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
                     names=["id", "occurrence", "shard", "file", "offset", "n_tokens"],

@@ -241,7 +241,7 @@ def test_count_query(spark, tiktoken_ids):
 
 
 def test_token_files(docs, tiktoken_ids):
-    manifest = token_files.write_shards(docs, queries.TOKENIZER)
+    manifest = token_files.write_shards(docs, queries.TOKENIZER, P.PATTERN)
     index = token_files.build_index(manifest)
     found = token_files.lookup(manifest.select("id", "occurrence"), index)
     assert found.count() == docs.count()
@@ -254,7 +254,7 @@ def test_token_files(docs, tiktoken_ids):
         start += len(ids)
     other = token_files.lookup(manifest.selectExpr("id + 1 AS id", "occurrence + 7 AS occurrence"), index)
     assert other.count() == 0
-    empty = token_files.write_shards(docs.limit(0), queries.TOKENIZER)
+    empty = token_files.write_shards(docs.limit(0), queries.TOKENIZER, P.PATTERN)
     assert token_files.lookup(empty.select("id", "occurrence"), token_files.build_index(empty)).count() == 0
 
 
@@ -264,7 +264,7 @@ def test_token_files_with_added_tokens(spark):
     whole = Tokenizer.from_file(queries.TOKENIZER)
     texts = ["a b<|endoftext|> c", "a   <|endoftext|>   b", "<|endoftext|>", "<|endoftext| >", "plain  text "]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
-    manifest = token_files.write_shards(d, queries.TOKENIZER)
+    manifest = token_files.write_shards(d, queries.TOKENIZER, P.PATTERN)
     found = token_files.lookup(manifest.select("id", "occurrence"), token_files.build_index(manifest))
     got = {x.id: np.frombuffer(x.ids, "<u4").tolist() for x in token_files.read_ids(found, token_files.shard_table(manifest), 2).collect()}
     assert got == {i: [*whole.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
