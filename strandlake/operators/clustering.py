@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_islands, reciprocal_pairs
+from .intervals import reciprocal_pairs
+from .store import components, stored
 
 
-def dbscan_1d(points: DataFrame, by: list[str], x: str, key: str, eps: int = 100, min_points: int = 5) -> DataFrame:
-    """points plus cluster (0, 1, ... by position; -2 noise), by windows over each `by` group.
+def dbscan_1d(points: DataFrame, by: list[str], x: str, key: str, eps: int = 100, min_points: int = 5, tile: int = 1 << 16) -> DataFrame:
+    """points plus cluster (0, 1, ... by position in each `by` group; -2 noise).
 
     Core points have min_points within eps, themselves included; cores at most eps apart join; a
-    border point belongs to the cluster of the nearest core on the right, else on the left."""
-    near = Window.partitionBy(*by).orderBy(x).rangeBetween(-eps, eps)
-    w = Window.partitionBy(*by).orderBy(x, key)
-    d = points.withColumn("__n", F.count(F.lit(1)).over(near)).withColumn("__core", F.when(F.col("__n") >= min_points, F.col(x)))
-    d = d.withColumn("__prev", F.last("__core", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    border point belongs to the cluster of the nearest core on the right, else on the left.
+    Every tile of positions is judged on its own with the points up to 2 * eps around it; the
+    number of clusters that start in the tiles before comes from one row per tile."""
+    width = max(tile, 4 * eps)
+    at = lambda e: f"cast(floor(({e}) / {float(width)!r}D) AS bigint)"
+    d = points.withColumn("__t", F.explode(F.expr(f"array_distinct(array({at(f'{x} - {2 * eps}')}, {at(x)}, {at(f'{x} + {2 * eps}')}))")))
+    d = d.withColumn("__own", F.expr(f"__t = {at(x)}"))
+    group = [*by, "__t"]
+    near = Window.partitionBy(*group).orderBy(x).rangeBetween(-eps, eps)
+    ahead, back = Window.partitionBy(*group).orderBy(x, key), Window.partitionBy(*group).orderBy(F.desc(x), F.desc(key))
+    inside = f"{x} >= __t * {width} - {eps} AND {x} < (__t + 1) * {width} + {eps}"
+    d = d.withColumn("__n", F.count(F.lit(1)).over(near)).withColumn("__core", F.expr(f"CASE WHEN __n >= {min_points} AND {inside} THEN {x} END"))
+    d = d.withColumn("__prev", F.last("__core", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.withColumn("__new", F.expr(f"int(__core IS NOT NULL AND (__prev IS NULL OR __core - __prev > {eps}))"))
-    d = d.withColumn("__id", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    d = d.withColumn("__left", F.last("__core", ignorenulls=True).over(w)).withColumn("__right", F.first("__core", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    d = d.withColumn("__rid", F.first(F.when(F.col("__core").isNotNull(), F.col("__id")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    label = F.expr(f"CASE WHEN __core IS NOT NULL THEN __id WHEN __right - {x} <= {eps} THEN __rid WHEN {x} - __left <= {eps} THEN __id ELSE -2 END")
-    return d.withColumn("cluster", label.cast("int")).select(*points.columns, "cluster")
+    d = d.withColumn("__id", F.sum(F.expr("if(__own, __new, 0)")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__left", F.last("__core", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("__right", F.last(F.when(F.col("__core").isNotNull(), F.struct("__core", "__new")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    own = d.where("__own")
+    starts = own.groupBy(*group).agg(F.sum("__new").alias("__s"))
+    before = starts.select(*group, F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    label = F.expr(
+        f"CASE WHEN __core IS NOT NULL THEN __base + __id - 1 WHEN __right.__core - {x} <= {eps} THEN __base + __id + __right.__new - 1 WHEN {x} - __left <= {eps} THEN __base + __id - 1 ELSE -2 END"
+    )
+    return _same(own, before, group).withColumn("cluster", label.cast("int")).select(*points.columns, "cluster")
 
 
 def largest_cluster(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -34,10 +46,11 @@ def largest_cluster(labels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def upper_median(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Element size div 2 of the sorted values, per group."""
+    """Element size div 2 of the sorted values, per group: counts per value are summed up, so equal values are one row."""
+    counts = df.groupBy(*by, F.col(x).alias("median")).agg(F.count(F.lit(1)).alias("__k"))
     w = Window.partitionBy(*by)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(x))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.where("__r = __n div 2 + 1").select(*by, F.col(x).alias("median"))
+    seen = counts.withColumn("__n", F.sum("__k").over(w)).withColumn("__upto", F.sum("__k").over(w.orderBy("median").rowsBetween(Window.unboundedPreceding, 0)))
+    return seen.where("__n div 2 < __upto AND __n div 2 >= __upto - __k").select(*by, "median")
 
 
 def core_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int) -> tuple[DataFrame, DataFrame]:
@@ -51,64 +64,72 @@ def core_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_po
 
 
 def dbscan_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int) -> DataFrame:
-    """calls plus cluster_key (null: noise), in the order (start, end, key) within islands of overlapping calls.
-
-    Only overlapping calls can be neighbours, so each island is clustered on its own in one task."""
-    islands = overlap_islands(calls.select(*by, key, "start_pos", "end_pos"), by, [key])
-    kinds = ", ".join(f"{c} {t}" for c, t in islands.select(*by, "island", key).dtypes)
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_pos", "end_pos", key], kind="stable").reset_index(drop=True)
-        s, e = pdf["start_pos"].to_numpy(float), pdf["end_pos"].to_numpy(float)
-
-        def near(i: int) -> np.ndarray:
-            over = np.maximum(0, np.minimum(e, e[i]) - np.maximum(s, s[i]))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return np.flatnonzero(1 - np.minimum(over / (e - s), over / (e[i] - s[i])) <= eps)
-
-        label = np.full(len(pdf), -1)
-        now = 0
-        for i in range(len(pdf)):
-            if label[i] != -1:
-                continue
-            seeds = near(i)
-            if len(seeds) < min_points:
-                label[i] = -2
-                continue
-            label[seeds] = now
-            queue = [j for j in seeds.tolist() if j != i]
-            while queue:
-                j = queue.pop(0)
-                around = near(j)
-                if len(around) >= min_points:
-                    for m in around.tolist():
-                        if label[m] in (-1, -2):
-                            if label[m] == -1:
-                                queue.append(m)
-                            label[m] = now
-            now += 1
-        return pdf[[*by, "island", key]].assign(cluster=label.astype("int32"))
-
-    return islands.groupBy(*by, "island").applyInPandas(cluster, f"{kinds}, cluster int")
-
-
-def merge_calls(calls: DataFrame, by: list[str], cluster: str, key: str) -> DataFrame:
-    """One call per cluster: if any has a likelihood, the first non-zero one by (support, length); else the middle of the longest fifth."""
-    group = [*by, cluster]
-    length = F.col("end_pos") - F.col("start_pos")
-    w = Window.partitionBy(*group)
-    d = calls.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__any", F.max((F.col("hmm_lh") != 0).cast("int")).over(w))
+    """by, key and cluster_key of every call (null: noise): the key of the first core call of its cluster in the order (start, end, key).
+
+    Neighbours come from the blocked pair join, clusters are components of core pairs.  A border
+    call goes to the first cluster that reaches it; a later one takes it over if that cluster's
+    first core call is its neighbour (as a scan in that order does).  Keys are unique."""
+    core, pairs = core_intervals(calls, key, by, eps, min_points)
+    pairs = stored(pairs.select("a_id", "b_id"))
+    core = stored(core.select(key))
+    ids = lambda c: core.select(F.col(key).alias(c))
+    root = stored(components(pairs.join(ids("a_id"), "a_id", "left_semi").join(ids("b_id"), "b_id", "left_semi").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
+    place = F.struct("start_pos", "end_pos", F.col(key).alias("key"))
+    rooted = calls.join(core, key, "left_semi").select(key, place.alias("place")).join(root.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    seeds = rooted.groupBy("root").agg(F.min("place").alias("seed"))
+    labelled = stored(rooted.select(key, "root").join(seeds, "root").select(key, "seed"))
+    both = pairs.select(F.col("a_id").alias("of"), F.col("b_id").alias(key)).unionByName(pairs.select(F.col("b_id").alias("of"), F.col("a_id").alias(key)))
+    reach = both.join(labelled.select(F.col(key).alias("of"), "seed"), "of").join(core, key, "left_anti")
+    border = reach.groupBy(key).agg(F.min("seed").alias("first"), F.max(F.when(F.col("seed.key") == F.col("of"), F.col("seed"))).alias("taken"))
+    label = labelled.select(key, F.col("seed.key").alias("cluster_key")).unionByName(border.select(key, F.greatest("first", "taken").getField("key").alias("cluster_key")))
+    return calls.select(*by, key).join(label, key, "left").select(*by, key, "cluster_key")
+
+
+def merge_calls(calls: DataFrame, by: list[str], cluster: str, key: str, noise: str | None = None) -> DataFrame:
+    """One call per cluster: if any has a likelihood, the first non-zero one by (support, length); else the middle of the longest fifth.
+
+    Clusters of one call are dropped.  Where `noise` is 'keep' or 'merge', `by` are the contig and
+    type, a null cluster is noise, and types with a single call pass through; noise calls of a type
+    (two or more) are kept as they are, or merged like one more cluster."""
+    d = calls.withColumn("__len", F.col("end_pos") - F.col("start_pos"))
+    group = [*by, "__c"]
+    d = d.withColumn("__c", F.struct(F.col(cluster).alias("c")))
+    size = d.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.max((F.col("hmm_lh") != 0).cast("int")).alias("__any"))
+    d = _same(d, size, group)
+    alone = None
+    if noise:
+        total = _same(d, d.groupBy(*by).agg(F.count(F.lit(1)).alias("__all")), by)
+        alone = total.where("__all = 1").withColumn("cluster_size", F.col("cluster_size").cast("bigint"))
+        if noise == "keep":
+            alone = alone.unionByName(total.where("__all > 1 AND __c.c IS NULL AND __n > 1").withColumn("cluster_size", F.col("cluster_size").cast("bigint")))
+        d = total.where("__all > 1" if noise == "merge" else "__all > 1 AND __c.c IS NOT NULL")
     d = d.where("__n > 1")
-    by_support = F.row_number().over(w.orderBy((F.col("hmm_lh") == 0).cast("int"), F.desc("cluster_size"), length.desc(), key))
-    by_length = F.row_number().over(w.orderBy(length.desc(), "start_pos", key))
-    d = d.withColumn("__r1", by_support).withColumn("__r2", by_length)
-    picked = d.where("(__any = 1 AND __r1 = 1) OR (__any = 0 AND __r2 = (greatest(1, cast(floor(__n * 0.2D) AS int)) div 2) + 1)")
-    return picked.withColumn("cluster_size", F.expr("if(__any = 1, cast(cluster_size AS bigint), __n)")).drop("__n", "__any", "__r1", "__r2")
-
-
-def dedupe_calls(calls: DataFrame) -> DataFrame:
-    """Calls of equal span made one: support summed, the attributes of the last by type."""
-    return calls.groupBy("chrom", "start_pos", "end_pos").agg(F.sum("cluster_size").alias("cluster_size"), F.max("sv_type").alias("sv_type"))
+    rank = "(greatest(1, cast(floor(__n * 0.2D) AS int)) div 2) + 1"
+    # By likelihood: a maximum, combined before the shuffle.
+    row = F.struct(*calls.columns)
+    best = d.where("__any = 1 AND hmm_lh <> 0").groupBy(*group).agg(F.max_by(row, F.struct("cluster_size", "__len", F.expr(f"-`{key}`"))).alias("r")).select("r.*")
+    # By length: counts per length find the length of that rank; only calls of that length are ranked.
+    plain = d.where("__any = 0")
+    lengths = plain.groupBy(*group, "__len").agg(F.count(F.lit(1)).alias("__k"), F.first("__n").alias("__n"))
+    above = F.coalesce(F.sum("__k").over(Window.partitionBy(*group).orderBy(F.desc("__len")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = lengths.withColumn("__left", F.expr(rank) - above).where("__left BETWEEN 1 AND __k").select(*group, "__len", "__left")
+    ties = _same(plain, at, [*group, "__len"]).withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy("start_pos", key))).where("__r = __left")
+    out = best.withColumn("cluster_size", F.col("cluster_size").cast("bigint")).unionByName(ties.withColumn("cluster_size", F.col("__n")).select(*calls.columns))
+    return out.unionByName(alone.select(*calls.columns)) if alone is not None else out
+
+
+def _same(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which nulls are equal."""
+    other = b.select(*(F.col(c).alias(f"__b{i}") for i, c in enumerate(on)), *(c for c in b.columns if c not in on))
+    hit = a.join(other, [a[c].eqNullSafe(other[f"__b{i}"]) for i, c in enumerate(on)])
+    return hit.drop(*(f"__b{i}" for i in range(len(on))))
+
+
+def dedupe_calls(calls: DataFrame, key: str = "call_id") -> DataFrame:
+    """Calls of equal span made one: support summed, all other attributes those of the last by (type, key)."""
+    rest = [c for c in calls.columns if c not in ("chrom", "start_pos", "end_pos", "cluster_size")]
+    last = F.max_by(F.struct(*rest), F.struct("sv_type", key)).alias("r")
+    return calls.groupBy("chrom", "start_pos", "end_pos").agg(F.sum("cluster_size").alias("cluster_size"), last).select("chrom", "start_pos", "end_pos", "cluster_size", "r.*")
 
 
 def normalised_score(df: DataFrame, by: list[str], key: str, weight: float = 0.5) -> DataFrame:

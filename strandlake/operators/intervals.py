@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_islands(df: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
-    """df plus island: rows of one `by` group whose closed intervals chain together share it (the island's start)."""
-    w = Window.partitionBy(*by).orderBy("start_pos", "end_pos", *keys)
-    seen = df.withColumn("__m", F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    new = F.when(F.col("__m").isNull() | (F.col("start_pos") > F.col("__m")), F.col("start_pos"))
-    return seen.withColumn("island", F.last(new, ignorenulls=True).over(w)).drop("__m")
+def overlap_islands(df: DataFrame, by: list[str], keys: list[str], tile: int = 1 << 16) -> DataFrame:
+    """df plus island: rows of one `by` group whose closed intervals chain together share it (the island's start).
+
+    Tiles of start positions are swept on their own; one row per tile carries the greatest end, and
+    the last island's start, to the tiles after it."""
+    group = [*by, "__t"]
+    rows = df.withColumn("__t", F.expr(f"start_pos div {tile}"))
+    carried = lambda t, c: t.select(*group, F.max(c).over(Window.partitionBy(*by).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    w = Window.partitionBy(*group).orderBy("start_pos", "end_pos", *keys)
+    seen = rows.join(carried(rows.groupBy(*group).agg(F.max("end_pos").alias("m")), "m"), group)
+    seen = seen.withColumn("__m", F.greatest("__before", F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1)))).drop("__before")
+    seen = seen.withColumn("__new", F.expr("CASE WHEN __m IS NULL OR start_pos > __m THEN start_pos END"))
+    # Starts ascend, so the last one is the greatest.
+    last = carried(seen.groupBy(*group).agg(F.max("__new").alias("m")), "m")
+    out = seen.join(last, group).withColumn("island", F.coalesce(F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__before"))
+    return out.select(*df.columns, "island")
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, key: str, bin_size: int) -> DataFrame:
@@ -43,9 +53,10 @@ def reciprocal_pairs(df: DataFrame, key: str, by: list[str], eps: float) -> Data
 
 
 def gap_flag(calls: DataFrame, gaps: DataFrame, key: list[str], bin_size: int = 1 << 16, share: float = 0.2) -> DataFrame:
-    """calls plus gap: whether one assembly gap covers more than `share` of the call."""
+    """calls plus gap: whether one assembly gap, both ends moved up by one, covers more than `share` of the call."""
     c = calls.withColumn("bin", F.explode(F.expr(f"sequence(start_pos div {bin_size}, end_pos div {bin_size})")))
-    g = gaps.select("chrom", F.col("start_pos").alias("g_s"), F.col("end_pos").alias("g_e"), F.explode(F.expr(f"sequence(start_pos div {bin_size}, (end_pos + 1) div {bin_size})")).alias("bin"))
+    g = gaps.selectExpr("chrom", "start_pos + 1 AS g_s", "end_pos + 1 AS g_e")
+    g = g.withColumn("bin", F.explode(F.expr(f"sequence(g_s div {bin_size}, g_e div {bin_size})")))
     over = "(least(end_pos, g_e) - greatest(start_pos, g_s) + 1)"
     hit = c.join(g, ["chrom", "bin"]).where(f"{over} / cast(end_pos - start_pos + 1 AS double) > {share!r}D").select(*key).distinct().withColumn("__g", F.lit(True))
     return calls.join(hit, key, "left").withColumn("gap", F.coalesce("__g", F.lit(False))).drop("__g")

@@ -33,12 +33,12 @@ def mendelian(trio: DataFrame, by: list[str]) -> DataFrame:
     return wrong.groupBy(*by).agg(F.sum("error").alias("errors"), F.count(F.lit(1)).alias("total"))
 
 
-def size_statistics(sizes: DataFrame) -> DataFrame:
-    """Per type: count, share-free size figures and the number above 10, 50 and 100 kb (population deviation)."""
+def size_statistics(sizes: DataFrame, bounds: tuple[int, int] = (100, 200)) -> DataFrame:
+    """Per type: count, size figures (population deviation) and the number above the two bounds."""
     return sizes.groupBy("sv_type").agg(
         F.count(F.lit(1)).alias("n"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.avg("size").alias("mean_size"),
         F.expr("percentile(size, 0.5)").alias("median_size"), F.stddev_pop("size").alias("sd_size"),
-        F.count_if(F.col("size") > 100).alias("over_100"), F.count_if(F.col("size") > 200).alias("over_200"),
+        *(F.count_if(F.col("size") > b).alias(f"over_{b}") for b in bounds),
     )
 
 
@@ -48,6 +48,22 @@ def size_buckets(sizes: DataFrame, edges: tuple[int, ...]) -> DataFrame:
     return sizes.groupBy("sv_type", F.expr(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def precision_recall(counts: DataFrame) -> DataFrame:
+    """Columns p and r from counts of true and false positives and false negatives (tp, fp, fn)."""
+    return counts.withColumn("p", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))).withColumn("r", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0)))
+
+
+def logistic_score(df: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
+    """df plus score, the probability of a fitted logistic model given by its weights."""
+    z = " + ".join([repr(float(intercept)) + "D", *(f"{float(w)!r}D * `{c}`" for c, w in weights.items())])
+    return df.withColumn("score", F.expr(f"1D / (1D + exp(-({z})))"))
+
+
+def score_histogram(scored: DataFrame, by: str = "label", bins: int = 10) -> DataFrame:
+    """Counts of scores in [0, 1] per label and equal bin, the last one closed."""
+    return scored.groupBy(F.expr(f"cast(least({bins - 1}, floor(score * {bins})) AS int)").alias("bin"), by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def best_f1(runs: DataFrame) -> DataFrame:
     """Per type the parameter of the best F1 (the smallest on ties)."""
     d = runs.withColumn("f1", F.expr("coalesce(try_divide(2 * p * r, p + r), 0D)"))

@@ -62,7 +62,7 @@ def split_pairs(alignments: DataFrame) -> DataFrame:
     read = "greatest(0, greatest(p_query_start, s_query_start) - least(p_query_end, s_query_end))"
     return both.select(
         "qname", "chrom", "p_start_pos", "s_start_pos",
-        F.expr(f"if(p_query_start <= s_query_start, {read}, -{read})").alias("read_dist"),
+        F.expr(f"if(p_start_pos < s_start_pos, {read}, -{read})").alias("read_dist"),
         F.expr("greatest(0, greatest(p_start_pos, s_start_pos) - least(p_end_pos, s_end_pos))").alias("ref_dist"),
         F.expr("(p_flag & 16) <> (s_flag & 16)").alias("inverted"),
     )

@@ -5,13 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import plain_bases
+from ..functions.codes import evidence_names, plain_bases
 
-HEADER = ("##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">', '##FILTER=<ID=AssemblyGap,Description="Overlaps an assembly gap">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE")
+METHOD = "strandlake 0.2"
+# The fields of a record, their number and type by the format's standard.
+INFO = (
+    ("END", "1", "Integer", "Last position"), ("SVTYPE", "1", "String", "Kind of variant"), ("SVLEN", "1", "Integer", "Length, negative for deletions"), ("SVMETHOD", "1", "String", "Caller"),
+    ("ALN", "1", "String", "Evidence"), ("HMM", "1", "Float", "Log likelihood of the copy-number model"), ("LOH", "0", "Flag", "Loss of heterozygosity"), ("SUPPORT", "1", "Integer", "Depth at the position"),
+    ("CLUSTER", "1", "Integer", "Calls merged"), ("CN", "1", "Integer", "Copy-number state"), ("ALNOFFSET", "1", "Integer", "Reference distance less read distance"),
+)
+FILTERS = (("PASS", "All filters passed"), ("LowQual", "Low quality"), ("AssemblyGap", "Overlaps an assembly gap"))
+FORMATS = (("GT", "1", "String", "Genotype"), ("DP", "1", "Integer", "Depth at the position"))
+COLUMNS = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"
+
+
+def contig_lines(contigs: DataFrame) -> list[str]:
+    """##contig lines in order of the name, of a table chrom, length (one row per contig)."""
+    return [f"##contig=<ID={r.chrom},length={r.length}>" for r in contigs.orderBy("chrom").collect()]
+
+
+def header(contigs: DataFrame, reference: str, date: str) -> list[str]:
+    """All header lines; the date is YYYYMMDD."""
+    field = lambda kind, rows: [f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">' for i, n, t, d in rows]
+    filters = [f'##FILTER=<ID={i},Description="{d}">' for i, d in FILTERS]
+    return ["##fileformat=VCFv4.2", f"##fileDate={date}", f"##source={METHOD}", f"##reference={reference}", *contig_lines(contigs), *field("INFO", INFO), *filters, *field("FORMAT", FORMATS), COLUMNS]
+
+
+def write_vcf(rows: DataFrame, head: list[str], path: str) -> None:
+    """A folder of text files that read in order of their names as one VCF: the header (a few dozen lines), then records by contig and position."""
+    spark = rows.sparkSession
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/0-header")
+    lines(rows.orderBy("CHROM", "POS")).write.text(f"{path}/1-records")
+
+
+def output_span(calls: DataFrame) -> DataFrame:
+    """calls plus pos, the record's position, and ref_start and ref_end of the reference bases it shows (null for symbolic types)."""
+    d = calls.withColumn("pos", F.expr("CASE sv_type WHEN 'DEL' THEN greatest(1, start_pos - 1) WHEN 'INS' THEN start_pos - 1 ELSE start_pos END"))
+    return d.withColumn("ref_start", F.expr("if(sv_type IN ('DEL', 'INS'), pos, null)")).withColumn("ref_end", F.expr("CASE sv_type WHEN 'DEL' THEN end_pos WHEN 'INS' THEN pos END"))
 
 
 def format_rows(calls: DataFrame) -> DataFrame:
-    """calls (chrom, start_pos, end_pos, sv_type, alt, ref_seq, hmm_lh, support, cluster_size, cn_state, gap) as VCF columns.
+    """calls (chrom, start_pos, end_pos, sv_type, alt, ref_seq, genotype, evidence, hmm_lh, support, cluster_size, aln_offset, cn_state, gap) as VCF columns.
+
+    ref_seq holds the bases of output_span; support is the depth at that position.
 
     DEL starts one base earlier and shows the reference, INS stands on the base before it, DUP
     and INV are symbolic; UNKNOWN and NEUTRAL are dropped, and an INS at the first base too."""
@@ -22,13 +58,17 @@ def format_rows(calls: DataFrame) -> DataFrame:
     d = d.withColumn("__ref", F.expr("CASE WHEN NOT sv_type IN ('DEL', 'INS') OR coalesce(ref_seq, '') = '' THEN 'N' WHEN sv_type = 'DEL' THEN ref_seq ELSE left(ref_seq, 1) END"))
     d = d.withColumn("ALT", F.expr("CASE WHEN NOT sv_type IN ('DEL', 'INS') THEN alt WHEN coalesce(ref_seq, '') = '' THEN concat('<', sv_type, '>') WHEN sv_type = 'DEL' THEN left(ref_seq, 1) WHEN alt LIKE '<%' THEN alt ELSE concat(left(ref_seq, 1), alt) END"))
     d = d.withColumn("REF", plain_bases("__ref")).withColumn("FILTER", F.expr("if(gap, 'AssemblyGap', 'PASS')"))
-    info = "concat('END=', END_, ';SVTYPE=', sv_type, ';SVLEN=', SVLEN, ';SUPPORT=', support, ';CLUSTER=', cluster_size, ';CN=', cn_state, if(cn_state = 4, ';LOH', ''))"
-    return d.select(F.col("chrom").alias("CHROM"), "POS", "REF", "ALT", "FILTER", F.expr(info).alias("INFO"))
+    info = (
+        f"concat('END=', END_, ';SVTYPE=', sv_type, ';SVLEN=', SVLEN, ';SVMETHOD={METHOD};ALN=', __aln, ';HMM=', format_string('%.6f', cast(hmm_lh AS double)), "
+        "';SUPPORT=', support, ';CLUSTER=', cluster_size, ';ALNOFFSET=', aln_offset, ';CN=', cn_state, if(cn_state = 4, ';LOH', ''))"
+    )
+    d = d.withColumn("__aln", evidence_names("evidence"))
+    return d.select(F.col("chrom").alias("CHROM"), "POS", "REF", "ALT", "FILTER", F.expr(info).alias("INFO"), F.expr("concat(genotype, ':', support)").alias("SAMPLE"))
 
 
 def lines(rows: DataFrame) -> DataFrame:
     """value string: the ten tab-separated columns."""
-    return rows.select(F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), F.lit("."), "REF", "ALT", F.lit("."), "FILTER", "INFO", F.lit("GT:DP"), F.lit("./.:0")).alias("value"))
+    return rows.select(F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), F.lit("."), "REF", "ALT", F.lit("."), "FILTER", "INFO", F.lit("GT:DP"), "SAMPLE").alias("value"))
 
 
 def info_map(df: DataFrame, col: str = "info") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import clustering, coverage, intervals, reads, vcf_out
+from ..functions import codes
+from ..operators import clustering, coverage, hmm, intervals, reads, reports, split_calls, vcf_out
+from ..operators.store import stored
 from ..sources.text import substring_at
 
 
@@ -17,28 +20,114 @@ class CallerParams:
 
     eps: float = 0.1
     min_points_pct: float = 0.1
-    min_points: int = 5
+    min_points: int = 0
+    min_cnv: int = 2000
     gap_share: float = 0.2
 
     def __post_init__(self):
-        if not 0 <= self.eps < 1 or self.min_points < 1:
-            raise ValueError("eps must be in [0, 1) and min_points at least 1")
+        if not 0 <= self.eps < 1 or self.min_points < 0:
+            raise ValueError("eps must be in [0, 1) and min_points at least 0")
+
+    def points_for(self, mean_cov: float) -> int:
+        """The given number; else the share of the mean coverage, rounded up; else 5."""
+        if self.min_points:
+            return self.min_points
+        return max(1, math.ceil(mean_cov * self.min_points_pct)) if self.min_points_pct > 0 else 5
+
+
+_CALL = ("call_id", "chrom", "start_pos", "end_pos", "sv_type", "alt", "evidence", "cluster_size", "hmm_lh", "genotype", "cn_state", "aln_offset")
+
+
+def _as_calls(d: DataFrame) -> DataFrame:
+    """The columns of a call; what a source lacks is unknown."""
+    more = {"hmm_lh": F.lit(0.0), "genotype": F.lit("./."), "cn_state": F.lit(0), "aln_offset": F.lit(0).cast("bigint"), "alt": F.expr("concat('<', sv_type, '>')"), "call_id": F.xxhash64("chrom", "start_pos", "end_pos", "sv_type", "evidence")}
+    for c, e in more.items():
+        if c not in d.columns:
+            d = d.withColumn(c, e)
+    return d.select(*_CALL).withColumn("cluster_size", F.col("cluster_size").cast("bigint"))
+
+
+def merge_pass(calls: DataFrame, eps: float, min_points: int, noise: str) -> DataFrame:
+    """One merging of calls by reciprocal overlap within contig and type."""
+    by = ["chrom", "sv_type"]
+    label = clustering.dbscan_intervals(calls, "call_id", by, eps, min_points).select("call_id", "cluster_key")
+    return clustering.merge_calls(calls.join(label, "call_id"), by, "cluster_key", "call_id", noise).select(*_CALL)
 
 
 def cigar_calls(alignments: DataFrame, params: CallerParams = CallerParams()) -> DataFrame:
-    """Calls from CIGAR operations: candidates of equal span made one, clustered by reciprocal overlap, one call per cluster."""
+    """Calls from CIGAR operations, merged contig by contig (the number of contigs is small); noise is merged too.
+
+    Candidates of equal span, type and evidence are one call with their number as support."""
     found = reads.cigar_candidates(alignments)
-    calls = found.groupBy("chrom", F.col("sv_start").alias("start_pos"), F.col("sv_end").alias("end_pos"), "sv_type").agg(F.count(F.lit(1)).alias("cluster_size"))
-    calls = calls.withColumn("call_id", F.xxhash64("chrom", "start_pos", "end_pos", "sv_type")).withColumn("hmm_lh", F.lit(0.0))
-    labels = clustering.dbscan_intervals(calls, "call_id", ["chrom", "sv_type"], params.eps, params.min_points).where("cluster >= 0")
-    labelled = calls.join(labels.select("call_id", "island", "cluster"), "call_id")
-    return clustering.merge_calls(labelled, ["chrom", "sv_type", "island"], "cluster", "call_id").select("call_id", "chrom", "start_pos", "end_pos", "sv_type", "cluster_size")
+    calls = found.groupBy("chrom", F.col("sv_start").alias("start_pos"), F.col("sv_end").alias("end_pos"), "sv_type").agg(F.count(F.lit(1)).alias("cluster_size"), F.bit_or("evidence").alias("evidence"))
+    calls = _as_calls(calls)
+    if params.min_points:
+        return merge_pass(calls, params.eps, params.min_points, "merge")
+    means = coverage.mean_coverage(coverage.coverage_runs(coverage.read_filter(alignments)))
+    points = {r.chrom: params.points_for(r.mean_cov or 0.0) for r in means.collect()}  # one row per contig
+    out = None
+    for n in sorted(set(points.values())):
+        part = merge_pass(calls.where(F.col("chrom").isin([c for c, x in points.items() if x == n])), params.eps, n, "merge")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else calls.limit(0)
+
+
+def copy_numbers(calls: DataFrame, obs: DataFrame, model: hmm.Model, voted: str) -> DataFrame:
+    """calls plus voted_type, voted_state and voted_lh from the best path over the observations (region_id = call_id, t, pos, log2_cov, baf, pfb) of each.
+
+    voted is 'split' (the states' shares over the region) or 'cigar' (the majority state inside the call)."""
+    best = hmm.viterbi(obs.select("region_id", "t", "log2_cov", "baf", "pfb"), model)
+    steps = best.select("region_id", "likelihood", F.posexplode("path").alias("i", "state"))
+    at = obs.select("region_id", "pos", (F.row_number().over(Window.partitionBy("region_id").orderBy("t")) - 1).alias("i"))
+    steps = steps.join(at, ["region_id", "i"]).join(calls.select(F.col("call_id").alias("region_id"), "start_pos", "end_pos"), "region_id")
+    if voted == "cigar":
+        state = hmm.majority_state(steps, ["region_id"])
+    else:
+        n = {s: f"count_if(state = {s})" for s in range(1, 7)}
+        state = steps.groupBy("region_id").agg(hmm.vote(n, "count(1)", 0.5).alias("cn_state"))
+    found = best.select("region_id", "likelihood").join(state, "region_id").select(F.col("region_id").alias("call_id"), F.col("likelihood").alias("voted_lh"), F.col("cn_state").alias("voted_state"))
+    return calls.join(found, "call_id", "left").withColumn("voted_state", F.coalesce("voted_state", F.lit(0))).withColumn("voted_type", codes.lookup("voted_state", codes.STATE_TYPE))
+
+
+def _taken(d: DataFrame, when) -> DataFrame:
+    """The model's results where `when` holds, with the evidence bit of the model."""
+    new = {"hmm_lh": F.col("voted_lh"), "cn_state": F.col("voted_state"), "genotype": codes.lookup("voted_state", codes.STATE_GENOTYPE), "evidence": F.col("evidence").bitwiseOR(256)}
+    return d.withColumns({c: F.when(when, e).otherwise(F.col(c)) for c, e in new.items()})
+
+
+def cigar_copy_numbers(calls: DataFrame, obs: DataFrame, model: hmm.Model, params: CallerParams = CallerParams()) -> DataFrame:
+    """CIGAR calls of min_cnv bases or more with the model's state where it may replace the type; ALT stays as it is."""
+    d = copy_numbers(calls, obs, model, "cigar")
+    new = F.when(F.col("voted_type") == "LOH", F.col("sv_type")).otherwise(F.col("voted_type"))
+    ok = F.coalesce(codes.valid_update(F.col("sv_type"), new) & (F.col("end_pos") - F.col("start_pos") >= params.min_cnv) & F.col("voted_lh").isNotNull(), F.lit(False))
+    d = _taken(d.withColumn("__ok", ok), F.col("__ok"))
+    return d.withColumn("sv_type", F.when(F.col("__ok"), new).otherwise(F.col("sv_type"))).select(*_CALL)
+
+
+def split_copy_numbers(calls: DataFrame, obs: DataFrame, model: hmm.Model) -> DataFrame:
+    """Split-read calls with the model's verdict: retyped, annotated, or joined by an extra call that replaces one of equal span and type."""
+    d = reports.split_update(copy_numbers(calls, obs, model, "split").withColumn("voted", F.col("voted_type")))
+    d = _taken(d, F.col("annotated")).withColumn("alt", F.when(F.col("new_type") != F.col("sv_type"), F.expr("concat('<', new_type, '>')")).otherwise(F.col("alt"))).withColumn("sv_type", F.col("new_type"))
+    d = d.withColumn("call_id", F.when(F.col("added"), F.xxhash64("call_id", F.lit("added"))).otherwise(F.col("call_id")))
+    # The extra call wins over an equal one.
+    rank = Window.partitionBy("chrom", "start_pos", "end_pos", "sv_type").orderBy(F.desc("added"), "call_id")
+    first = d.withColumn("__x", F.max("added").over(Window.partitionBy("chrom", "start_pos", "end_pos", "sv_type"))).withColumn("__r", F.row_number().over(rank))
+    return first.where("NOT __x OR __r = 1").select(*_CALL)
+
+
+def final_calls(cigar: DataFrame, split: DataFrame) -> DataFrame:
+    """Split-read calls merged (noise kept), put beside the CIGAR calls, and all merged once more."""
+    split = stored(merge_pass(stored(split), 0.1, 2, "keep").withColumn("call_id", F.xxhash64("call_id", F.lit("split"))))
+    return merge_pass(stored(cigar.unionByName(split)), 0.1, 2, "keep")
+
+
+def split_calls_of(alignments: DataFrame) -> DataFrame:
+    return _as_calls(split_calls.split_read_calls(alignments))
 
 
-def vcf_rows(calls: DataFrame, alignments: DataFrame, gaps: DataFrame, contigs: DataFrame, params: CallerParams = CallerParams()) -> DataFrame:
-    """Calls with support (depth at the start), assembly-gap flag and reference bases, as VCF columns."""
+def vcf_rows(calls: DataFrame, alignments: DataFrame, gaps: DataFrame, tiles: DataFrame, params: CallerParams = CallerParams()) -> DataFrame:
+    """Calls (call_id unique) with depth at the record's position, assembly-gap flag and the reference bases of tiles, as VCF columns."""
     runs = coverage.coverage_runs(coverage.read_filter(alignments))
-    d = coverage.depth_at(calls.withColumn("pos", F.col("start_pos")), runs).withColumnRenamed("depth", "support")
+    d = coverage.depth_at(vcf_out.output_span(_as_calls(calls)), runs).withColumnRenamed("depth", "support")
     d = intervals.gap_flag(d, gaps, ["call_id"], share=params.gap_share)
-    d = substring_at(contigs, d).withColumn("alt", F.expr("concat('<', sv_type, '>')")).withColumn("cn_state", F.lit(0))
-    return vcf_out.format_rows(d)
+    return vcf_out.format_rows(substring_at(tiles, d, ["call_id"], "ref_start", "ref_end"))

@@ -18,6 +18,7 @@ FIXTURES = {
   l_partkey * 7 + l_orderkey % 13 + 50 + CAST(l_quantity AS BIGINT) * 4 AS end_pos, CASE l_linenumber % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'DUP' WHEN 2 THEN 'INV' ELSE 'INS' END AS sv_type,
   CASE WHEN l_tax > 0.065 THEN -floor(l_extendedprice) / 100 ELSE 0.0 END AS hmm_lh, CAST(l_quantity AS INTEGER) AS cluster_size, CAST(l_partkey % 7 AS INTEGER) AS cn_state
   FROM lineitem""",
+    "fx_states": "SELECT user_id AS region_id, event_id % 1000 AS pos, CAST(1 + (CASE WHEN event_id % 2 = 0 THEN user_id ELSE event_id END) % 6 AS INTEGER) AS state, 100 AS start_pos, 700 AS end_pos FROM events",
     "fx_gaps": "SELECT 'chr' || CAST(1 + p_size % 5 AS VARCHAR(20)) AS chrom, p_partkey * 7 AS start_pos, p_partkey * 7 + p_size * 10 AS end_pos FROM part",
     "fx_snps": """SELECT 'chr' || CAST(1 + o_custkey % 5 AS VARCHAR(20)) AS chrom, 1 + o_orderkey * 5 AS pos, CAST(floor(o_totalprice) AS BIGINT) % 100 AS qual, o_custkey % 60 AS dp,
   o_orderkey % 23 AS ad_ref, o_custkey % 19 AS ad_alt, CASE WHEN o_orderstatus = 'P' THEN 'LowQual' ELSE 'PASS' END AS flt FROM orders""",
@@ -33,6 +34,18 @@ FIXTURES = {
     "fx_info": """SELECT call_id, chrom, start_pos, cluster_size, 'END=' || CAST(end_pos AS VARCHAR(20)) || ';SVTYPE=' || sv_type || ';SVLEN=' || CAST(CASE WHEN sv_type = 'DEL' THEN -(end_pos - start_pos + 1) ELSE end_pos - start_pos + 1 END AS VARCHAR(20))
   || ';SUPPORT=' || CAST(cluster_size AS VARCHAR(20)) || ';CLIPSUP=' || CAST(cn_state AS VARCHAR(20)) || CASE WHEN cn_state = 4 THEN ';LOH' ELSE '' END AS info FROM fx_calls""",
 }
+#: The reference of the queries: a repeated motif, of so many bases per contig.
+MOTIF, CONTIGS = "ACGTRYN", {"chr1": 1 << 18, "chr2": 1 << 18, "chr3": 1 << 18, "chr4": 1 << 18, "chr5": 9_000}
+
+
+def reference(spark: SparkSession, tile: int = 2048) -> DataFrame:
+    """The reference in tiles: chrom, tile, bases, length."""
+    contigs = spark.createDataFrame(list(CONTIGS.items()), "chrom string, length bigint")
+    cut = contigs.selectExpr("*", f"explode(sequence(0L, (length - 1) div {tile})) AS tile")
+    size = f"cast(least({tile}, length - tile * {tile}) AS int)"
+    return cut.selectExpr("chrom", "tile", f"substring(repeat('{MOTIF}', {tile // len(MOTIF) + 2}), cast(1 + tile * {tile} % {len(MOTIF)} AS int), {size}) AS bases", "length")
+
+
 NEEDS = {"fx_info": ("fx_calls",)}
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..operators import clustering, coverage, hmm, intervals, quality_control, reads, reports, vcf_out
-from .fixtures import table, with_sql
+from ..operators import clustering, coverage, filters, hmm, intervals, quality_control, reads, reports, split_calls, store, vcf_out
+from ..sources import text
+from .fixtures import reference, table, with_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +24,9 @@ def query(sql: str | None = None, *names: str):
     return add
 
 
+_EVIDENCE = "concat_ws(',', " + ", ".join(f"CASE WHEN cluster_size & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(codes.EVIDENCE)) + ")"
+_GENOTYPE = "CASE cn_state " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in codes.STATE_GENOTYPE.items()) + " END"
+
 _TILE = coverage.TILE
 _BASES = f"""!blocks AS (SELECT chrom, start_pos, end_pos FROM fx_alignments WHERE flag & 1796 = 0),
 cut AS (SELECT chrom, t AS tile, greatest(start_pos, t * {_TILE}) AS a, least(end_pos, (t + 1) * {_TILE} - 1) AS b FROM (SELECT *, unnest(range(start_pos // {_TILE}, end_pos // {_TILE} + 1)) AS t FROM blocks)),
@@ -102,7 +106,7 @@ _SPLIT = "!ok AS (SELECT * FROM fx_alignments WHERE flag & 1796 = 0 AND mapq >=
 @query(
     _SPLIT
     + """SELECT p.qname, p.chrom, p.start_pos AS p_start_pos, s.start_pos AS s_start_pos,
-  CASE WHEN p.query_start <= s.query_start THEN 1 ELSE -1 END * greatest(0, greatest(p.query_start, s.query_start) - least(p.query_end, s.query_end)) AS read_dist,
+  CASE WHEN p.start_pos < s.start_pos THEN 1 ELSE -1 END * greatest(0, greatest(p.query_start, s.query_start) - least(p.query_end, s.query_end)) AS read_dist,
   greatest(0, greatest(p.start_pos, s.start_pos) - least(p.end_pos, s.end_pos)) AS ref_dist, (p.flag & 16) <> (s.flag & 16) AS inverted FROM p JOIN s ON p.qname = s.qname AND p.chrom = s.chrom""",
     "fx_alignments",
 )
@@ -130,7 +134,7 @@ def overlap_self_join(spark, sf):
     return intervals.overlap_pairs(d, d, "call_id", 256).groupBy("a_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT call_id, EXISTS (SELECT 1 FROM fx_gaps g WHERE g.chrom = c.chrom AND (least(c.end_pos, g.end_pos) - greatest(c.start_pos, g.start_pos) + 1) / (c.end_pos - c.start_pos + 1)::DOUBLE > 0.2) AS gap FROM fx_calls c", "fx_calls", "fx_gaps")
+@query("SELECT call_id, EXISTS (SELECT 1 FROM fx_gaps g WHERE g.chrom = c.chrom AND (least(c.end_pos, g.end_pos + 1) - greatest(c.start_pos, g.start_pos + 1) + 1) / (c.end_pos - c.start_pos + 1)::DOUBLE > 0.2) AS gap FROM fx_calls c", "fx_calls", "fx_gaps")
 def assembly_gap_flag(spark, sf):
     return intervals.gap_flag(table(spark, sf, "fx_calls").select("call_id", "chrom", "start_pos", "end_pos"), table(spark, sf, "fx_gaps"), ["call_id"]).select("call_id", "gap")
 
@@ -174,7 +178,9 @@ def dbscan2d_core_calls(spark, sf):
 
 @query()
 def dbscan2d_clusters(spark, sf):
-    return clustering.dbscan_intervals(table(spark, sf, "fx_calls"), "call_id", ["chrom", "sv_type"], 0.1, 3)
+    """Clusters of all distinct calls; an id that stands for several spans gives each its own key."""
+    calls = table(spark, sf, "fx_calls").select(F.xxhash64("call_id", "start_pos", "end_pos", "sv_type").alias("call_key"), "chrom", "sv_type", "start_pos", "end_pos").distinct()
+    return clustering.dbscan_intervals(calls, "call_key", ["chrom", "sv_type"], 0.1, 3)
 
 
 _D1 = """!n AS (SELECT call_id, chrom, start_pos AS x, count(*) OVER (PARTITION BY chrom ORDER BY start_pos RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM fx_calls),
@@ -206,7 +212,7 @@ def merge_calls(spark, sf):
 
 @query("SELECT chrom, start_pos, end_pos, CAST(sum(cluster_size) AS BIGINT) AS cluster_size, max(sv_type) AS sv_type FROM fx_calls GROUP BY ALL", "fx_calls")
 def dedupe_calls(spark, sf):
-    return clustering.dedupe_calls(table(spark, sf, "fx_calls"))
+    return clustering.dedupe_calls(table(spark, sf, "fx_calls")).select("chrom", "start_pos", "end_pos", "cluster_size", "sv_type")
 
 
 @query("SELECT chrom, sv_type, list_sort(list(start_pos))[count(*) // 2 + 1] AS median FROM fx_calls GROUP BY chrom, sv_type", "fx_calls")
@@ -291,16 +297,23 @@ def union_calls(spark, sf):
 
 
 @query(
-    """!r AS (SELECT *, greatest(1, start_pos - 1) AS p0, 'ACGTRYN' AS ref_seq FROM fx_calls)
-SELECT chrom AS "CHROM", CASE sv_type WHEN 'DEL' THEN p0 WHEN 'INS' THEN start_pos - 1 ELSE start_pos END AS "POS", CASE sv_type WHEN 'DEL' THEN 'ACGTNNN' WHEN 'INS' THEN 'A' ELSE 'N' END AS "REF",
-  CASE sv_type WHEN 'DEL' THEN 'A' ELSE '<' || sv_type || '>' END AS "ALT", 'PASS' AS "FILTER",
-  'END=' || CASE sv_type WHEN 'INS' THEN start_pos - 1 ELSE end_pos END || ';SVTYPE=' || sv_type || ';SVLEN=' || CASE sv_type WHEN 'DEL' THEN -1 ELSE 1 END * (end_pos - start_pos + 1) || ';SUPPORT=' || cluster_size || ';CLUSTER=' || cluster_size || ';CN=' || cn_state || CASE WHEN cn_state = 4 THEN ';LOH' ELSE '' END AS "INFO"
-FROM r WHERE NOT (sv_type = 'INS' AND start_pos <= 1)""",
-    "fx_calls",
-)
+    """!r AS (SELECT *, CASE sv_type WHEN 'DEL' THEN greatest(1, start_pos - 1) WHEN 'INS' THEN start_pos - 1 ELSE start_pos END AS pos, CASE sv_type WHEN 'DEL' THEN end_pos WHEN 'INS' THEN start_pos - 1 END AS ref_end,
+  CASE WHEN chrom = 'chr5' THEN 9000 ELSE 262144 END AS len FROM fx_calls WHERE NOT (sv_type = 'INS' AND start_pos <= 1)),
+q AS (SELECT *, CASE WHEN ref_end <= len THEN substr(repeat('ACGTRYN', 60), CAST(1 + (pos - 1) % 7 AS INT), CAST(ref_end - pos + 1 AS INT)) ELSE '' END AS bases FROM r),
+dp AS (SELECT p.chrom, p.pos, count(a.aln_id) AS depth FROM (SELECT DISTINCT chrom, pos FROM r) p LEFT JOIN fx_alignments a ON p.chrom = a.chrom AND p.pos BETWEEN a.start_pos AND a.end_pos AND a.flag & 1796 = 0 GROUP BY ALL)
+SELECT chrom AS "CHROM", pos AS "POS", CASE WHEN bases = '' THEN 'N' ELSE regexp_replace(bases, '[RY]', 'N', 'g') END AS "REF", CASE WHEN sv_type = 'DEL' AND bases <> '' THEN left(bases, 1) ELSE '<' || sv_type || '>' END AS "ALT",
+  CASE WHEN EXISTS (SELECT 1 FROM fx_gaps g WHERE g.chrom = q.chrom AND (least(q.end_pos, g.end_pos + 1) - greatest(q.start_pos, g.start_pos + 1) + 1) / (q.end_pos - q.start_pos + 1)::DOUBLE > 0.2) THEN 'AssemblyGap' ELSE 'PASS' END AS "FILTER",
+  'END=' || CASE sv_type WHEN 'INS' THEN start_pos - 1 ELSE end_pos END || ';SVTYPE=' || sv_type || ';SVLEN=' || CASE sv_type WHEN 'DEL' THEN -1 ELSE 1 END * (end_pos - start_pos + 1) || ';SVMETHOD=strandlake 0.2;ALN=' || """ + _EVIDENCE + """ || ';HMM=' || printf('%.6f', hmm_lh::DOUBLE) || ';SUPPORT=' || depth || ';CLUSTER=' || cluster_size
+  || ';ALNOFFSET=' || (cn_state - 3) || ';CN=' || cn_state || CASE WHEN cn_state = 4 THEN ';LOH' ELSE '' END AS "INFO", """ + _GENOTYPE + """ || ':' || depth AS "SAMPLE" FROM q JOIN dp USING (chrom, pos)""",
+    "fx_calls", "fx_alignments", "fx_gaps",
+)
 def vcf_format_rows(spark, sf):
-    d = table(spark, sf, "fx_calls").withColumns({"alt": F.expr("concat('<', sv_type, '>')"), "ref_seq": F.lit("ACGTRYN"), "support": F.col("cluster_size"), "gap": F.lit(False)})
-    return vcf_out.format_rows(d)
+    """Records of all calls: depth and bases at the record's position, over the tiled reference."""
+    d = table(spark, sf, "fx_calls").withColumns({"alt": F.expr("concat('<', sv_type, '>')"), "evidence": F.col("cluster_size"), "aln_offset": F.col("cn_state") - 3, "genotype": codes.lookup("cn_state", codes.STATE_GENOTYPE)})
+    runs = _runs(spark, sf)
+    d = coverage.depth_at(vcf_out.output_span(d), runs).withColumnRenamed("depth", "support")
+    d = intervals.gap_flag(d, table(spark, sf, "fx_gaps"), ["call_id", "start_pos", "end_pos"])
+    return vcf_out.format_rows(text.substring_at(reference(spark), d, ["chrom", "ref_start", "ref_end"], "ref_start", "ref_end"))
 
 
 @query("SELECT call_id, concat_ws(',', " + ", ".join(f"CASE WHEN cluster_size & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(codes.EVIDENCE)) + ") AS evidence FROM fx_calls", "fx_calls")
@@ -339,7 +352,10 @@ e AS (SELECT *, CASE WHEN gt_child IN (least(f1, m1) || '/' || greatest(f1, m1),
 
 @query(_KNOWN + "SELECT sv_type, CAST(sum(error) AS BIGINT) AS errors, count(*) AS total FROM e GROUP BY sv_type", "fx_trio")
 def trio_mendelian_ordinal(spark, sf):
-    return quality_control.mendelian(table(spark, sf, "fx_trio"), ["sv_type"])
+    """Three call sets, each numbered in its own order, put side by side by number."""
+    t = table(spark, sf, "fx_trio")
+    part = lambda *c: store.numbered(t.select("ord", *c), ["ord"])
+    return quality_control.mendelian(filters.zip_trio(part("sv_type", "gt_child"), part("gt_father"), part("gt_mother")), ["sv_type"])
 
 
 @query(_KNOWN + "SELECT chrom, CAST(sum(error) AS BIGINT) AS errors, count(*) AS total FROM e GROUP BY chrom", "fx_trio")
@@ -359,10 +375,13 @@ def sv_size_buckets(spark, sf):
     return quality_control.size_buckets(table(spark, sf, "fx_calls").withColumn("size", F.col("end_pos") - F.col("start_pos")), (80, 120, 200))
 
 
-@query("!r AS (SELECT sv_type, cn_state AS eps, avg(CASE WHEN hmm_lh <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS p, avg(CASE WHEN cluster_size > 25 THEN 1.0::DOUBLE ELSE 0 END) AS r FROM fx_calls GROUP BY ALL) SELECT sv_type, eps, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM r QUALIFY row_number() OVER (PARTITION BY sv_type ORDER BY coalesce(2 * p * r / nullif(p + r, 0), 0) DESC, eps) = 1", "fx_calls")
+@query("!c AS (SELECT sv_type, cn_state AS eps, count(*) FILTER (hmm_lh <> 0 AND cluster_size > 25) AS tp, count(*) FILTER (hmm_lh <> 0 AND cluster_size <= 25) AS fp, count(*) FILTER (hmm_lh = 0 AND cluster_size > 25) AS fn FROM fx_calls GROUP BY ALL), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS r FROM c) SELECT sv_type, eps, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM r QUALIFY row_number() OVER (PARTITION BY sv_type ORDER BY coalesce(2 * p * r / nullif(p + r, 0), 0) DESC, eps) = 1", "fx_calls")
 def f1_best_param(spark, sf):
-    d = table(spark, sf, "fx_calls").groupBy("sv_type", F.col("cn_state").alias("eps")).agg(F.avg(F.expr("if(hmm_lh <> 0, 1D, 0D)")).alias("p"), F.avg(F.expr("if(cluster_size > 25, 1D, 0D)")).alias("r"))
-    return quality_control.best_f1(d)
+    """A call with a likelihood is predicted, one of over 25 reads is true; the parameter of the best F1 per type."""
+    said, true = "hmm_lh <> 0", "cluster_size > 25"
+    n = {"tp": f"{said} AND {true}", "fp": f"{said} AND NOT {true}", "fn": f"NOT {said} AND {true}"}
+    d = table(spark, sf, "fx_calls").groupBy("sv_type", F.col("cn_state").alias("eps")).agg(*(F.count_if(F.expr(e)).alias(k) for k, e in n.items()))
+    return quality_control.best_f1(quality_control.precision_recall(d))
 
 
 @query(
@@ -428,15 +447,15 @@ def split_update_ladder(spark, sf):
     return reports.split_update(d).select("call_id", "new_type", "annotated", "added")
 
 
-@query("SELECT chrom, CASE WHEN c5 >= 0.5 * n THEN 'half' ELSE 'less' END AS vote FROM (SELECT chrom, count(*) AS n, count(*) FILTER (cn_state >= 3) AS c5 FROM fx_calls GROUP BY chrom)", "fx_calls")
+@query("!n AS (SELECT region_id, state, count(*) AS n FROM fx_states WHERE pos BETWEEN start_pos AND end_pos GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY region_id) AS total FROM n) SELECT region_id, CAST(CASE WHEN n / total::DOUBLE < 0.5 THEN 0 ELSE state END AS INT) AS cn_state FROM t QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY n DESC, state) = 1", "fx_states")
 def state_vote_cigar(spark, sf):
-    d = table(spark, sf, "fx_calls").groupBy("chrom").agg(F.avg(F.expr("if(cn_state >= 3, 1D, 0D)")).alias("share"))
-    return d.select("chrom", F.expr("if(share >= 0.5, 'half', 'less') AS vote"))
+    return hmm.majority_state(table(spark, sf, "fx_states"), ["region_id"])
 
 
-@query("SELECT call_id, sv_type FROM fx_calls WHERE sv_type NOT IN ('UNKNOWN', 'NEUTRAL', 'INV')", "fx_calls")
+@query("!t AS (SELECT call_id, CASE WHEN cn_state = 0 THEN 'UNKNOWN' WHEN cn_state = 3 THEN 'NEUTRAL' ELSE sv_type END AS sv_type FROM fx_calls) SELECT call_id, sv_type FROM t WHERE sv_type NOT IN ('UNKNOWN', 'NEUTRAL')", "fx_calls")
 def valid_type_filter(spark, sf):
-    return table(spark, sf, "fx_calls").where("sv_type IN ('DEL', 'DUP', 'INS', 'BND')").select("call_id", "sv_type")
+    d = table(spark, sf, "fx_calls").select("call_id", F.expr("CASE cn_state WHEN 0 THEN 'UNKNOWN' WHEN 3 THEN 'NEUTRAL' ELSE sv_type END AS sv_type"))
+    return d.where(~F.col("sv_type").isin("UNKNOWN", "NEUTRAL"))
 
 
 @query("SELECT chrom, count(*) AS n FROM fx_calls GROUP BY chrom UNION ALL SELECT NULL, count(*) FROM fx_calls", "fx_calls")
@@ -444,10 +463,10 @@ def call_totals(spark, sf):
     return table(spark, sf, "fx_calls").rollup("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(floor(least(9, n_chars // 1000)) AS INT) AS bin, label, count(*) AS n FROM (SELECT d.n_chars, l.quality AS label FROM documents d JOIN labels l USING (doc_id)) GROUP BY ALL")
+@query("WITH f AS (SELECT CAST(dense_rank() OVER (ORDER BY f) - 1 AS INT) AS code, n_chars::DOUBLE AS sv_length, label FROM (SELECT d.*, l.quality AS label, min(d.doc_id) OVER (PARTITION BY source) AS f FROM documents d JOIN labels l USING (doc_id))) SELECT CAST(least(9, floor(10 / (1 + exp(-(0.25 * code + 0.0004 * sv_length - 1.5))))) AS INT) AS bin, label, count(*) AS n FROM f GROUP BY ALL")
 def lr_score_hist(spark, sf):
-    d = lr_features(spark, sf).select(F.expr("cast(least(9, cast(sv_length AS bigint) div 1000) AS int) AS bin"), "label")
-    return d.groupBy("bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    """Probabilities of a model with given weights, counted per bin and label."""
+    return quality_control.score_histogram(quality_control.logistic_score(lr_features(spark, sf), {"code": 0.25, "sv_length": 0.0004}, -1.5))
 
 
 @query()
@@ -467,4 +486,92 @@ def cigar_call_set(spark, sf):
     """CIGAR candidates through clustering and merging to one call per cluster."""
     from .calling import CallerParams, cigar_calls
 
-    return cigar_calls(table(spark, sf, "fx_alignments"), CallerParams(min_points=2))
+    return cigar_calls(table(spark, sf, "fx_alignments"), CallerParams(min_points=2)).drop("call_id")
+
+
+@query()
+def split_read_calls(spark, sf):
+    """Split-read candidates of all alignments; the fixture has few and short reads, so two points make a cluster and 50 bases a call."""
+    return split_calls.split_read_calls(table(spark, sf, "fx_alignments"), 400, 2, 50)
+
+
+_NOISE = """!d AS (SELECT *, CASE WHEN start_pos % 5 < 3 THEN start_pos // 50 END AS cl FROM fx_calls),
+n AS (SELECT *, count(*) OVER w AS n, max(CASE WHEN hmm_lh <> 0 THEN 1 ELSE 0 END) OVER w AS h, count(*) OVER (PARTITION BY chrom, sv_type) AS total FROM d WINDOW w AS (PARTITION BY chrom, sv_type, cl)),
+a AS (SELECT * FROM n WHERE n > 1 AND total > 1 AND {c} AND h = 1 AND hmm_lh <> 0 QUALIFY row_number() OVER (PARTITION BY chrom, sv_type, cl ORDER BY cluster_size DESC, end_pos - start_pos DESC, call_id) = 1),
+b AS (SELECT * FROM n WHERE n > 1 AND total > 1 AND {c} AND h = 0 QUALIFY row_number() OVER (PARTITION BY chrom, sv_type, cl ORDER BY end_pos - start_pos DESC, start_pos, call_id) = greatest(1, CAST(floor(n * 0.2) AS INT)) // 2 + 1)
+SELECT call_id, cl, CAST(cluster_size AS BIGINT) AS cluster_size FROM a UNION ALL SELECT call_id, cl, n FROM b UNION ALL SELECT call_id, cl, cluster_size FROM n WHERE total = 1{k}"""
+
+
+def _noise(spark, sf, policy):
+    d = table(spark, sf, "fx_calls").withColumn("cl", F.expr("CASE WHEN start_pos % 5 < 3 THEN start_pos div 50 END"))
+    return clustering.merge_calls(d, ["chrom", "sv_type"], "cl", "call_id", policy).select("call_id", "cl", "cluster_size")
+
+
+@query(_NOISE.format(c="cl IS NOT NULL", k=" UNION ALL SELECT call_id, cl, cluster_size FROM n WHERE cl IS NULL AND n > 1 AND total > 1"), "fx_calls")
+def merge_calls_keep_noise(spark, sf):
+    return _noise(spark, sf, "keep")
+
+
+@query(_NOISE.format(c="true", k=""), "fx_calls")
+def merge_calls_merge_noise(spark, sf):
+    return _noise(spark, sf, "merge")
+
+
+@query("SELECT call_id, sv_type, end_pos - start_pos + 1 AS length FROM fx_calls WHERE start_pos <= end_pos AND end_pos - start_pos + 1 BETWEEN 100 AND 200 AND end_pos - start_pos >= 120", "fx_calls")
+def length_filters(spark, sf):
+    """The validity, length-range and minimum-length rules one after the other, with bounds that the fixture meets."""
+    d = filters.long_enough(filters.length_between(filters.valid_spans(table(spark, sf, "fx_calls")), 100, 200), 120)
+    return d.select("call_id", "sv_type", (F.col("end_pos") - F.col("start_pos") + 1).alias("length"))
+
+
+@query("!t AS (SELECT *, CASE WHEN cn_state = 0 THEN 'UNKNOWN' WHEN cn_state = 3 THEN 'NEUTRAL' ELSE sv_type END AS kind FROM fx_calls) SELECT call_id, kind AS sv_type FROM t WHERE kind NOT IN ('UNKNOWN', 'NEUTRAL') AND end_pos - start_pos + 1 >= 150", "fx_calls")
+def saved_cnv_filter(spark, sf):
+    d = table(spark, sf, "fx_calls").withColumn("sv_type", F.expr("CASE cn_state WHEN 0 THEN 'UNKNOWN' WHEN 3 THEN 'NEUTRAL' ELSE sv_type END"))
+    return filters.saved_cnvs(d, 150).select("call_id", "sv_type")
+
+
+@query("SELECT chrom, min(pos) AS first_pos, max(pos) AS last_pos FROM fx_snps GROUP BY chrom", "fx_snps")
+def snp_bounds(spark, sf):
+    return filters.position_bounds(table(spark, sf, "fx_snps"))
+
+
+@query("!t AS (SELECT call_id, chrom || CASE WHEN cn_state = 0 THEN '' ELSE ':' || start_pos || '-' || end_pos END AS region FROM fx_calls) SELECT call_id, split_part(region, ':', 1) AS chrom, try_cast(nullif(regexp_extract(region, ':([0-9]+)-', 1), '') AS BIGINT) AS start_pos, try_cast(nullif(regexp_extract(region, '-([0-9]+)$', 1), '') AS BIGINT) AS end_pos FROM t", "fx_calls")
+def region_parse(spark, sf):
+    d = table(spark, sf, "fx_calls").select("call_id", F.expr("concat(chrom, if(cn_state = 0, '', concat(':', start_pos, '-', end_pos))) AS region"))
+    return d.select("call_id", F.expr(text.parse_region("region")).alias("r")).select("call_id", "r.*")
+
+
+@query("SELECT call_id, CASE WHEN hmm_lh = 0 THEN -1e-100 ELSE hmm_lh::DOUBLE END AS lh FROM fx_calls", "fx_calls")
+def likelihood_floor(spark, sf):
+    return table(spark, sf, "fx_calls").select("call_id", filters.likelihood_or_least("hmm_lh").cast("double").alias("lh"))
+
+
+@query("!t AS (SELECT *, CASE WHEN cn_state = 6 THEN 'BND' ELSE sv_type END AS kind, CASE WHEN cluster_size % 2 = 0 THEN 'DELLY' ELSE 'OTHER' END AS caller FROM fx_calls) SELECT call_id, CASE WHEN caller = 'DELLY' THEN end_pos - start_pos ELSE abs(-(end_pos - start_pos + 1)) END AS size FROM t WHERE kind <> 'BND'", "fx_calls")
+def sv_size_choice(spark, sf):
+    d = table(spark, sf, "fx_calls").withColumns({"sv_type": F.expr("if(cn_state = 6, 'BND', sv_type)"), "caller": F.expr("if(cluster_size % 2 = 0, 'DELLY', 'OTHER')"), "sv_len": F.expr("-(end_pos - start_pos + 1)")})
+    return d.select("call_id", filters.sv_size("caller").alias("size")).where("size IS NOT NULL")
+
+
+@query("SELECT call_id, 1 AS label FROM fx_calls WHERE cluster_size > 25 UNION ALL SELECT call_id, 0 FROM fx_calls WHERE cluster_size <= 25", "fx_calls")
+def labelled_calls(spark, sf):
+    d = table(spark, sf, "fx_calls").select("call_id", "cluster_size")
+    return filters.labelled_union({1: d.where("cluster_size > 25"), 0: d.where("cluster_size <= 25")}).select("call_id", "label")
+
+
+@query("SELECT call_id FROM fx_calls WHERE call_id NOT IN (SELECT call_id FROM fx_calls WHERE hmm_lh <> 0)", "fx_calls")
+def rows_not_emitted(spark, sf):
+    d = table(spark, sf, "fx_calls").select("call_id", "hmm_lh")
+    return filters.rows_left(d, d.where("hmm_lh <> 0"), "call_id").select("call_id")
+
+
+@query("SELECT CASE WHEN info LIKE '%SVTYPE=DEL%' THEN 'DEL' ELSE 'other' END AS kind, count(*) AS n FROM fx_info GROUP BY ALL", "fx_info")
+def type_split(spark, sf):
+    a, b = filters.type_contains(table(spark, sf, "fx_info"), "DEL")
+    return a.withColumn("kind", F.lit("DEL")).unionByName(b.withColumn("kind", F.lit("other"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) FILTER (chrom IS NULL) AS chrom, count(*) FILTER (pos IS NULL) AS pos, count(*) FILTER (baf IS NULL) AS baf FROM (SELECT chrom, pos, CASE WHEN ad_ref + ad_alt > 0 THEN ad_alt / (ad_ref + ad_alt)::DOUBLE END AS baf FROM fx_snps)", "fx_snps")
+def feature_nulls(spark, sf):
+    return filters.null_counts(table(spark, sf, "fx_snps").select("chrom", "pos", F.expr("try_divide(cast(ad_alt AS double), ad_ref + ad_alt)").alias("baf")))
+
+

@@ -14,15 +14,29 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """chrom (the header up to its first white space) and sequence, lines joined."""
-    d = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    """chrom (the header up to its first white space) and sequence, lines joined; a record begins with '>' at the start of a line."""
+    d = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where("trim(value) <> ''")
     return d.select(F.regexp_extract("value", r"^(\S+)", 1).alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"))
 
 
-def substring_at(contigs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (chrom, start_pos, end_pos; 1-based, closed) plus ref_seq; empty beyond the contig's end."""
-    d = ranges.join(contigs, "chrom", "left")
-    return d.withColumn("ref_seq", F.expr("if(start_pos < 1 OR end_pos < start_pos OR end_pos > length(sequence) OR sequence IS NULL, '', substring(sequence, cast(start_pos AS int), cast(end_pos - start_pos + 1 AS int)))")).drop("sequence")
+BASES = 1 << 11
+
+
+def base_tiles(contigs: DataFrame, tile: int = BASES) -> DataFrame:
+    """Contigs (chrom, sequence) cut into tiles: chrom, tile, bases and the contig's length; look-ups then join tiles, not contigs."""
+    d = contigs.withColumn("length", F.length("sequence")).withColumn("tile", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0) div {tile})")))
+    return d.select("chrom", "tile", F.expr(f"substring(sequence, cast(tile * {tile} + 1 AS int), {tile})").alias("bases"), F.col("length").cast("bigint"))
+
+
+def substring_at(tiles: DataFrame, ranges: DataFrame, key: list[str], start: str = "start_pos", end: str = "end_pos", tile: int = BASES) -> DataFrame:
+    """ranges (chrom, start, end; 1-based, closed; key unique) plus ref_seq; empty for null or reversed ranges and beyond the contig's ends."""
+    good = ranges.where(f"{start} >= 1 AND {end} >= {start}").select(*key, "chrom", F.col(start).cast("bigint").alias("__s"), F.col(end).cast("bigint").alias("__e")).distinct()
+    cut = good.withColumn("tile", F.explode(F.expr(f"sequence((__s - 1) div {tile}, (__e - 1) div {tile})")))
+    first = f"(tile * {tile} + 1)"
+    part = F.expr(f"substring(bases, cast(greatest(__s, {first}) - {first} + 1 AS int), cast(least(__e, {first} + {tile} - 1) - greatest(__s, {first}) + 1 AS int))")
+    hit = cut.join(tiles, ["chrom", "tile"]).where("__e <= length").select(*key, "tile", part.alias("b"))
+    seq = hit.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "b"))), lambda x: x["b"]), "").alias("ref_seq"))
+    return ranges.join(seq, key, "left").withColumn("ref_seq", F.coalesce("ref_seq", F.lit("")))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
@@ -71,3 +85,30 @@ def read_hmm(spark: SparkSession, path: str):
     n = int(tokens["N"][0])
     a = tokens["A"]
     return Model(tuple(tuple(a[i * n : (i + 1) * n]) for i in range(n)), tuple(tokens["pi"]), tuple(tokens["B1_mean"]), tuple(tokens["B1_sd"]), tokens["B1_uf"][0], tuple(tokens["B2_mean"]), tuple(tokens["B2_sd"]), tokens["B2_uf"][0])
+
+
+def read_cnv_table(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
+    """Metadata of the KEY=VALUE lines above the header (SVTYPE, POS, HMM_LOGLH), and the tab-separated rows below it as strings."""
+    top = [r.value for r in spark.read.text(path).limit(4).collect()]
+    meta = dict(x.split("=", 1) for x in top if "=" in x and "\t" not in x)
+    names = next((x for x in top if "=" not in x or "\t" in x), "").split("\t")
+    body = spark.read.text(path).where(~F.col("value").isin([*(x for x in top if x.split("=", 1)[0] in meta), "\t".join(names)]) & (F.col("value") != ""))
+    parts = F.split("value", "\t")
+    return meta, body.select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+def read_cnv_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Objects of a JSON array, one row each."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_trio(spark: SparkSession, path: str, names: tuple[str, ...] = ("chrom", "pos", "sv_type", "genotype")) -> DataFrame:
+    """Rows of a tab-separated file without header, as strings but for pos."""
+    return spark.read.csv(path, sep="\t", schema=", ".join(f"{n} {'bigint' if n == 'pos' else 'string'}" for n in names))
+
+
+def parse_region(col: str) -> str:
+    """SQL: struct<chrom,start_pos,end_pos> of 'chr:start-end'; a bare contig has null ends."""
+    ends = lambda i: f"try_cast(replace(regexp_extract({col}, '^[^:]+:([0-9,]+)-([0-9,]+)$', {i}), ',', '') AS bigint)"
+    return f"named_struct('chrom', regexp_extract({col}, '^([^:]+)', 1), 'start_pos', {ends(1)}, 'end_pos', {ends(2)})"
