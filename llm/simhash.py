@@ -120,17 +120,22 @@ def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _chain(x: np.ndarray) -> np.ndarray:
+def _chain(x: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     """For XORs: (n, 8) whether the chain from each start keeps within its budgets."""
     d = np.bitwise_count(x.view(np.uint8).reshape(-1, 8)).astype(np.int16)
     ok = np.ones((len(x), SEGMENTS), dtype=bool)
     total = np.zeros((len(x), SEGMENTS), dtype=np.int16)
     for length in range(1, SEGMENTS + 1):
         total += np.roll(d, -(length - 1), axis=1)
-        ok &= total <= length * MOST_BITS // SEGMENTS
+        ok &= total <= length * most // SEGMENTS
     return ok
 
 
+def chain_holds(x: np.ndarray, most: int) -> np.ndarray:
+    """Whether any chain of the ring keeps within the budgets of `most` bits, as it does for every XOR of at most so many."""
+    return _chain(np.ascontiguousarray(x), most).any(axis=1)
+
+
 def _owner(x: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """The first key (start and pattern) whose chain holds and whose three segments are equal."""
     same = x.view(np.uint8).reshape(-1, 8) == 0
@@ -173,16 +178,22 @@ def _edges(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(f: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Edges of a spanning forest of the links among f: every reached one is compared only with those still unreached."""
+    """Edges of a spanning forest of the links among f: every reached one is compared only with those still unreached.
+
+    Chains prune before the distance is taken: first by an equal segment, then by their budgets."""
     left, a, b = f, [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             u = queue.pop()
-            near = np.bitwise_count(left ^ u) <= MOST_BITS
-            if near.any():
+            x = left ^ u
+            # Chains begin with a segment within its own budget (none differs, as 4 div 8 is 0).
+            may = np.flatnonzero(((x - _ONES) & ~x & _HIGHS) != 0)
+            may = may[chain_holds(x[may], MOST_BITS)]
+            near = may[np.bitwise_count(x[may]) <= MOST_BITS]
+            if len(near):
                 found = left[near]
-                left = left[~near]
+                left = np.delete(left, near)
                 a.append(np.full(len(found), u, dtype=np.uint64))
                 b.append(found)
                 queue.extend(found)
@@ -190,6 +201,10 @@ def _forest(f: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _batch(np.concatenate(a), np.concatenate(b))
 
 
+#: For the test whether a 64-bit word has a zero byte.
+_ONES, _HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     a, b = a.view(np.int64), b.view(np.int64)
     ok = a != b
@@ -210,3 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = joined.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     label = written(label, "simhash-labels")
     return prints.join(label, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs without the near-duplicates (word shingles, similarity 0.8 or more) of a row with a smaller id; rows with a null id stay."""
+    from .jaccard import keep_first as similar_first
+
+    return similar_first(docs, id_col, text_col, shingle)

@@ -173,6 +173,7 @@ def brute_near_first(rows):
 @pytest.mark.parametrize("short_run", [64, 4])
 def test_near_copies_of_similarity(spark, docs, short_run, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT_RUN", short_run)
+    monkeypatch.setattr(jaccard, "ROUNDS", (2, 4, 16, 1 << 62) if short_run == 4 else jaccard.ROUNDS)
     r = random.Random(13)
     vocabulary = [f"w{i}" for i in range(3000)]
     passage = r.choices(vocabulary, k=60)
@@ -188,6 +189,12 @@ def test_near_copies_of_similarity(spark, docs, short_run, monkeypatch):
     many = r.choices(vocabulary, k=100)
     for i in range(100):
         rows.append((5000 + i, " ".join([*many[:i], "changed", *many[i + 1 :]])))
+    other = r.choices(vocabulary, k=100)
+    for i in range(60):  # a group with links between some of its pairs only
+        w = list(other)
+        for at in r.sample(range(100), 4):
+            w[at] = r.choice(vocabulary)
+        rows.append((7000 + i, " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {x.doc_id for x in jaccard.keep_first(d).collect()}
     assert got == brute_near_first(rows)
