@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import slices
-from .repeats import removed_ranges, unpack
+from .repeats import SLICE, removed_ranges, unpack
 
 LENGTH, TRIGGER = 50, 24
 
@@ -56,13 +56,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of `length` bytes that covers it also starts in a row with a smaller
     id.  Strings never cross documents and are judged on the input.  Null and empty texts have no
-    bytes; rows with a null id, or an id that stands for different texts, stay whole; repeated
-    rows keep their bytes unless an earlier id has them.  Ids are integers."""
+    bytes; rows with a null id stay whole; rows of one id are judged one by one against smaller
+    ids, never against each other.  Ids are integers.  Bytes themselves are compared."""
     found = removed_ranges(docs, length, trigger, False, lambda t, c, d: mark_windows(t, c, d, length), id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sizes, spans, kept = [], [], []
                 for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     data = (text or "").encode()
@@ -90,10 +90,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     changed = (
         repeated_bytes(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")), "i", "t")
         .where("size(spans) > 0")
-        .select(F.col("i").alias("__i"), F.col("kept").alias("__k"))
-        .dropDuplicates(["__i"])
+        .select(F.col("i").alias("__i"), F.xxhash64("t").alias("__x"), F.col("kept").alias("__k"))
+        .dropDuplicates(["__i", "__x"])
     )
-    joined = docs.join(changed, docs[f"`{id_col}`"] == changed["__i"], "left")
+    joined = docs.join(changed, (docs[f"`{id_col}`"] == changed["__i"]) & (F.xxhash64(docs[f"`{text_col}`"]) == changed["__x"]), "left")
     new = F.when(F.col("__k").isNull(), F.col(f"`{text_col}`")).otherwise(_utf8(F.col("__k")))
     out = joined.withColumn("__new", new)
     cols = []

@@ -14,20 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from . import textblocks as tb
-from .decontaminate import slices, words_of
-from .repeats import removed_ranges, unpack
+from .decontaminate import slices
+from .repeats import SLICE, removed_ranges, unpack
 
 WINDOW, TRIGGER = 13, 4
 #: Suffixes of one subtree.
 GROUP = 1 << 20
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
 def prefix_groups(words: np.ndarray, starts: np.ndarray, depth: int, most: int = GROUP) -> Iterator[np.ndarray]:
     """Suffixes with common prefixes of variable length, packed into groups of about `most`."""
     todo, pack, size = [(np.arange(len(starts)), 0)], [], 0
@@ -73,9 +69,9 @@ def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
 
 def mark_windows(texts: list[bytes], counts: np.ndarray, docs: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the dictionary (phrase, place) whose words an earlier document has."""
-    raw = np.frombuffer(b" ".join(texts), np.uint8)
-    s, e, first = words_of(raw, np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1], ~_SPACE)
-    words = tb.span_hash(tb.prefix_hash(tb.byte_values(raw)), s, e)
+    # Words are numbered, so that equal numbers are equal words.
+    parts = pa.compute.split_pattern(pa.array(texts, pa.large_binary()), b" ")
+    words, first = parts.values.dictionary_encode().indices.to_numpy(), parts.offsets.to_numpy()[:-1]
     phrase = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts, hits = first[phrase] + place, []
@@ -94,14 +90,13 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of words that covers it also starts in a row with a smaller id.
     Windows never cross documents and are judged on the input.  Null and empty texts have no
-    words; rows with a null id, or an id that stands for different texts, stay whole; repeated
-    rows keep their words unless an earlier id has them.  Ids are integers.  Words are compared by
-    64-bit hashes over whole windows (13 of them at once)."""
+    words; rows with a null id stay whole; rows of one id are judged one by one against smaller
+    ids, never against each other.  Ids are integers.  Words themselves are compared."""
     found = removed_ranges(docs, window, trigger, True, lambda t, c, d: mark_windows(t, c, d, window), id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sizes, spans, kept = [], [], []
                 for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     words = (text or "").encode().split()

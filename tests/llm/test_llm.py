@@ -69,24 +69,63 @@ def brute_repeats(rows, size):
     return out
 
 
+def judged(rows, size):
+    """Kept symbols and their number of each (id, symbols), each row against rows of smaller ids."""
+    seen = {}
+    for i, s in rows:
+        for p in range(len(s) - size + 1):
+            w = tuple(s[p : p + size])
+            seen[w] = min(seen.get(w, i), i)
+    out = []
+    for i, s in rows:
+        gone = {p + d for p in range(len(s) - size + 1) if seen[tuple(s[p : p + size])] < i for d in range(size)}
+        out.append((i, [x for p, x in enumerate(s) if p not in gone], len(gone)))
+    return out
+
+
+def with_ambiguous(docs):
+    """docs and ids that stand for different texts, with passages of smaller and of equal ids."""
+    r = random.Random(8)
+    a = " ".join(f"w{r.randrange(500)}" for _ in range(40))
+    more = [(500, "q" * 60), (501, "q" * 60), (501, "other"), (501, None), (502, a), (502, f"x {a}"), (503, f"{a} y"), (503, f"z {a} y")]
+    return docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
+
+
 def test_suffix_arrays(docs):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect() if r.doc_id is not None]
-    want = brute_repeats(rows, 50)
-    got = suffix_array.repeated_bytes(docs).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        if r.doc_id is None:
-            assert r.kept == r.text.encode()
-        else:
-            assert (list(r.kept), sum(x.stop - x.start for x in r.spans)) == want[r.doc_id]
+    for d in (docs, with_ambiguous(docs)):
+        rows = d.collect()
+        want = sorted(judged([(r.doc_id, (r.text or "").encode()) for r in rows if r.doc_id is not None], 50))
+        got = suffix_array.repeated_bytes(d).collect()
+        assert len(got) == len(rows)
+        assert all(r.kept == r.text.encode() for r in got if r.doc_id is None)
+        assert sorted((r.doc_id, list(r.kept), sum(x.stop - x.start for x in r.spans)) for r in got if r.doc_id is not None) == want
+    assert suffix_array.repeated_bytes(docs.limit(0)).count() == 0
 
 
 def test_suffix_trees(docs):
-    rows = [(r.doc_id, WORD.findall(r.text or "")) for r in docs.collect() if r.doc_id is not None]
-    want = brute_repeats(rows, 13)
-    for r in suffix_tree.repeated_words(docs).collect():
-        if r.doc_id is not None:
-            assert (r.kept, sum(x.stop - x.start for x in r.spans)) == (" ".join(want[r.doc_id][0]), want[r.doc_id][1])
+    for d in (docs, with_ambiguous(docs)):
+        rows = d.collect()
+        want = sorted(judged([(r.doc_id, WORD.findall(r.text or "")) for r in rows if r.doc_id is not None], 13))
+        got = suffix_tree.repeated_words(d).collect()
+        assert len(got) == len(rows)
+        assert sorted((r.doc_id, r.kept.split(" ") if r.kept else [], sum(x.stop - x.start for x in r.spans)) for r in got if r.doc_id is not None) == want
+    assert suffix_tree.repeated_words(docs.limit(0)).count() == 0
+
+
+def test_equal_hashes_are_no_repeat(spark):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2**64."""
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"common{i}" for i in range(12))
+    d = spark.createDataFrame([(1, f"{common} {t}"), (2, f"{common} {u}")], "doc_id long, text string")
+    assert [x.spans for x in suffix_tree.repeated_words(d).collect()] == [[], []]
+    r = random.Random(2)
+    rows = [(i, "".join(r.choice("ab") for _ in range(300)) + (t, u)[i % 2]) for i in range(4)]
+    want = sorted(judged([(i, x.encode()) for i, x in rows], 50))
+    got = suffix_array.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, list(x.kept), sum(y.stop - y.start for y in x.spans)) for x in got) == want
 
 
 def test_prefix_groups_keep_equal_suffixes_together():
