@@ -1,4 +1,4 @@
-"""Benchmark decontamination by a broadcast set of normalised n-gram hashes.
+"""Benchmark decontamination by broadcast sets of normalised n-gram hashes.
 
 Words are runs of characters other than ASCII controls, punctuation and space, with A-Z
 lower-cased.  Every window of 13 item words (an item with fewer words, but not none, is one
@@ -8,8 +8,9 @@ by word, and the words inside verified windows are hit.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .common import written
 
 WINDOW = 13
-#: The broadcast side is refused above this many bytes of item text.
-MAX_BROADCAST = 256 << 20
+#: Bytes of one broadcast set; a larger benchmark takes several, each with a pass of its own over the texts.
+MAX_BROADCAST = 64 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,52 +44,112 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _item_windows(items: list[tuple]) -> dict[int, tuple[np.ndarray, list]]:
-    """By window length: the sorted distinct hashes, and for each the (words, item ids) behind it."""
-    found: dict[int, dict[int, dict[bytes, set]]] = {}
-    for item, text in items:
-        raw, off = tb.buffers(pa.array([text or ""]))
-        raw = _LOWER[raw]
-        s, e, _ = words_of(raw, off, _WORD)
-        if not len(s):
-            continue
-        size = min(WINDOW, len(s))
-        h = tb.gram_hash(tb.prefix_hash(tb.span_hash(tb.prefix_hash(tb.byte_values(raw)), s, e)), size)
-        for i, x in enumerate(h.tolist()):
-            words = b" ".join(raw[a:b].tobytes() for a, b in zip(s[i : i + size], e[i : i + size]))
-            found.setdefault(size, {}).setdefault(x, {}).setdefault(words, set()).add(item)
-    out = {}
-    for size, by in found.items():
-        keys = np.array(sorted(by), dtype=np.uint64)
-        out[size] = (keys, [[(w, sorted(x for x in ids if x is not None)) for w, ids in by[k].items()] for k in keys.tolist()])
-    return out
-
+class Windows:
+    """Windows of some items: by length, sorted hashes with their item and its bytes in one text of all items, each item once."""
 
-def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    def __init__(self, items: list[tuple]):
+        column = pa.array([t or "" for _, t in items], pa.large_string())
+        raw, off = tb.buffers(column)
+        raw = _LOWER[raw]
+        s, e, first = words_of(raw, off, _WORD)
+        self.items = [i for i, _ in items]
+        # The words with single spaces between them, so that a window is one range of bytes.
+        lens = e - s
+        begin = np.cumsum(lens + 1) - lens - 1
+        text = np.full(int((lens + 1).sum()), 32, dtype=np.uint8)
+        text[np.repeat(begin - s, lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens - s, lens)] = raw[np.repeat(s - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())]
+        self.text = text.tobytes()
+        prefix = tb.prefix_hash(tb.span_hash(tb.prefix_hash(tb.byte_values(raw)), s, e)) if len(s) else np.zeros(1, np.uint64)
+        count = np.diff(first)
+        self.by_size = {}
+        for size in np.unique(np.minimum(count[count > 0], WINDOW)).tolist():
+            own = np.flatnonzero(count == size if size < WINDOW else count >= size)
+            item = np.repeat(own, count[own] - size + 1)
+            at = np.arange(len(item)) - np.repeat(np.cumsum(count[own] - size + 1) - (count[own] - size + 1), count[own] - size + 1) + first[item]
+            h = tb.gram_hash(prefix, size)[at]
+            order = np.argsort(h, kind="stable")
+            at, item = at[order], item[order]
+            self.by_size[size] = (h[order], item.astype(np.int32), begin[at], begin[at + size - 1] + lens[at + size - 1])
+
+    def size_in_bytes(self) -> int:
+        return len(self.text) + sum(x.nbytes for v in self.by_size.values() for x in v)
+
+
+def _chunks(bench: DataFrame, most: int):
+    """Items in sets that stay below `most` bytes (a single larger item is one set), read one after the other: an item's set takes up to about 40 bytes a byte of text."""
+    held, weight = [], 0
+    for r in bench.toLocalIterator():
+        n = 40 * len((r.t or "").encode()) + 64
+        if held and weight + n > most:
+            yield Windows(held)
+            held, weight = [], 0
+        held.append((r.i, r.t))
+        weight += n
+    yield Windows(held)
+
+
+_FOUND = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:long,end:long>>"
+
+
+def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), most: int = MAX_BROADCAST) -> DataFrame:
     """Columns id, `keep`, n_words, n_hit (long), item_ids array<string> (sorted), hit_spans array<struct<start,end>>.
 
     hit_spans are the byte ranges of maximal runs of hit words.  Null texts have no words; null
     item ids mark words but are not listed; repeated items count once; an empty benchmark hits
-    nothing.  The item texts are counted on Spark first and broadcast only below MAX_BROADCAST
-    bytes; beyond that only items that share a window hash with the corpus are broadcast."""
+    nothing; kept columns may have any name.  Items are sent in sets of at most `most` bytes: one
+    as a rule, found in one pass; of several each has a pass that writes the hits of numbered rows."""
     bench = items.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).distinct()
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     names = list(dict.fromkeys((id_col, *keep)))
-    src = docs.select(*(f"`{c}`" for c in dict.fromkeys((*names, text_col))))
-    if size > MAX_BROADCAST:
-        bench = _occurring(src, bench, text_col)
-    windows = _item_windows([(r.i, r.t) for r in bench.collect()])
-    sent = docs.sparkSession.sparkContext.broadcast(windows)
+    kinds = docs.select(*(f"`{c}`" for c in names)).schema
+    src = docs.select(F.col(f"`{text_col}`").alias("t"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
+    fields = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds))
+    sc = docs.sparkSession.sparkContext
+    chunks = _chunks(bench, most)
+    first, second = next(chunks), next(chunks, None)
+    if second is None:
+        sent = sc.broadcast(first)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "t"):
+                    hits = _hits(part.column(0), sent.value)
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *_marked(part.column(0), hits)], names=[*part.schema.names[1:], "n_words", "n_hit", "item_ids", "hit_spans"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wins = sent.value
+        return src.mapInArrow(run, f"{fields}, {_FOUND}").toDF(*names, "n_words", "n_hit", "item_ids", "hit_spans")
+    src = written(src.withColumn("row", F.monotonically_increasing_id()), "bench-rows")
+    passes = [written(_pass(src, sc.broadcast(c)), "bench-hits") for c in itertools.chain((first, second), chunks)]
+    hits = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("size")).alias("size"), F.flatten(F.collect_list("items")).alias("items"))
+    both = src.join(hits, "row", "left").select("t", *(f"_{i}" for i in range(len(names))), "at", "size", "items")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                cols = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, *_scan_part(part.column(part.schema.get_field_index(text_col)), wins)], names=[*names, "n_words", "n_hit", "item_ids", "hit_spans"])
+            for part in slices(batch, "t"):
+                at, size, of = (part.column(part.num_columns - i).to_pylist() for i in (3, 2, 1))
+                hits = [(list(zip(a or (), n or ())), set(x or ())) for a, n, x in zip(at, size, of)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:-3], *_marked(part.column(0), hits)], names=[*part.schema.names[1:-3], "n_words", "n_hit", "item_ids", "hit_spans"])
+
+    return both.mapInArrow(finish, f"{fields}, {_FOUND}").toDF(*names, "n_words", "n_hit", "item_ids", "hit_spans")
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*(f"`{c}`" for c in names)).schema)
-    return src.mapInArrow(run, f"{fields}, n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:long,end:long>>")
+def _pass(src: DataFrame, sent) -> DataFrame:
+    """row, at, size and items of the rows that hold windows of one set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                hits = _hits(part.column(0), sent.value)
+                rows = [i for i, (at, _) in enumerate(hits) if at]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(1).take(pa.array(rows, pa.int64())),
+                        pa.array([[a for a, _ in hits[i][0]] for i in rows], pa.list_(pa.int64())),
+                        pa.array([[n for _, n in hits[i][0]] for i in rows], pa.list_(pa.int64())),
+                        pa.array([sorted(hits[i][1]) for i in rows], pa.list_(pa.string())),
+                    ],
+                    names=["row", "at", "size", "items"],
+                )
+
+    return src.select("t", "row").mapInArrow(run, "row long, at array<long>, size array<long>, items array<string>")
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -101,106 +163,87 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa
         start = stop
 
 
-def _scan_part(column: pa.Array, windows) -> list[pa.Array]:
+def _words(column: pa.Array):
     raw, off = tb.buffers(column)
     raw = _LOWER[raw]
-    s, e, first = words_of(raw, off, _WORD)
-    n_docs, counts = len(column), np.diff(first)
-    doc = np.repeat(np.arange(n_docs), counts)
-    hit = np.zeros(len(s) + 1, dtype=np.int32)
-    items: list[set] = [set() for _ in range(n_docs)]
+    return raw, off, *words_of(raw, off, _WORD)
+
+
+def _hits(column: pa.Array, windows: Windows) -> list[tuple[list, set]]:
+    """Per text the (first word, number of words) of each verified window, and the ids of their items."""
+    raw, _, s, e, first = _words(column)
+    doc = np.repeat(np.arange(len(column)), np.diff(first))
+    out: list[tuple[list, set]] = [([], set()) for _ in range(len(column))]
     prefix = tb.prefix_hash(tb.span_hash(tb.prefix_hash(tb.byte_values(raw)), s, e)) if len(s) else np.zeros(1, np.uint64)
-    for size, (keys, behind) in windows.items():
+    for size, (keys, item, begin, end) in windows.by_size.items():
         h = tb.gram_hash(prefix, size)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        for w in np.flatnonzero((keys[at] == h) & (doc[: len(h)] == doc[size - 1 : size - 1 + len(h)])).tolist():
+        low = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        for w in np.flatnonzero((keys[low] == h) & (doc[: len(h)] == doc[size - 1 : size - 1 + len(h)])).tolist():
             words = b" ".join(raw[a:b].tobytes() for a, b in zip(s[w : w + size], e[w : w + size]))
-            for have, ids in behind[at[w]]:
-                if have == words:
-                    items[doc[w]].update(ids)
-                    hit[w] += 1
-                    hit[w + size] -= 1
-    on = np.cumsum(hit[:-1]) > 0
-    n_hit = np.add.reduceat(np.append(on, False).astype(np.int64), np.minimum(first[:-1], len(on))) if n_docs else np.zeros(0, np.int64)
-    n_hit[counts == 0] = 0
-    spans: list[list] = [[] for _ in range(n_docs)]
-    if on.any():
-        edge = on & np.r_[True, ~on[:-1] | (doc[1:] != doc[:-1])]
-        stop = on & np.r_[~on[1:] | (doc[1:] != doc[:-1]), True]
-        for a, b in zip(np.flatnonzero(edge).tolist(), np.flatnonzero(stop).tolist()):
-            d = doc[a]
-            spans[d].append({"start": int(s[a] - off[d]), "end": int(e[b] - off[d])})
-    return [
-        pa.array(counts, pa.int64()),
-        pa.array(n_hit, pa.int64()),
-        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-    ]
-
-
-def _occurring(docs: DataFrame, bench: DataFrame, text: str) -> DataFrame:
-    """Items that share a window hash with the corpus, by a shuffled semi-join on hashes."""
-
-    def hashes(df: DataFrame, col: str, whole_if_short: bool, extra: tuple[str, ...], sizes=(WINDOW,)) -> DataFrame:
-        src = df.select(*extra, f"`{col}`")
-
-        def run(batches):
-            for batch in batches:
-                for part in slices(batch, col):
-                    raw, off = tb.buffers(part.column(part.schema.get_field_index(col)))
-                    raw = _LOWER[raw]
-                    s, e, first = words_of(raw, off, _WORD)
-                    p = tb.prefix_hash(tb.span_hash(tb.prefix_hash(tb.byte_values(raw)), s, e)) if len(s) else np.zeros(1, np.uint64)
-                    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                    for size in sizes:
-                        h = tb.gram_hash(p, size)
-                        ok = doc[: len(h)] == doc[size - 1 : size - 1 + len(h)]
-                        if whole_if_short and size < WINDOW:
-                            ok &= np.diff(first)[doc[: len(h)]] == size
-                        row = doc[: len(h)][ok]
-                        if not extra:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[ok]).view(np.int64))], names=["h"])
-                        else:
-                            cols = [part.column(part.schema.get_field_index(c)).take(pa.array(row)) for c in extra]
-                            yield pa.RecordBatch.from_arrays([*cols, pa.array(h[ok].view(np.int64))], names=[*extra, "h"])
-
-        return src.mapInArrow(run, ", ".join([*(f"{c} string" for c in extra), "h long"]))
-
-    every = tuple(range(1, WINDOW + 1))
-    have = hashes(docs, text, False, (), every).distinct()
-    # A word of the benchmark may be common, but each item is kept once.
-    return hashes(bench, "t", True, ("i", "t"), every).join(have, "h", "left_semi").select("i", "t").distinct()
+            at, d = int(low[w]), doc[w]
+            while at < len(keys) and keys[at] == h[w]:
+                if windows.text[begin[at] : end[at]] == words:
+                    out[d][0].append((w - int(first[d]), size))
+                    if windows.items[item[at]] is not None:
+                        out[d][1].add(windows.items[item[at]])
+                at += 1
+    return out
+
+
+def _marked(column: pa.Array, hits: list[tuple[list, set]]) -> list[pa.Array]:
+    """n_words, n_hit, item_ids and hit_spans of texts from their hits."""
+    _, off, s, e, first = _words(column)
+    counts = np.diff(first)
+    n_hit, spans = np.zeros(len(column), dtype=np.int64), [[] for _ in range(len(column))]
+    for d, (at, _) in enumerate(hits):
+        if at:
+            step = np.zeros(counts[d] + 1, dtype=np.int32)
+            a, n = np.array(at, dtype=np.int64).T
+            np.add.at(step, a, 1)
+            np.add.at(step, a + n, -1)
+            on = np.cumsum(step[:-1]) > 0
+            n_hit[d] = on.sum()
+            edge = np.diff(np.r_[False, on, False].astype(np.int8))
+            for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+                spans[d].append({"start": int(s[first[d] + x] - off[d]), "end": int(e[first[d] + y - 1] - off[d])})
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return [pa.array(counts, pa.int64()), pa.array(n_hit), pa.array([sorted(x) for _, x in hits], pa.list_(pa.string())), pa.array(spans, kind)]
 
 
 def contaminated_sql(n_hit: str = "n_hit", n_words: str = "n_words") -> str:
     return f"({n_hit} > 0 AND 20 * {n_hit} >= {n_words})"
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scanned(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """scan of docs, whose columns all go along by their place."""
+    names = docs.columns
+    place = {c: f"__d_{i}" for i, c in enumerate(names)}
+    return scan(docs.withColumnsRenamed(place), items, place[id_col], place[text_col], keep=tuple(place.values()), most=most).select(*place.values(), "n_words", "n_hit", "hit_spans")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BROADCAST) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns as they were."""
-    names = tuple(c for c in docs.columns)
-    out = scan(docs.withColumnsRenamed({c: f"__d_{i}" for i, c in enumerate(names)}), items, f"__d_{names.index(id_col)}", f"__d_{names.index(text_col)}", keep=tuple(f"__d_{i}" for i in range(len(names))))
-    return out.where(f"NOT {contaminated_sql()}").select(*(F.col(f"__d_{i}").alias(c) for i, c in enumerate(names)))
+    out = _scanned(docs, items, id_col, text_col, most)
+    return out.where(f"NOT {contaminated_sql()}").select(*(F.col(f"__d_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the byte ranges of hit words cut out of the text."""
+def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BROADCAST) -> DataFrame:
+    """docs, all columns and rows, with the byte ranges of hit words cut out of the text; null texts stay null."""
+    found = _scanned(docs, items, id_col, text_col, most).drop("n_words", "n_hit")
+    at = docs.columns.index(text_col)
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for t, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 b, last, keep = (t or "").encode(), 0, []
                 for x in spans:
                     keep.append(b[last : x["start"]])
                     last = x["end"]
                 out.append(None if t is None else (b"".join(keep) + b[last:]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, text_col])
-
-    found = scan(docs, items, id_col, text_col, keep=(text_col,)).select(f"`{id_col}`", f"`{text_col}`", "hit_spans")
-    kind = dict(docs.dtypes)[id_col]
-    return found.mapInArrow(cut, f"`{id_col}` {kind}, `{text_col}` string")
-
+            cols = batch.columns[:-1]
+            cols[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-def items_digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "hit_spans")
+    return found.mapInArrow(cut, fields).toDF(*docs.columns)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -173,7 +174,7 @@ def test_simhash_links(spark):
         assert same == (find(a) == find(b))
 
 
-def test_simhash_rows(docs):
+def test_simhash_rows(docs, spark):
     import xxhash
 
     got = {(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect()}
@@ -183,6 +184,22 @@ def test_simhash_rows(docs):
         fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
         assert any(i == r.doc_id and f == fp for i, f, _ in got)
     assert {c for i, f, c in got if f == 0} == {0}
+    # Components of the rows by union over all pairs of fingerprints within four bits.
+    rows = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()]
+    root = {f: f for _, f, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(root), 2):
+        if (a ^ b).bit_count() <= 4:
+            root[find(a)] = find(b)
+    least = {}
+    for i, f, _ in rows:
+        least[find(f)] = min(least.get(find(f), i), i)
+    assert all(c == least[find(f)] for _, f, c in rows)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -340,6 +357,35 @@ def test_warc(spark):
     assert warc.read_records(index.where("record_key = '8'")).first().payload == rows[7][2].encode()
 
 
+def test_sharding_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+    def best(k, n):
+        unit = lambda i: (int(hashlib.md5(f"{k}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 4503599627370496.0
+        return max(range(n), key=lambda i: (-1.0 / math.log(unit(i)), -i))
+
+    got = {r.doc_id: r for r in queries.op9_sharding(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        r, b = got[d.doc_id], (d.text or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) == (len(b) + 1, zlib.crc32(b), "key", best(d.doc_id, 16), best(d.doc_id, 17))
+    for s in range(16):
+        slots = sorted(r.slot for r in got.values() if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_token_files_query(spark):
+    from tokenizers import Tokenizer
+
+    whole, start = Tokenizer.from_file(queries.TOKENIZER), 0
+    got = {r.doc_id: r for r in queries.op4_token_files(spark, SF).collect()}
+    for d in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda d: d.doc_id):
+        ids = np.array([*whole.encode(d.text or "", add_special_tokens=False).ids, 0], "<u4")
+        r = got[d.doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_sharding(docs):
     out = sharding.assign(docs, [1.0] * 4, [1.0] * 5, keep=("text",)).collect()
     assert len(out) == docs.count()
@@ -362,6 +408,23 @@ def test_decontaminate(spark, docs):
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, bench).collect()} == {2, 3, 4}
     assert decontaminate.scan(d, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+    for most in (1, 1500, 1 << 20):  # sets of one item, of some, of all
+        again = decontaminate.scan(d, bench, most=most).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in again} == got
+    clash = d.selectExpr("doc_id", "text", "1 AS n_words", "2 AS n_hit", "3 AS item_ids", "4 AS hit_spans", "5 AS ids", "6 AS row", "7 AS t")
+    assert decontaminate.drop_contaminated(clash, bench).columns == clash.columns
+    assert decontaminate.scan(clash, bench, keep=("n_hit", "t")).columns == ["doc_id", "n_hit", "t", "n_words", "n_hit", "item_ids", "hit_spans"]
+    cut = {r.doc_id: (r.text, r.n_hit) for r in decontaminate.remove_spans(clash, bench).collect()}
+    assert cut == {1: ("x  y", 2), 2: ("one two", 2), 3: ("so DÉ " + " " + "w " * 50, 2), 4: (None, 2), 5: ("", 2)}
+    assert decontaminate.scan(d.limit(0), bench).count() == 0
+    assert bpe.encode(clash.select("doc_id", "text", "ids", "n_hit"), queries.RANKS, P.PATTERN, keep=("ids",)).columns == ["doc_id", "ids", "n_tokens", "ids"]
+
+
+def test_decontaminate_query_in_sets(spark):
+    """Many sets and one set find the same on the smallest tables."""
+    tables = [spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark")]
+    one, many = (sorted(map(tuple, decontaminate.scan(*tables, most=m).drop("hit_spans").collect())) for m in (1 << 30, 200_000))
+    assert one == many and any(r[2] for r in one)
 
 
 def test_pipeline(spark):
