@@ -21,7 +21,7 @@ _UNSAFE = re.compile(r"(?<!\S) (?!\S)")
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE_RE2 = rf"\A |{_BLANK} | {_BLANK}| \z"
 #: Bytes of a cache's younger half; the older half holds as much.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 #: Longer strings are not kept, and what one entry weighs besides its characters and ids.
 LONGEST, ENTRY_BYTES = 256, 160
 
@@ -154,7 +154,7 @@ class PieceEncoder:
         return [heads[p[0]] + b"".join([table[x] for x in p[1:]]) for p in split]
 
 
-def text_slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def text_slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Row ranges of a batch of up to `most` bytes of text (one row at least), with their text column."""
     at = batch.schema.get_field_index(text)
     ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0), dtype=np.int64))
