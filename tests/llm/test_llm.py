@@ -257,6 +257,24 @@ def test_near_copies_of_similarity(spark, docs, short_run, monkeypatch):
     assert jaccard.keep_first(d.limit(0)).count() == 0
 
 
+def test_sketches_keep_every_similar_pair():
+    r = np.random.default_rng(5)
+    dropped = 0
+    for n in (0, 1, 5, 31, 32, 300, 4000):
+        for part in (0.0, 0.5, 0.79, 0.8, 0.9, 1.0):
+            x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+            y = np.union1d(x[: int(part * len(x))], r.integers(0, 1 << 63, n - int(part * n), dtype=np.uint64))
+            same = len(np.intersect1d(x, y))
+            may = jaccard._may_overlap(jaccard._sketch(x), jaccard._sketch(y))
+            assert may or 5 * same < 4 * (len(x) + len(y) - same)
+            dropped += not may
+    assert dropped > 5
+    same_part = np.arange(1, 600, dtype=np.uint64)  # counts of 255 and more say nothing
+    crowded = np.zeros(16, np.uint8)
+    crowded[3] = 255
+    assert jaccard._may_overlap(crowded.tobytes(), jaccard._sketch(same_part))
+
+
 @pytest.fixture(scope="module")
 def tiktoken_ids():
     import tiktoken
