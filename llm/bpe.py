@@ -84,28 +84,47 @@ def _encoder(model: bytes, pattern: str) -> PieceEncoder:
     return _WORKER[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """Columns id, `keep`, n_tokens long, ids binary (little-endian unsigned 32-bit), one row per input row.
 
+    Where `decoded` is set, column decoded (as by `decode`) follows, made from the ids in the same pass.
+
     Null and empty texts have no tokens; repeated rows are encoded each; a very long text is
     split at safe places, so it needs no more than its own ids in memory.  The model (under 2 MB,
     fixed by the vocabulary) travels with the task; only `id`, `keep` and `text` are read."""
     model = sentencepiece_model(load_ranks(ranks_path))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(dict.fromkeys((id_col, *keep)))
+    names, made = list(dict.fromkeys((id_col, *keep))), ["n_tokens", "ids", *(["decoded"] if decoded else [])]
     src = docs.select(*(f"`{c}`" for c in dict.fromkeys((*names, text_col))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
+        table = _bytes_of_ids(sent.value) if decoded else []
         for batch in batches:
             for part, texts in text_slices(batch, text_col):
                 ids, off = enc.encode_column(texts)
                 cols = [part.column(part.schema.get_field_index(c)) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(off), pa.int64()), binary_column(ids, off)], names=[*(f"_{i}" for i in range(len(names))), "n_tokens", "ids"])
+                cols += [pa.array(np.diff(off), pa.int64()), binary_column(ids, off)]
+                if decoded:
+                    cols.append(pa.array([_joined(ids[a:b], table) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=[*(f"_{i}" for i in range(len(names))), *made])
 
     # Inside, kept columns go by their place, so that they may be called n_tokens or ids; of equal names the kept one comes first.
     fields = ", ".join(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(src.select(*(f"`{c}`" for c in names)).schema))
-    return src.mapInArrow(run, f"{fields}, n_tokens long, ids binary").toDF(*names, "n_tokens", "ids")
+    return src.mapInArrow(run, f"{fields}, n_tokens long, ids binary{', decoded binary' if decoded else ''}").toDF(*names, *made)
+
+
+def _bytes_of_ids(model: bytes) -> list[bytes]:
+    """The bytes of every id: its piece by the inverse of the byte mapping."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    back = {ord(c): b for b, c in enumerate(byte_characters())}
+    return [bytes(back[ord(c)] for c in sp.id_to_piece(i)) for i in range(sp.get_piece_size() - 1)]
+
+
+def _joined(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids.tolist()])
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -113,16 +132,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     sent = encoded.sparkSession.sparkContext.broadcast(sentencepiece_model(load_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
-        back = {ord(c): b for b, c in enumerate(byte_characters())}
-        table = [bytes(back[ord(c)] for c in sp.id_to_piece(i)) for i in range(sp.get_piece_size() - 1)]
+        table = _bytes_of_ids(sent.value)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
-                out = [None if x is None else b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in part.column(at).to_pylist()]
+                out = [None if x is None else _joined(np.frombuffer(x, "<u4"), table) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

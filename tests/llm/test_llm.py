@@ -286,6 +286,8 @@ def tiktoken_ids():
 def test_bpe(docs, spark, tiktoken_ids):
     for d in (docs, spark.read.parquet(f"{SF}/documents.parquet")):
         out = bpe.decode(bpe.encode(d.select("doc_id", "text"), queries.RANKS, P.PATTERN, keep=("text",)), queries.RANKS).collect()
+        both = bpe.encode(d.select("doc_id", "text"), queries.RANKS, P.PATTERN, keep=("text",), decoded=True)
+        assert sorted(both.collect(), key=str) == sorted(out, key=str)
         assert len(out) == d.count()
         for r in out:
             assert np.frombuffer(r.ids, "<u4").tolist() == tiktoken_ids(r.text or "")
