@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, decontaminate, quality, sharding, simhash, suffix_array, suffix_tree, token_files, warc
+from . import balls, bpe, chunk_bpe, counts, decontaminate, divergence, quality, sharding, simhash, suffix_array, suffix_tree, token_files, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,10 +90,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = balls.cluster(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk_bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN, decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     own = (op1_quality_rules, op2_token_counts, op3_warc, op4_token_files, op5_simhash, op6_suffix_trees, op7_byte_bpe, op8_suffix_arrays, op9_sharding, op10_decontaminate)
+    own += (op11_centroids, op12_divergence, op13_chunk_bpe)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -161,15 +176,6 @@ SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_
   sha256(unhex(CASE WHEN first IS NULL THEN x ELSE substr(x, 1, 2 * first) || rest END)) AS kept_sha256 FROM d LEFT JOIN agg USING (doc_id)"""
 
 
-def _op9_sql() -> str:
-    unit = lambda i: f"((('0x' || substr(md5(k || ':{i}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
-    best = lambda n: f"list_reduce([{', '.join(f'{{score: 1.0::DOUBLE / -ln({unit(i)}), shard: {-i}}}' for i in range(n))}], lambda a, b: CASE WHEN a >= b THEN a ELSE b END).shard"
-    return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id::VARCHAR AS k FROM documents),
-s AS (SELECT doc_id, octet_length(encode(t))::BIGINT + 1 AS size, (-{best(SHARDS)})::INT AS shard, (-{best(SHARDS + 1)})::INT AS grown_shard, ('0x' || substr(md5(k || ':slot'), 1, 8))::BIGINT % {sharding.BUCKETS} AS b FROM d)
-SELECT doc_id, size, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY b, doc_id) - 1 AS slot, grown_shard FROM s"""
-
-
 _OP10_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP10_SQL = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_OP10_WORDS} AS ws FROM documents),
@@ -184,9 +190,50 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    away = "CAST(list_sum(list_transform(range(1, 65), lambda j: (a.v[j] - b.v[j]) * (a.v[j] - b.v[j]))) AS BIGINT)"
+    nearest = lambda i: f"SELECT * FROM (SELECT a.r, a.vec_id, a.v, b.c, {away} AS d FROM k a, c{i} b) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1"
+    steps = []
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED ({nearest(i)})",
+            f"s{i} AS (SELECT c, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j)",
+            f"m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY c)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))",
+        ]
+    good = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64"
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE {good}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM k ORDER BY h, v LIMIT {k})),
+{", ".join(steps)},
+f AS MATERIALIZED ({nearest(rounds)})
+SELECT vec_id, CAST(f.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(z.v, ',')) AS centroid_sha256 FROM f JOIN c{rounds} z ON f.c = z.c"""
+
+
+_OP12_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT tot.lang, tot.source, kept.term, coalesce(n.n, 0) AS n, 1 + 1000000000 * (coalesce(n.n, 0) + 2) // (total + 2 * v) AS p
+  FROM tot JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN n ON n.lang = tot.lang AND n.source = tot.source AND n.term = kept.term),
+q AS (SELECT lang, term, 1 + 1000000000 * (sum(n)::BIGINT + 2) // (any_value(lt) + 2 * any_value(v)) AS q FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(total)::BIGINT AS lt FROM tot GROUP BY lang) USING (lang) GROUP BY lang, term),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM p x JOIN p y ON x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.lang = a.lang AND y.source = b.source), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+tr AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pr
+UNION ALL SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM tr QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where DuckDB can express the query; the rest is tested against brute force."""
     import corpus_pipeline
 
     out = {"op1_quality_rules": _op1_sql(), "op3_warc": _OP3_SQL, "op6_suffix_trees": _OP6_SQL, "op8_suffix_arrays": _OP8_SQL, "op10_decontaminate": _OP10_SQL}
+    out |= {"op11_centroids": _op11_sql(), "op12_divergence": _OP12_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
