@@ -47,21 +47,20 @@ def _measured(docs: DataFrame, text: str, p: str) -> DataFrame:
     step = step.withColumn(
         f"{p}k",
         F.expr(
-            f"CASE WHEN size({p}w) < 4 THEN cast(array() AS array<bigint>) ELSE sort_array(transform(sequence(0, size({p}w) - 3), "
+            f"CASE WHEN size({p}w) < 4 OR size({p}w) > {low} THEN cast(array() AS array<bigint>) ELSE sort_array(transform(sequence(0, size({p}w) - 3), "
             f"i -> (xxhash64({p}w[i], {p}w[i + 1], {p}w[i + 2]) & {~low}) | i)) END"
         ),
     )
-    same = lambda a, b: f"(({a} ^ {b}) & {~low}) = 0"
+    same = lambda a, b: f"coalesce((({a} ^ {b}) & {~low}) = 0, false)"
     at = lambda x: f"cast({x} & {low} AS int)"
     words = lambda a, b: " AND ".join(f"get({p}w, {at(a)} + {d}) = get({p}w, {at(b)} + {d})" for d in range(3))
     prev, after = f"get({p}k, j - 1)", f"get({p}k, j + 1)"
-    step = step.withColumn(
-        f"{p}d",
-        F.expr(
-            f"transform(filter({p}k, (x, j) -> (coalesce({same('x', prev)}, false) AND {words('x', prev)}) "
-            f"OR (coalesce({same('x', after)}, false) AND {words('x', after)})), x -> x & {low})"
-        ),
-    )
+    # Where neighbours of one hash differ in their words (or places need more bits), windows are sorted by the words themselves.
+    step = step.withColumn(f"{p}x", F.expr(f"size({p}w) > {low} OR size(filter({p}k, (x, j) -> {same('x', prev)} AND NOT ({words('x', prev)}))) > 0"))
+    windows = f"sort_array(transform(sequence(0, size({p}w) - 3), i -> named_struct('g', concat_ws(' ', {p}w[i], {p}w[i + 1], {p}w[i + 2]), 'i', i)))"
+    by_words = f"transform(array({windows}), s -> transform(filter(s, (y, j) -> coalesce(y.g = get(s, j - 1).g, false) OR coalesce(y.g = get(s, j + 1).g, false)), y -> cast(y.i AS bigint)))[0]"
+    by_hash = f"transform(filter({p}k, (x, j) -> {same('x', prev)} OR {same('x', after)}), x -> x & {low})"
+    step = step.withColumn(f"{p}d", F.expr(f"CASE WHEN {p}x THEN {by_words} ELSE {by_hash} END"))
     lines = f"filter(split({p}t, '\\n'), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
     step = step.withColumn(f"{p}l", F.expr(lines))
     out = {
@@ -74,14 +73,15 @@ def _measured(docs: DataFrame, text: str, p: str) -> DataFrame:
     }
     for name, expr in out.items():
         step = step.withColumn(f"{p}{name}", F.expr(expr))
-    return step.drop(*(f"{p}{x}" for x in ("t", "s", "w", "k", "d", "l")))
+    return step.drop(*(f"{p}{x}" for x in ("t", "s", "w", "k", "x", "d", "l")))
 
 
 def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """id, `keep` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed per document.
 
     Whole texts in one narrow pass; a null or empty text has no words and fails the base rule.
-    Texts hold up to 2**24 words.  Other columns are dropped, so their names cannot clash."""
+    Repeats are exact: hashes that clash are told apart by the words.  Other columns are dropped, so
+    their names cannot clash."""
     cols = list(dict.fromkeys((id_col, *keep)))
     q = _measured(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((*cols, text_col)))), text_col, "__q_")
     return q.select(*(F.col(f"`{c}`") for c in cols), *(F.col(f"__q_{b}").alias(b) for b in BASE)).withColumn("base_failed", _failed())
