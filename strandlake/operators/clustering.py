@@ -53,69 +53,79 @@ def upper_median(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return seen.where("__n div 2 < __upto AND __n div 2 >= __upto - __k").select(*by, "median")
 
 
-def core_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int) -> tuple[DataFrame, DataFrame]:
-    """Core calls (by, key) and all neighbour pairs under reciprocal overlap."""
-    pairs = reciprocal_pairs(calls, key, by, eps)
-    both = pairs.select(*by, "a_id", "b_id").unionByName(pairs.select(*by, F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))
-    n = both.groupBy(*by, F.col("a_id").alias(key)).agg((F.count(F.lit(1)) + 1).alias("n"))
-    if min_points <= 1:
-        n = calls.where("end_pos > start_pos").select(*by, key).join(n, [*by, key], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    return n.where(F.col("n") >= min_points), pairs
-
-
-def dbscan_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int) -> DataFrame:
+def core_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int | str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Core calls (by, key, n) and all neighbour pairs (by, a_id, b_id) under reciprocal overlap.
+
+    n counts the neighbours, the call itself among them; a call of weight w counts as w equal calls.
+    min_points is a number, or a column of calls.  A call without length has no neighbour."""
+    d = calls.withColumn("__w", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"))
+    d = d.withColumn("__least", F.col(min_points) if isinstance(min_points, str) else F.lit(min_points))
+    pairs = reciprocal_pairs(d, key, by, eps, ("__w",))
+    own = d.where("end_pos > start_pos").select(*by, key, F.col("__w").alias("n"), "__least")
+    none = F.lit(None).cast(dict(own.dtypes)["__least"]).alias("__least")
+    sides = [pairs.select(*by, F.col(f"{x}_id").alias(key), F.col(f"{y}___w").alias("n"), none) for x, y in ("ab", "ba")]
+    n = own.unionByName(sides[0]).unionByName(sides[1]).groupBy(*by, key).agg(F.sum("n").alias("n"), F.max("__least").alias("__least"))
+    return n.where("n >= __least").select(*by, key, "n"), pairs.select(*by, "a_id", "b_id")
+
+
+def dbscan_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int | str, weight: str | None = None) -> DataFrame:
     """by, key and cluster_key of every call (null: noise): the key of the first core call of its cluster in the order (start, end, key).
 
     Neighbours come from the blocked pair join, clusters are components of core pairs.  A border
     call goes to the first cluster that reaches it; a later one takes it over if that cluster's
-    first core call is its neighbour (as a scan in that order does).  Keys are unique."""
-    core, pairs = core_intervals(calls, key, by, eps, min_points)
+    first core call is its neighbour (as a scan in that order does).  Keys are unique; `weight` and
+    `min_points` are those of `core_intervals`."""
+    core, pairs = core_intervals(calls, key, by, eps, min_points, weight)
     pairs = stored(pairs.select("a_id", "b_id"))
     core = stored(core.select(key))
     ids = lambda c: core.select(F.col(key).alias(c))
-    root = stored(components(pairs.join(ids("a_id"), "a_id", "left_semi").join(ids("b_id"), "b_id", "left_semi").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
+    inner = pairs.join(ids("a_id"), "a_id", "left_semi").join(ids("b_id"), "b_id", "left_semi")
+    root = stored(components(inner.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
     place = F.struct("start_pos", "end_pos", F.col(key).alias("key"))
     rooted = calls.join(core, key, "left_semi").select(key, place.alias("place")).join(root.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
     seeds = rooted.groupBy("root").agg(F.min("place").alias("seed"))
     labelled = stored(rooted.select(key, "root").join(seeds, "root").select(key, "seed"))
     both = pairs.select(F.col("a_id").alias("of"), F.col("b_id").alias(key)).unionByName(pairs.select(F.col("b_id").alias("of"), F.col("a_id").alias(key)))
     reach = both.join(labelled.select(F.col(key).alias("of"), "seed"), "of").join(core, key, "left_anti")
-    border = reach.groupBy(key).agg(F.min("seed").alias("first"), F.max(F.when(F.col("seed.key") == F.col("of"), F.col("seed"))).alias("taken"))
+    taken = F.max(F.when(F.col("seed.key") == F.col("of"), F.col("seed"))).alias("taken")
+    border = reach.groupBy(key).agg(F.min("seed").alias("first"), taken)
     label = labelled.select(key, F.col("seed.key").alias("cluster_key")).unionByName(border.select(key, F.greatest("first", "taken").getField("key").alias("cluster_key")))
     return calls.select(*by, key).join(label, key, "left").select(*by, key, "cluster_key")
 
 
-def merge_calls(calls: DataFrame, by: list[str], cluster: str, key: str, noise: str | None = None) -> DataFrame:
+def merge_calls(calls: DataFrame, by: list[str], cluster: str, key: str, noise: str | None = None, weight: str | None = None) -> DataFrame:
     """One call per cluster: if any has a likelihood, the first non-zero one by (support, length); else the middle of the longest fifth.
 
     Clusters of one call are dropped.  Where `noise` is 'keep' or 'merge', `by` are the contig and
     type, a null cluster is noise, and types with a single call pass through; noise calls of a type
-    (two or more) are kept as they are, or merged like one more cluster."""
-    d = calls.withColumn("__len", F.col("end_pos") - F.col("start_pos"))
+    (two or more) are kept as they are, or merged like one more cluster.  A call of weight w counts
+    as w equal calls (and is w rows where noise is kept)."""
+    d = calls.withColumn("__len", F.col("end_pos") - F.col("start_pos")).withColumn("__w", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"))
     group = [*by, "__c"]
     d = d.withColumn("__c", F.struct(F.col(cluster).alias("c")))
-    size = d.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.max((F.col("hmm_lh") != 0).cast("int")).alias("__any"))
+    size = d.groupBy(*group).agg(F.sum("__w").alias("__n"), F.max((F.col("hmm_lh") != 0).cast("int")).alias("__any"))
     d = _same(d, size, group)
     alone = None
     if noise:
-        total = _same(d, d.groupBy(*by).agg(F.count(F.lit(1)).alias("__all")), by)
-        alone = total.where("__all = 1").withColumn("cluster_size", F.col("cluster_size").cast("bigint"))
-        if noise == "keep":
-            alone = alone.unionByName(total.where("__all > 1 AND __c.c IS NULL AND __n > 1").withColumn("cluster_size", F.col("cluster_size").cast("bigint")))
+        total = _same(d, d.groupBy(*by).agg(F.sum("__w").alias("__all")), by)
+        alone = total.where("__all = 1" + (" OR (__c.c IS NULL AND __n > 1)" if noise == "keep" else ""))
+        if weight:
+            alone = alone.withColumn("__i", F.explode(F.expr("sequence(1L, __w)")))
         d = total.where("__all > 1" if noise == "merge" else "__all > 1 AND __c.c IS NOT NULL")
     d = d.where("__n > 1")
-    rank = "(greatest(1, cast(floor(__n * 0.2D) AS int)) div 2) + 1"
+    rank = "(greatest(1, cast(floor(__n * 0.2D) AS bigint)) div 2) + 1"
     # By likelihood: a maximum, combined before the shuffle.
     row = F.struct(*calls.columns)
     best = d.where("__any = 1 AND hmm_lh <> 0").groupBy(*group).agg(F.max_by(row, F.struct("cluster_size", "__len", F.expr(f"-`{key}`"))).alias("r")).select("r.*")
     # By length: counts per length find the length of that rank; only calls of that length are ranked.
     plain = d.where("__any = 0")
-    lengths = plain.groupBy(*group, "__len").agg(F.count(F.lit(1)).alias("__k"), F.first("__n").alias("__n"))
+    lengths = plain.groupBy(*group, "__len").agg(F.sum("__w").alias("__k"), F.first("__n").alias("__n"))
     above = F.coalesce(F.sum("__k").over(Window.partitionBy(*group).orderBy(F.desc("__len")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = lengths.withColumn("__left", F.expr(rank) - above).where("__left BETWEEN 1 AND __k").select(*group, "__len", "__left")
-    ties = _same(plain, at, [*group, "__len"]).withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy("start_pos", key))).where("__r = __left")
+    upto = F.sum("__w").over(Window.partitionBy(*group).orderBy("start_pos", key).rowsBetween(Window.unboundedPreceding, 0))
+    ties = _same(plain, at, [*group, "__len"]).withColumn("__upto", upto).where("__left BETWEEN __upto - __w + 1 AND __upto")
     out = best.withColumn("cluster_size", F.col("cluster_size").cast("bigint")).unionByName(ties.withColumn("cluster_size", F.col("__n")).select(*calls.columns))
-    return out.unionByName(alone.select(*calls.columns)) if alone is not None else out
+    return out.unionByName(alone.withColumn("cluster_size", F.col("cluster_size").cast("bigint")).select(*calls.columns)) if alone is not None else out
 
 
 def _same(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -133,8 +143,13 @@ def dedupe_calls(calls: DataFrame, key: str = "call_id") -> DataFrame:
 
 
 def normalised_score(df: DataFrame, by: list[str], key: str, weight: float = 0.5) -> DataFrame:
-    """Row with the best weighted min-max score of two columns (a, b) per group; constant columns score nothing."""
-    w = Window.partitionBy(*by)
-    scale = lambda c: F.coalesce(F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)), F.lit(0.0))
-    d = df.withColumn("score", weight * scale("a") + (1 - weight) * scale("b"))
-    return d.withColumn("__r", F.row_number().over(w.orderBy(F.desc("score"), key))).where("__r = 1").drop("__r")
+    """Row with the best weighted min-max score of two columns (a, b) per group (the smallest key on ties); constant columns score nothing.
+
+    Ranges and best rows are aggregates, combined before the shuffle, so a group is never one window."""
+    span = df.groupBy(*by).agg(*(f(c).alias(f"__{n}_{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))))
+    d = _same(df, span, by)
+    scale = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")), F.lit(0.0))
+    d = d.withColumn("score", weight * scale("a") + (1 - weight) * scale("b")).select(*df.columns, "score")
+    # The smallest of (-score, key).
+    first = d.groupBy(*by).agg(F.min_by(F.struct(*d.columns), F.struct(-F.col("score"), F.col(key))).alias("__r"))
+    return first.select("__r.*")

@@ -26,8 +26,13 @@ def length_between(calls: DataFrame, least: int, most: int) -> DataFrame:
 
 
 def saved_cnvs(calls: DataFrame, least: int = SAVED_CNV) -> DataFrame:
-    """Calls of a known, not neutral type and `least` bases or more, whose observations are saved."""
-    return calls.where(~F.col("sv_type").isin("UNKNOWN", "NEUTRAL") & (F.col("end_pos") - F.col("start_pos") + 1 >= least))
+    """Calls of a known, not neutral type with an end at least `least` behind the start, whose observations are saved."""
+    return known_types(calls).where(F.col("end_pos") - F.col("start_pos") >= least)
+
+
+def known_types(calls: DataFrame) -> DataFrame:
+    """Calls but those of type UNKNOWN or NEUTRAL, which are not put out."""
+    return calls.where(~F.col("sv_type").isin("UNKNOWN", "NEUTRAL"))
 
 
 def contigs_with_reads(means: DataFrame) -> DataFrame:

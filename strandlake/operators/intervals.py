@@ -35,28 +35,42 @@ def overlap_pairs(a: DataFrame, b: DataFrame, key: str, bin_size: int) -> DataFr
     return x.join(y, ["chrom", "bin"]).where(f"a_s <= b_e AND a_e >= b_s AND bin = greatest(a_s div {bin_size}, b_s div {bin_size})")
 
 
-def reciprocal_pairs(df: DataFrame, key: str, by: list[str], eps: float) -> DataFrame:
-    """Pairs a_id < b_id with 1 - min(overlap / length) <= eps, length end - start.
+def reciprocal_pairs(df: DataFrame, key: str, by: list[str], eps: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs a_id < b_id with 1 - min(overlap / length) <= eps, length end - start, and a_<c>, b_<c> of `keep`.
 
     Lengths of a pair differ by a factor of at most 1 / (1 - eps) and starts by at most eps times the
-    longer one, so pairs meet in a band of the length's logarithm and a bin of that band's width."""
+    longer one, so pairs meet in a band of the length's logarithm and a bin of that band's width.
+    Two rows meet in one band and bin only; rows of equal ids are pairs of their own."""
     r = (1 - eps) * 0.999  # a little loose; the exact predicate follows
     base = math.log(1 / r)
     d = df.where("end_pos > start_pos").withColumn("band", F.expr(f"cast(floor(ln(end_pos - start_pos) / {base!r}D) AS int)"))
     width = lambda band: f"greatest(1D, exp(({band} + 2) * {base!r}D))"
-    left = d.select(*by, F.col(key).alias("a_id"), F.col("start_pos").alias("a_s"), F.col("end_pos").alias("a_e"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("b"))
-    left = left.select("*", F.explode(F.expr(f"sequence(cast(floor(a_s / {width('b')}) AS bigint) - 1, cast(floor(a_s / {width('b')}) AS bigint) + 1)")).alias("bin"))
-    right = d.select(*by, F.col(key).alias("b_id"), F.col("start_pos").alias("b_s"), F.col("end_pos").alias("b_e"), F.col("band").alias("b"), F.expr(f"cast(floor(start_pos / {width('band')}) AS bigint)").alias("bin"))
+    side = lambda p: [F.col(key).alias(f"{p}_id"), F.col("start_pos").alias(f"{p}_s"), F.col("end_pos").alias(f"{p}_e"), *(F.col(c).alias(f"{p}_{c}") for c in keep)]
+    left = d.select(*by, *side("a"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("b"))
+    near = f"cast(floor(a_s / {width('b')}) AS bigint)"
+    left = left.select("*", F.explode(F.expr(f"sequence({near} - 1, {near} + 1)")).alias("bin"))
+    right = d.select(*by, *side("b"), F.col("band").alias("b"), F.expr(f"cast(floor(start_pos / {width('band')}) AS bigint)").alias("bin"))
     hit = left.join(right, [*by, "b", "bin"]).where("a_id < b_id AND a_s <= b_e AND b_s <= a_e")
     overlap = "(least(a_e, b_e) - greatest(a_s, b_s))"
-    return hit.where(f"1D - least({overlap} / cast(a_e - a_s AS double), {overlap} / cast(b_e - b_s AS double)) <= {eps!r}D").select(*by, "a_id", "b_id").distinct()
+    close = f"1D - least({overlap} / cast(a_e - a_s AS double), {overlap} / cast(b_e - b_s AS double)) <= {eps!r}D"
+    return hit.where(close).select(*by, "a_id", "b_id", *(f"{x}_{c}" for c in keep for x in "ab"))
 
 
-def gap_flag(calls: DataFrame, gaps: DataFrame, key: list[str], bin_size: int = 1 << 16, share: float = 0.2) -> DataFrame:
-    """calls plus gap: whether one assembly gap, both ends moved up by one, covers more than `share` of the call."""
-    c = calls.withColumn("bin", F.explode(F.expr(f"sequence(start_pos div {bin_size}, end_pos div {bin_size})")))
-    g = gaps.selectExpr("chrom", "start_pos + 1 AS g_s", "end_pos + 1 AS g_e")
-    g = g.withColumn("bin", F.explode(F.expr(f"sequence(g_s div {bin_size}, g_e div {bin_size})")))
+def gap_flag(calls: DataFrame, gaps: DataFrame, key: list[str], share: float = 0.2) -> DataFrame:
+    """calls plus gap: whether one assembly gap, both ends moved up by one, covers more than `share` of the call.
+
+    Calls go by bands of their length, with bins as wide as the band's longest call, so a call touches
+    two at most.  A gap is cut into the bins of those bands only of which it is long enough to cover
+    the share."""
+    spans = calls.select(*key, "chrom", "start_pos", "end_pos").withColumn("band", F.expr("cast(floor(log2(greatest(end_pos - start_pos + 1, 1))) AS int)"))
+    # Width of a band's bins: the greatest length in it.
+    cell = lambda x: f"cast(floor(({x}) / shiftleft(2L, band)) AS bigint)"
+    c = spans.withColumn("bin", F.explode(F.expr(f"sequence({cell('start_pos')}, {cell('greatest(end_pos, start_pos)')})")))
+    g = gaps.selectExpr("chrom", "start_pos + 1 AS g_s", "end_pos + 1 AS g_e").where("g_e >= g_s")
+    bands = spans.select("chrom", "band").distinct()  # some thirty rows a contig
+    g = g.join(bands, "chrom").where(f"g_e - g_s + 1 > {share!r}D * shiftleft(1L, band)")
+    g = g.withColumn("bin", F.explode(F.expr(f"sequence({cell('g_s')}, {cell('g_e')})")))
     over = "(least(end_pos, g_e) - greatest(start_pos, g_s) + 1)"
-    hit = c.join(g, ["chrom", "bin"]).where(f"{over} / cast(end_pos - start_pos + 1 AS double) > {share!r}D").select(*key).distinct().withColumn("__g", F.lit(True))
+    hit = c.join(g, ["chrom", "band", "bin"]).where(f"{over} / cast(end_pos - start_pos + 1 AS double) > {share!r}D")
+    hit = hit.select(*key).distinct().withColumn("__g", F.lit(True))
     return calls.join(hit, key, "left").withColumn("gap", F.coalesce("__g", F.lit(False))).drop("__g")

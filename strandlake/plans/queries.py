@@ -263,7 +263,7 @@ SELECT region_id, greatest(d0, d1, d2, d3, d4, d5) AS likelihood FROM v QUALIFY
 
 @query(_viterbi_sql(), "fx_obs")
 def viterbi_likelihood(spark, sf):
-    return hmm.viterbi(_obs(spark, sf), hmm.DEMO).select("region_id", "likelihood")
+    return hmm.viterbi_likelihoods(_obs(spark, sf), hmm.DEMO)
 
 
 @query()
@@ -455,7 +455,7 @@ def state_vote_cigar(spark, sf):
 @query("!t AS (SELECT call_id, CASE WHEN cn_state = 0 THEN 'UNKNOWN' WHEN cn_state = 3 THEN 'NEUTRAL' ELSE sv_type END AS sv_type FROM fx_calls) SELECT call_id, sv_type FROM t WHERE sv_type NOT IN ('UNKNOWN', 'NEUTRAL')", "fx_calls")
 def valid_type_filter(spark, sf):
     d = table(spark, sf, "fx_calls").select("call_id", F.expr("CASE cn_state WHEN 0 THEN 'UNKNOWN' WHEN 3 THEN 'NEUTRAL' ELSE sv_type END AS sv_type"))
-    return d.where(~F.col("sv_type").isin("UNKNOWN", "NEUTRAL"))
+    return filters.known_types(d)
 
 
 @query("SELECT chrom, count(*) AS n FROM fx_calls GROUP BY chrom UNION ALL SELECT NULL, count(*) FROM fx_calls", "fx_calls")
@@ -524,7 +524,7 @@ def length_filters(spark, sf):
     return d.select("call_id", "sv_type", (F.col("end_pos") - F.col("start_pos") + 1).alias("length"))
 
 
-@query("!t AS (SELECT *, CASE WHEN cn_state = 0 THEN 'UNKNOWN' WHEN cn_state = 3 THEN 'NEUTRAL' ELSE sv_type END AS kind FROM fx_calls) SELECT call_id, kind AS sv_type FROM t WHERE kind NOT IN ('UNKNOWN', 'NEUTRAL') AND end_pos - start_pos + 1 >= 150", "fx_calls")
+@query("!t AS (SELECT *, CASE WHEN cn_state = 0 THEN 'UNKNOWN' WHEN cn_state = 3 THEN 'NEUTRAL' ELSE sv_type END AS kind FROM fx_calls) SELECT call_id, kind AS sv_type FROM t WHERE kind NOT IN ('UNKNOWN', 'NEUTRAL') AND end_pos - start_pos >= 150", "fx_calls")
 def saved_cnv_filter(spark, sf):
     d = table(spark, sf, "fx_calls").withColumn("sv_type", F.expr("CASE cn_state WHEN 0 THEN 'UNKNOWN' WHEN 3 THEN 'NEUTRAL' ELSE sv_type END"))
     return filters.saved_cnvs(d, 150).select("call_id", "sv_type")

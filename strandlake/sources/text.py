@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.store import stored
+
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start_pos, end_pos; blank, comment and malformed lines are dropped."""
@@ -23,9 +28,80 @@ BASES = 1 << 11
 
 
 def base_tiles(contigs: DataFrame, tile: int = BASES) -> DataFrame:
-    """Contigs (chrom, sequence) cut into tiles: chrom, tile, bases and the contig's length; look-ups then join tiles, not contigs."""
-    d = contigs.withColumn("length", F.length("sequence")).withColumn("tile", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0) div {tile})")))
-    return d.select("chrom", "tile", F.expr(f"substring(sequence, cast(tile * {tile} + 1 AS int), {tile})").alias("bases"), F.col("length").cast("bigint"))
+    """Contigs (chrom, sequence) cut into tiles: chrom, tile, bases and the contig's length; look-ups then join tiles, not contigs.
+
+    One walk along each sequence; for references of long contigs, `fasta_tiles` never has one in a row."""
+    cut = F.posexplode(F.expr(f"regexp_extract_all(sequence, '(?s).{{1,{tile}}}', 0)")).alias("tile", "bases")
+    d = contigs.select("chrom", F.length("sequence").cast("bigint").alias("length"), cut)
+    return d.select("chrom", F.col("tile").cast("bigint").alias("tile"), "bases", "length")
+
+
+def fasta_tiles(spark: SparkSession, path: str, tile: int = BASES) -> DataFrame:
+    """The tiles of `base_tiles` from a FASTA file of any size, as a written table.
+
+    Lines are read where the file's splits lie, with their place since the last header or the split's
+    start; one row per split then tells each split the contig that is open at its start and how much
+    of it lies before.  Bases before the first header are no contig's."""
+    meta = ("_metadata.file_path AS file", "_metadata.file_block_start AS split", "value")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chrom, part, start, held, size = None, None, 0, 0, [], 0
+        names = ["file", "split", "part", "chrom", "start", "bases"]
+        rows: list[list] = [[] for _ in names]
+
+        def flush() -> None:
+            nonlocal start, held, size
+            if size or chrom is not None:
+                for column, x in zip(rows, (*at, part, chrom, start, "".join(held))):
+                    column.append(x)
+            start, held, size = start + size, [], 0
+
+        for batch in batches:
+            for file, split, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, split) != at:
+                    if at is not None:
+                        flush()
+                    at, chrom, part, start = (file, split), None, 0, 0
+                if line.startswith(">"):
+                    flush()
+                    part, start, chrom = part + 1, 0, (line[1:].split() or [""])[0]
+                else:
+                    line = "".join(line.split())
+                    held.append(line)
+                    size += len(line)
+                    if size >= tile:
+                        flush()
+            if len(rows[0]) > 256:
+                yield pa.RecordBatch.from_arrays([pa.array(c) if n != "chrom" else pa.array(c, pa.string()) for n, c in zip(names, rows)], names=names)
+                rows = [[] for _ in names]
+        if at is not None:
+            flush()
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) if n != "chrom" else pa.array(c, pa.string()) for n, c in zip(names, rows)], names=names)
+
+    d = stored(spark.read.text(path).selectExpr(*meta).mapInArrow(pieces, "file string, split long, part long, chrom string, start long, bases string"))
+    # One row per split: what it holds of the contig that is open before it, and the contig it leaves open.
+    last = F.max_by(F.struct("chrom", (F.col("start") + F.length("bases")).alias("n")), F.struct("part", "start")).alias("last")
+    splits = d.groupBy("file", "split").agg(F.coalesce(F.sum(F.when(F.col("part") == 0, F.length("bases"))), F.lit(0)).alias("lead"), last, F.max("part").alias("parts"))
+    order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("file").orderBy("split")
+    splits = splits.withColumn("opened", F.sum(F.expr("int(parts > 0)")).over(run))
+    splits = splits.withColumn("before", F.last(F.expr("if(parts > 0, last.chrom, null)"), ignorenulls=True).over(order))
+    # Bases since the open header: the end of the split that has it, and all of the splits without a header after it.
+    held = splits.withColumn("n", F.expr("if(parts > 0, last.n, lead)")).withColumn("upto", F.sum("n").over(Window.partitionBy("file", "opened").orderBy("split")))
+    held = held.withColumn("open_at", F.coalesce(F.lag("upto").over(run), F.lit(0))).select("file", "split", "before", "open_at")
+    e = d.join(held, ["file", "split"]).select(F.expr("if(part > 0, chrom, before) AS chrom"), F.expr("start + if(part > 0, 0L, open_at) AS start"), "bases").where("chrom IS NOT NULL AND bases <> ''")
+    cut = e.withColumn("tile", F.explode(F.expr(f"sequence(start div {tile}, (start + length(bases) - 1) div {tile})"))).withColumn("first", F.greatest("start", F.expr(f"tile * {tile}")))
+    size = f"cast(least(start + length(bases), (tile + 1) * {tile}) - first AS int)"
+    cut = cut.select("chrom", "tile", "first", F.expr(f"substring(bases, cast(first - start + 1 AS int), {size})").alias("b"))
+    whole = cut.groupBy("chrom", "tile").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "b"))), lambda x: x["b"]), "").alias("bases"))
+    lengths = e.groupBy("chrom").agg(F.sum(F.length("bases").cast("bigint")).alias("length"))
+    return stored(whole.join(lengths, "chrom").select("chrom", "tile", "bases", "length"))
+
+
+def contig_lengths(tiles: DataFrame) -> DataFrame:
+    """chrom, length of every contig of a tiled reference, from its first tiles."""
+    return tiles.where("tile = 0").select("chrom", "length")
 
 
 def substring_at(tiles: DataFrame, ranges: DataFrame, key: list[str], start: str = "start_pos", end: str = "end_pos", tile: int = BASES) -> DataFrame:

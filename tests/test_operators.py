@@ -179,15 +179,15 @@ def test_calling_plan(spark):
     a = spark.createDataFrame([("c", f"r{i}", 0, 60, 100 + i % 2, 500, "100M60D200M") for i in range(6)], "chrom string, qname string, flag int, mapq int, start_pos long, end_pos long, cigar string")
     params = calling.CallerParams(min_points=2)
     calls = calling.cigar_calls(a, params)
-    assert [(x.sv_type, x.cluster_size) for x in calls.collect()] == [("DEL", 2)]
+    assert [(x.sv_type, x.cluster_size) for x in calls.collect()] == [("DEL", 6)]
     assert calling.cigar_calls(a, calling.CallerParams()).count() == 1
     assert [calling.CallerParams(min_points_pct=p).points_for(31.0) for p in (0.1, 0)] == [4, 5]
     gaps = spark.createDataFrame([("c", 150, 260)], "chrom string, start_pos long, end_pos long")
     sequence = "ACGTTGCA" * 100
     tiles = text.base_tiles(spark.createDataFrame([("c", sequence)], "chrom string, sequence string"), text.BASES)
-    call, row = calls.first(), calling.vcf_rows(calls, a, gaps, tiles, params).first()
+    call, row = calls.first(), calling.vcf_rows(calls, calling.read_depth(a), gaps, tiles, params).first()
     assert (row.POS, row.REF) == (call.start_pos - 1, sequence[call.start_pos - 2 : call.end_pos])
-    assert row.FILTER == "AssemblyGap" and row.REF[0] == row.ALT and "SVLEN=-60" in row.INFO and row.SAMPLE == "./.:6"
+    assert row.FILTER == "AssemblyGap" and row.REF[0] == row.ALT and "SVLEN=-60" in row.INFO and row.SAMPLE == "./.:6"  # the base before the deletion
     # Copy numbers: a long deletion whose windows are all at half depth.
     long = calling._as_calls(spark.createDataFrame([("c", 1000, 9000, "DEL", 2, 4)], "chrom string, start_pos long, end_pos long, sv_type string, evidence int, cluster_size long"))
     key = long.first().call_id
