@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_CNV, SAVED_CNV = 2_000, 30_000
@@ -50,11 +50,10 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns))
 
 
-def require_no_nulls(df: DataFrame) -> DataFrame:
-    """df; a job over it fails at the first null, with the column's name."""
-    for c in df.columns:
-        df = df.withColumn(c, F.when(F.col(f"`{c}`").isNull(), F.raise_error(F.lit(f"null in {c}")).cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")))
-    return df
+def require_no_nulls(df: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """df; a job over it fails at the first null in the columns (all by default), with the column's name."""
+    checked = {c: F.when(F.col(f"`{c}`").isNull(), F.raise_error(F.lit(f"null in {c}")).cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")) for c in columns or df.columns}
+    return df.withColumns(checked)
 
 
 def likelihood_or_least(col: str) -> Column:
@@ -93,3 +92,25 @@ def zip_trio(child: DataFrame, father: DataFrame, mother: DataFrame) -> DataFram
     if len(set(sizes.values())) > 1:
         raise ValueError(f"call sets differ in length: {sizes}")
     return child.join(father.select("ordinal", "gt_father"), "ordinal").join(mother.select("ordinal", "gt_mother"), "ordinal")
+
+
+def drawn(calls: DataFrame, least: int = 10_000, contig: str | None = None) -> DataFrame:
+    """Calls that a chart shows: `least` bases or more between their ends, on one contig if it is named."""
+    d = calls.where(F.col("end_pos") - F.col("start_pos") >= least)
+    return d if contig is None else d.where(F.col("chrom") == contig)
+
+
+def shown_baf(col: str = "baf", is_snp: str = "is_snp", empty: float = 0.0) -> Column:
+    """The allele frequency of SNPs, and `empty` (0 in files, NaN in charts) where there is none."""
+    return F.when(F.col(is_snp), F.col(col)).otherwise(F.lit(empty))
+
+
+def types_in_order(calls: DataFrame) -> DataFrame:
+    """The types that occur, by their names: sv_type, place (from 0)."""
+    order = Window.orderBy("sv_type")  # one row per type
+    return calls.select("sv_type").distinct().select("sv_type", (F.row_number().over(order) - 1).alias("place"))
+
+
+def first_rows(df: DataFrame, order: list[str], n: int = 10_000) -> DataFrame:
+    """The first n rows in an order, as a reader with a row limit gives them."""
+    return df.orderBy(*order).limit(n)

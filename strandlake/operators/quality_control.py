@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of one block of a log.
+LOG_BLOCK = 1 << 16
+
 
 def snp_filter(snps: DataFrame) -> DataFrame:
     """Sites with QUAL > 30, DP > 10 and a passing filter, plus baf (null where no read covers it)."""
@@ -33,9 +36,20 @@ def mendelian(trio: DataFrame, by: list[str]) -> DataFrame:
     return wrong.groupBy(*by).agg(F.sum("error").alias("errors"), F.count(F.lit(1)).alias("total"))
 
 
-def size_statistics(sizes: DataFrame, bounds: tuple[int, int] = (100, 200)) -> DataFrame:
-    """Per type: count, size figures (population deviation) and the number above the two bounds."""
-    return sizes.groupBy("sv_type").agg(
+def parent_scenarios(trio: DataFrame) -> DataFrame:
+    """One row: errors by the two scenarios of the parents' genotypes, all child records, and the rate.
+
+    Like parents with another child, or unlike parents of which the child equals one.  trio has a row
+    per child record; genotypes that are null or './.' make no error but count as records."""
+    known = "NOT './.' IN (gt_father, gt_mother, gt_child)"
+    wrong = "(gt_father = gt_mother AND gt_father <> gt_child) OR (gt_father <> gt_mother AND (gt_father = gt_child OR gt_mother = gt_child))"
+    d = trio.agg(F.count_if(F.expr(f"coalesce({known} AND ({wrong}), false)")).alias("errors"), F.count(F.lit(1)).alias("total"))
+    return d.withColumn("rate", F.expr("try_divide(cast(errors AS double), total)"))
+
+
+def size_statistics(sizes: DataFrame, bounds: tuple[int, ...] = (10_000, 50_000, 100_000)) -> DataFrame:
+    """Per type, and over all (sv_type null): count, size figures (population deviation) and the numbers above the bounds."""
+    return sizes.rollup("sv_type").agg(
         F.count(F.lit(1)).alias("n"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.avg("size").alias("mean_size"),
         F.expr("percentile(size, 0.5)").alias("median_size"), F.stddev_pop("size").alias("sd_size"),
         *(F.count_if(F.col("size") > b).alias(f"over_{b}") for b in bounds),
@@ -72,12 +86,29 @@ def best_f1(runs: DataFrame) -> DataFrame:
 
 
 def benchmark_log(lines: DataFrame, by: str = "file") -> DataFrame:
-    """Key figures of an evaluation log: the epsilon and section above each line are carried down in line order."""
-    w = Window.partitionBy(by).orderBy("line_no")
-    d = lines.withColumn("eps", F.last(F.expr("try_cast(nullif(regexp_extract(line, 'EPSILON=([0-9.]+)', 1), '') AS double)"), True).over(w))
-    d = d.withColumn("section", F.last(F.expr("nullif(regexp_extract(line, '^# *(DEL|DUP|INS|INV)', 1), '')"), True).over(w))
-    d = d.select(by, "eps", "section", F.regexp_extract("line", r"(precision|recall|f1) *[:=] *([0-9.]+)", 1).alias("metric"), F.expr("try_cast(nullif(regexp_extract(line, '(precision|recall|f1) *[:=] *([0-9.]+)', 2), '') AS double)").alias("value"))
-    return d.where("metric <> ''")
+    """Figures of evaluation logs: `by`, line_no, eps, section (type), metric (comp, base, FP, FN, precision, recall, f1), value, in file order.
+
+    lines: `by`, line_no, line.  The epsilon and the section above a line are carried down; a section ends
+    behind its recall, and figures outside one are not taken.  Lines are cut into blocks of their
+    numbers and one row per block carries on, so a long log is not one group."""
+    eps = F.expr("try_cast(nullif(regexp_extract(line, '#EPSILON= *([0-9.eE+-]+)', 1), '') AS double)")
+    # A section's name opens it; an empty one closes it, from the next line on.
+    opens = F.expr("nullif(regexp_extract(line, 'Running truvari.*?(DEL|DUP|INS|INV)', 1), '')")
+    closes = F.expr("CASE WHEN line RLIKE 'recall[^:]*:' THEN '' END")
+    d = lines.withColumns({"__b": F.expr(f"line_no div {LOG_BLOCK}"), "__eps": eps, "__at": F.coalesce(opens, closes)})
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
+    blocks = d.groupBy(by, "__b").agg(last("__eps"), last("__at"))
+    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(by, "__b", *(F.last(c, ignorenulls=True).over(before).alias(f"{c}0") for c in ("__eps", "__at")))
+    w = Window.partitionBy(by, "__b").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(carried, [by, "__b"])
+    d = d.withColumn("eps", F.coalesce("__eps", F.last("__eps", ignorenulls=True).over(w), "__eps0")).withColumn("section", F.coalesce(F.last("__at", ignorenulls=True).over(w), "__at0"))
+    counter = lambda k: f"try_cast(nullif(regexp_extract(line, 'Zipped.*Counter.*[{{ ]\'{k}\': *([0-9]+)', 1), '') AS double)"
+    plain = lambda k: f"try_cast(replace(nullif(regexp_extract(line, '{k}[^:]*: *([0-9.,eE+-]*[0-9])', 1), ''), ',', '') AS double)"
+    kinds = {"comp": counter("comp"), "base": counter("base"), **{k: f"if(line LIKE '%Zipped%', null, {plain(k)})" for k in ("FP", "FN", "precision", "recall", "f1")}}
+    found = F.expr("array(" + ", ".join(f"named_struct('metric', '{k}', 'value', {e})" for k, e in kinds.items()) + ")")
+    rows = d.where("section <> ''").select(by, "line_no", "eps", "section", F.explode(found).alias("m"))
+    return rows.select(by, "line_no", "eps", "section", "m.metric", "m.value").where("value IS NOT NULL")
 
 
 def lr_features(docs: DataFrame) -> DataFrame:

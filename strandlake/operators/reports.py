@@ -29,12 +29,15 @@ def inversion_vote(pairs: DataFrame, by: list[str]) -> DataFrame:
     return reads.groupBy(*by).agg((F.avg("inv") > 0.5).alias("inverted"), F.count(F.lit(1)).alias("n_reads"))
 
 
-def flanks(regions: DataFrame) -> DataFrame:
-    """Regions with the halves before and after them: region_id, section, start_pos, end_pos (never below 1)."""
-    half = "cast((end_pos - start_pos + 1) div 2 AS bigint)"
+def flanks(regions: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """Regions with the halves before and after them: region_id, section, start_pos, end_pos, never below 1 nor, where contigs (chrom, length) are given, beyond the contig's end."""
+    half = "cast((end_pos - start_pos) div 2 AS bigint)"
+    if contigs is not None:
+        regions = regions.join(contigs.select("chrom", F.col("length").alias("__len")), "chrom", "left")
+    cap = lambda e: f"least(coalesce(__len, {e}), {e})" if contigs is not None else e
     parts = (
         f"array(named_struct('section', 'before', 's', greatest(1L, start_pos - {half}), 'e', greatest(1L, start_pos - 1)), "
-        f"named_struct('section', 'sv', 's', start_pos, 'e', end_pos), named_struct('section', 'after', 's', end_pos + 1, 'e', end_pos + {half}))"
+        f"named_struct('section', 'sv', 's', start_pos, 'e', end_pos), named_struct('section', 'after', 's', {cap('end_pos + 1')}, 'e', {cap(f'end_pos + {half}')}))"
     )
     return regions.select("region_id", F.explode(F.expr(parts)).alias("p")).select("region_id", "p.section", F.col("p.s").alias("start_pos"), F.col("p.e").alias("end_pos"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import evidence_names, plain_bases
+from .store import numbered
 
 METHOD = "strandlake 0.2"
 # The fields of a record, their number and type by the format's standard.
@@ -85,7 +86,42 @@ def rewrite_support(df: DataFrame, support: str, cluster_size: str, col: str = "
 
 
 def cnv_json(calls: DataFrame, obs: DataFrame) -> DataFrame:
-    """One JSON object per region: chromosome, span, type, and its observations in order of t."""
-    seq = obs.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("t", "log2_cov", "baf"))).alias("observations"))
-    d = calls.join(seq, "region_id")
-    return d.select("region_id", F.to_json(F.struct(F.col("chrom").alias("chromosome"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "sv_type", (F.col("end_pos") - F.col("start_pos")).alias("size"), "observations")).alias("json"))
+    """region_id, chrom, start_pos and json, one object per call: contig, span, type, likelihood, size, and its observations before, after and inside it.
+
+    calls: region_id, chrom, start_pos, end_pos, sv_type, likelihood.  obs: region_id, section ('before', 'after' or 'sv'), t, pos, baf,
+    pfb, log2_cov, is_snp and state (null outside the call).  Numbers have six significant digits; a
+    flank without observations has empty lists; places without SNP show a frequency of 0."""
+    short = lambda c: F.expr(f"cast(format_string('%.5e', cast({c} AS double)) AS double)")
+    fields = {"positions": F.col("pos"), "b_allele_freq": F.when(F.col("is_snp"), short("baf")).otherwise(F.lit(0.0)), "population_freq": short("pfb"), "log2_ratio": short("log2_cov"), "states": F.col("state"), "is_snp": F.col("is_snp").cast("int")}
+    # A call's observations are one object of the file, so they meet in one row.
+    each = obs.groupBy("region_id", "section").agg(F.array_sort(F.collect_list(F.struct("t", *(e.alias(n) for n, e in fields.items())))).alias("o"))
+    wide = each.groupBy("region_id").pivot("section", ["before", "after", "sv"]).agg(F.first("o"))
+    block = lambda c, names: F.struct(*(F.coalesce(F.col(f"{c}.{n}"), F.array().cast(dict(each.select(f"o.{n}").dtypes)[n])).alias(n) for n in names))
+    outer = [n for n in fields if n != "states"]
+    d = calls.join(wide, "region_id", "left")
+    head = [F.col("chrom").alias("chromosome"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "sv_type", short("likelihood").alias("likelihood"), (F.col("end_pos") - F.col("start_pos") + 1).alias("size")]
+    parts = [block("before", outer).alias("before_sv"), block("after", outer).alias("after_sv"), block("sv", list(fields)).alias("sv")]
+    return d.select("region_id", "chrom", "start_pos", F.to_json(F.struct(*head, *parts)).alias("json"))
+
+
+def write_json_array(rows: DataFrame, path: str, order: tuple[str, ...] = ("chrom", "start_pos", "region_id")) -> None:
+    """A folder of text files that read in order of their names as one JSON array of the rows' `json`; of no rows: []."""
+    spark = rows.sparkSession
+    frame = lambda text, name: spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    frame("[", "0-open")
+    d = numbered(rows.select(*order, "json"), list(order))
+    d.orderBy("ordinal").select(F.expr("if(ordinal = 0, json, concat(',', json)) AS value")).write.text(f"{path}/1-objects")
+    frame("]", "2-close")
+
+
+def write_merged_vcf(lines_of: DataFrame, chosen: DataFrame, path: str) -> None:
+    """The lines of a VCF (ordinal, value), with its header as it was, and of its records only the chosen ones (ordinal, info), once each and with that INFO.
+
+    ordinal numbers the file's lines; the folder reads in order of its files' names."""
+    head = lines_of.where("value LIKE '#%'").orderBy("ordinal").select("value")
+    head.coalesce(1).write.text(f"{path}/0-header")  # a header is a few hundred lines
+    once = chosen.groupBy("ordinal").agg(F.min("info").alias("info"))
+    parts = F.split("value", "\t")
+    body = lines_of.where("value NOT LIKE '#%' AND value <> ''").join(once, "ordinal").withColumn("p", parts)
+    line = F.concat_ws("\t", F.array_join(F.slice("p", 1, 7), "\t"), "info", F.array_join(F.slice("p", F.lit(9), F.greatest(F.lit(0), F.size("p") - 8)), "\t"))
+    body.select("ordinal", line.alias("value")).orderBy("ordinal").select("value").write.text(f"{path}/1-records")

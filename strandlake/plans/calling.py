@@ -168,6 +168,28 @@ def call_set(alignments: DataFrame, snps: DataFrame, model: hmm.Model, params: C
     return {"calls": final_calls(cigar, split), "runs": runs, "means": means, "split": split, "obs": obs}
 
 
+def cnv_records(calls: DataFrame, snps: DataFrame, runs: DataFrame, means: DataFrame, model: hmm.Model, contigs: DataFrame, params: CallerParams = CallerParams()) -> DataFrame:
+    """JSON objects of saved copy-number calls (region_id, chrom, start_pos, end_pos, sv_type): see vcf_out.cnv_json; write_json_array makes a file of them.
+
+    The call and both flanks are observed alike; the model runs over the call itself.  A flank of no length has no observations."""
+    spans = reports.flanks(calls, contigs).join(calls.select("region_id", "chrom"), "region_id").where("section = 'sv' OR start_pos < end_pos")
+    key = F.struct("region_id", "section")
+    named = spans.withColumn("key", key).select(F.to_json("key").alias("region_id"), "chrom", "start_pos", "end_pos")
+    obs = observations.observations(named, snps, runs, means, params.sample, params.pfb_match, contigs)
+    obs = stored(obs.withColumn("key", F.from_json("region_id", f"region_id {dict(calls.dtypes)['region_id']}, section string")).select("key.*", *(c for c in obs.columns if c != "region_id")))
+    best = stored(hmm.viterbi_blocks(obs.where("section = 'sv'"), model))
+    states = best.select("region_id", F.explode(F.arrays_zip("t", "states")).alias("x")).select("region_id", F.lit("sv").alias("section"), F.col("x.t").alias("t"), F.col("x.states").alias("state"))
+    seen = obs.withColumn("t", F.col("t").cast("bigint")).join(states, ["region_id", "section", "t"], "left")
+    scored = calls.join(best.where("likelihood IS NOT NULL").select("region_id", "likelihood"), "region_id")
+    return vcf_out.cnv_json(scored, seen)
+
+
+def saved_records(made: dict[str, DataFrame], snps: DataFrame, model: hmm.Model, contigs: DataFrame, params: CallerParams = CallerParams()) -> DataFrame:
+    """JSON objects of the split-read calls of `call_set` that are long enough and that the model changed."""
+    changed = made["split"].where("hmm_lh <> 0 AND cn_state NOT IN (0, 3)").select(F.col("call_id").alias("region_id"), "chrom", "start_pos", "end_pos", "sv_type")
+    return cnv_records(filters.saved_cnvs(changed), snps, made["runs"], made["means"], model, contigs, params)
+
+
 def call_variants(alignments: DataFrame, tiles: DataFrame, snps: DataFrame, gaps: DataFrame, model: hmm.Model, params: CallerParams = CallerParams()) -> DataFrame:
     """VCF columns of all calls of the reads: see `call_set`; tiles is the tiled reference, gaps the assembly gaps (chrom, start_pos, end_pos)."""
     made = call_set(alignments, snps, model, params, contig_lengths(tiles))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..operators import clustering, coverage, filters, hmm, intervals, quality_control, reads, reports, split_calls, store, vcf_out
+from ..operators import clustering, coverage, filters, hmm, intervals, observations, quality_control, reads, reports, scoring, split_calls, store, vcf_out
 from ..sources import text
-from .fixtures import reference, table, with_sql
+from .fixtures import CONTIGS, reference, table, with_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,15 +78,44 @@ def snp_filter_baf(spark, sf):
     return quality_control.snp_filter(table(spark, sf, "fx_snps")).select("chrom", "pos", "baf")
 
 
-@query(
-    """!ops AS (SELECT aln_id, chrom, qname, start_pos, unnest(regexp_extract_all(cigar, '[0-9]+[MIDS]')) AS x, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDS]'), 1) AS i FROM fx_alignments WHERE flag & 3844 = 0 AND mapq >= 20),
-o AS (SELECT *, right(x, 1) AS op, CAST(left(x, length(x) - 1) AS BIGINT) AS n FROM ops),
-w AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER (PARTITION BY aln_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM o)
-SELECT chrom, qname, CAST(start_pos + off AS BIGINT) AS sv_start, CAST(start_pos + off + n - 1 AS BIGINT) AS sv_end, CASE op WHEN 'D' THEN 'DEL' ELSE 'INS' END AS sv_type, CASE op WHEN 'I' THEN 1 WHEN 'D' THEN 2 ELSE 4 END AS evidence FROM w WHERE op <> 'M' AND n >= 50""",
-    "fx_alignments",
-)
+_OPS = """!x AS (SELECT * FROM fx_alignments JOIN fx_seqs USING (aln_id)),
+ops AS (SELECT *, unnest(regexp_extract_all(cigar, '[0-9]+[MIDS]')) AS o, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDS]'), 1) AS i FROM x),
+u AS (SELECT *, right(o, 1) AS op, CAST(left(o, length(o) - 1) AS BIGINT) AS n FROM ops),
+w AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER before, 0) AS off, coalesce(sum(CASE WHEN op <> 'D' THEN n ELSE 0 END) OVER before, 0) AS q
+  FROM u WINDOW before AS (PARTITION BY aln_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT chrom, qname, CAST(start_pos + off AS BIGINT) AS sv_start, CAST(start_pos + off + n - 1 AS BIGINT) AS sv_end, CASE op WHEN 'D' THEN 'DEL' ELSE 'INS' END AS sv_type, CASE op WHEN 'I' THEN 1 WHEN 'D' THEN 2 ELSE 4 END AS evidence,
+  CASE WHEN op = 'D' THEN '<DEL>' WHEN n = 50 THEN regexp_replace(substr(seq, CAST(q + 1 AS INT), 50), '[RY]', 'N', 'g') ELSE '<INS>' END AS alt
+  FROM w WHERE op <> 'M' AND n >= 50 AND flag & 3844 = 0 AND mapq >= 20 AND (op <> 'S' OR start_pos + off <= length)) """
+
+
+def _reads(spark, sf):
+    """The alignments with their bases, and the lengths of their contigs."""
+    x = table(spark, sf, "fx_seqs")
+    # One row per contig.
+    return table(spark, sf, "fx_alignments").join(x.select("aln_id", "seq"), "aln_id"), spark.createDataFrame(list(CONTIGS.items()), "chrom string, length bigint")
+
+
+@query(_OPS + "SELECT * FROM c", "fx_alignments", "fx_seqs")
 def cigar_candidates(spark, sf):
-    return reads.cigar_candidates(table(spark, sf, "fx_alignments"))
+    """With the bases of insertions of 50, and without clips behind the contig's end."""
+    return reads.cigar_candidates(*_reads(spark, sf))
+
+
+@query(_OPS + "SELECT chrom, sv_start, sv_end, sv_type, evidence, alt, count(*) AS n FROM c GROUP BY ALL", "fx_alignments", "fx_seqs")
+def cigar_candidate_counts(spark, sf):
+    """Equal candidates with their number, which is the weight that clustering gives them."""
+    return reads.cigar_candidates(*_reads(spark, sf)).groupBy("chrom", "sv_start", "sv_end", "sv_type", "evidence", "alt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_OPS + "SELECT aln_id, CAST(start_pos + sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) - 1 AS BIGINT) AS end_pos FROM w GROUP BY aln_id, start_pos", "fx_alignments", "fx_seqs")
+def alignment_ends(spark, sf):
+    return reads.with_ends(table(spark, sf, "fx_alignments").drop("end_pos")).select("aln_id", "end_pos")
+
+
+@query(_OPS + "SELECT chrom, CAST(start_pos + off AS BIGINT) AS start_pos, CAST(start_pos + off + n - 1 AS BIGINT) AS end_pos, count(*) AS n FROM w WHERE op = 'M' AND flag & 1796 = 0 GROUP BY ALL", "fx_alignments", "fx_seqs")
+def aligned_block_counts(spark, sf):
+    """Runs of aligned bases of the reads that count for depth, equal ones with their number."""
+    return reads.aligned_blocks(coverage.read_filter(table(spark, sf, "fx_alignments"))).groupBy("chrom", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT aln_id, CAST(regexp_extract(cigar, '^([0-9]+)S', 1) AS BIGINT) AS q_start, CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MIS]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS q_end FROM fx_alignments", "fx_alignments")
@@ -160,6 +189,29 @@ def window_snp_range_join(spark, sf):
     return calls.select("call_id").distinct().join(hit, "call_id", "left").select("call_id", F.coalesce("n", F.lit(0)).alias("n_snps"))
 
 
+_OBSERVED = _BASES + """, m AS (SELECT chrom, sum(depth * (end_pos - start_pos + 1)) / sum(end_pos - start_pos + 1)::DOUBLE AS mean_cov FROM runs WHERE depth > 0 GROUP BY chrom),
+snp AS MATERIALIZED (SELECT s.chrom, s.pos, CASE WHEN ad_ref + ad_alt > 0 THEN ad_alt / (ad_ref + ad_alt)::DOUBLE END AS baf, coalesce(f.af, 0)::DOUBLE AS pfb FROM fx_snps s
+  LEFT JOIN (SELECT chrom, pos, max(af) AS af FROM fx_pfb WHERE af > 0.01 AND af < 0.99 GROUP BY ALL) f USING (chrom, pos) WHERE qual > 30 AND dp > 10 AND flt = 'PASS'),
+inside AS MATERIALIZED (SELECT region_id, pos, baf, pfb FROM fx_regions r JOIN snp USING (chrom) WHERE pos BETWEEN start_pos AND end_pos),
+reg AS (SELECT r.*, greatest(20, (SELECT count(*) FROM inside i WHERE i.region_id = r.region_id)) AS n FROM fx_regions r),
+win AS (SELECT *, (end_pos - start_pos + 1) / n::DOUBLE AS step, unnest(range(0, n)) AS w FROM reg),
+edge AS (SELECT *, CAST(floor(start_pos + w * step) AS BIGINT) AS a, CAST(floor(start_pos + (w + 1) * step) AS BIGINT) AS b FROM win),
+one AS MATERIALIZED (SELECT region_id, chrom, a, b, max(w) AS w, any_value(least(end_pos, a + CAST(ceil(step) AS BIGINT) - 1)) AS d FROM edge GROUP BY region_id, chrom, a, b),
+dep AS (SELECT one.region_id, one.w, sum(depth * (least(d, runs.end_pos) - greatest(a, runs.start_pos) + 1)) AS total FROM one JOIN runs ON runs.chrom = one.chrom AND depth > 0 AND runs.start_pos <= d AND runs.end_pos >= a GROUP BY ALL),
+lr AS (SELECT one.*, CASE WHEN mean_cov IS NULL THEN 0 ELSE log2((CASE WHEN coalesce(total, 0) = 0 THEN 1e-9 ELSE total::DOUBLE END) / (d - a + 1) / mean_cov) END AS log2_cov FROM one LEFT JOIN m USING (chrom) LEFT JOIN dep USING (region_id, w)),
+o AS (SELECT lr.region_id, w, coalesce(pos, (a + b) // 2) AS pos, log2_cov, CASE WHEN pos IS NULL THEN -1.0::DOUBLE ELSE baf END AS baf, CASE WHEN pos IS NULL THEN 0.5::DOUBLE ELSE pfb END AS pfb, pos IS NOT NULL AS is_snp
+  FROM lr LEFT JOIN inside i ON i.region_id = lr.region_id AND i.pos BETWEEN a AND b)
+SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY w, pos, baf NULLS FIRST, pfb) AS t, pos, log2_cov, baf, pfb, is_snp FROM o"""
+
+
+@query(_OBSERVED, "fx_alignments", "fx_snps", "fx_pfb", "fx_regions")
+def region_observations(spark, sf):
+    """Windows, depth and SNPs of all regions in one plan."""
+    runs = store.stored(_runs(spark, sf))
+    snps = quality_control.attach_frequency(quality_control.snp_filter(table(spark, sf, "fx_snps")), table(spark, sf, "fx_pfb"))
+    return observations.observations(table(spark, sf, "fx_regions"), snps, runs, coverage.mean_coverage(runs))
+
+
 _PAIR = "1 - least((least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) / (a.end_pos - a.start_pos)::DOUBLE, (least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) / (b.end_pos - b.start_pos)::DOUBLE) <= 0.1"
 
 
@@ -283,11 +335,18 @@ def cn_update_ladder(spark, sf):
     return d.select("call_id", F.when(F.col("updated"), F.col("voted")).otherwise(F.col("sv_type")).alias("new_type"), "updated", codes.lookup("cn_state", codes.STATE_GENOTYPE).alias("genotype"))
 
 
-@query("SELECT chrom, start_pos, end_pos, sv_type, max(hmm_lh) AS hmm_lh FROM (SELECT *, row_number() OVER (PARTITION BY chrom, start_pos, end_pos, sv_type ORDER BY call_id DESC) AS r FROM fx_calls) WHERE r = 1 GROUP BY ALL", "fx_calls")
+@query(
+    """!e AS (SELECT -call_id AS call_id, chrom, start_pos, end_pos, 'DEL' AS sv_type, hmm_lh - 1 AS hmm_lh FROM fx_calls WHERE sv_type = 'INS' AND cn_state IN (1, 2))
+SELECT call_id, chrom, start_pos, end_pos, sv_type, hmm_lh FROM fx_calls ANTI JOIN e USING (chrom, start_pos, end_pos, sv_type) UNION ALL SELECT * FROM e""",
+    "fx_calls",
+)
 def upsert_calls(spark, sf):
-    """Calls matched on span and type: the last writer wins."""
-    d = table(spark, sf, "fx_calls")
-    return d.groupBy("chrom", "start_pos", "end_pos", "sv_type").agg(F.max_by("hmm_lh", "call_id").alias("hmm_lh"))
+    """Deletions that the model sees in insertions are put in, in place of calls of equal span and type."""
+    from .calling import upserted
+
+    d = table(spark, sf, "fx_calls").select("call_id", "chrom", "start_pos", "end_pos", "sv_type", "hmm_lh", "cn_state")
+    extra = d.where("sv_type = 'INS' AND cn_state IN (1, 2)").withColumns({"call_id": -F.col("call_id"), "sv_type": F.lit("DEL"), "hmm_lh": F.col("hmm_lh") - 1})
+    return upserted(d, extra).drop("cn_state")
 
 
 @query("SELECT call_id, sv_type FROM fx_calls WHERE sv_type IN ('DEL', 'DUP') UNION ALL SELECT call_id, sv_type FROM fx_calls WHERE sv_type = 'INV'", "fx_calls")
@@ -341,9 +400,14 @@ def support_rewrite(spark, sf):
 
 @query()
 def cnv_json_rows(spark, sf):
-    obs = table(spark, sf, "fx_obs")
-    calls = obs.groupBy("region_id").agg(F.count(F.lit(1)).alias("n")).selectExpr("region_id", "concat('chr', 1 + region_id % 5) AS chrom", "region_id * 1000 AS start_pos", "region_id * 1000 + n * 10 AS end_pos", "if(region_id % 2 = 0, 'DEL', 'DUP') AS sv_type")
-    return vcf_out.cnv_json(calls, obs)
+    """The JSON objects of all regions as if each were a copy-number call: observations inside and in both flanks, and the best path's states."""
+    calls = table(spark, sf, "fx_regions").selectExpr("region_id", "chrom", "start_pos", "end_pos", "if(region_id % 2 = 0, 'DEL', 'DUP') AS sv_type")
+    contigs = spark.createDataFrame(list(CONTIGS.items()), "chrom string, length bigint")
+    runs = store.stored(_runs(spark, sf))
+    snps = quality_control.attach_frequency(quality_control.snp_filter(table(spark, sf, "fx_snps")), table(spark, sf, "fx_pfb"))
+    from .calling import cnv_records
+
+    return cnv_records(calls, snps, runs, coverage.mean_coverage(runs), hmm.DEMO, contigs)
 
 
 _KNOWN = """!k AS (SELECT *, split_part(gt_father, '/', 1) AS f1, split_part(gt_father, '/', 2) AS f2, split_part(gt_mother, '/', 1) AS m1, split_part(gt_mother, '/', 2) AS m2 FROM fx_trio WHERE gt_father <> './.' AND gt_mother <> './.' AND gt_child <> './.'),
@@ -365,9 +429,14 @@ def trio_mendelian_pos(spark, sf):
     return quality_control.mendelian(part("gt_child").join(part("gt_father"), ["chrom", "pos"]).join(part("gt_mother"), ["chrom", "pos"]), ["chrom"])
 
 
-@query("SELECT sv_type, count(*) AS n, min(s) AS min_size, max(s) AS max_size, avg(s) AS mean_size, quantile_cont(s, 0.5) AS median_size, stddev_pop(s) AS sd_size, count(*) FILTER (s > 100) AS over_100, count(*) FILTER (s > 200) AS over_200 FROM (SELECT *, end_pos - start_pos AS s FROM fx_calls) GROUP BY sv_type", "fx_calls")
+@query(
+    """SELECT sv_type, count(*) AS n, min(s) AS min_size, max(s) AS max_size, avg(s) AS mean_size, quantile_cont(s, 0.5) AS median_size, stddev_pop(s) AS sd_size, count(*) FILTER (s > 10000) AS over_10000,
+  count(*) FILTER (s > 50000) AS over_50000, count(*) FILTER (s > 100000) AS over_100000 FROM (SELECT *, (end_pos - start_pos) * 500 AS s FROM fx_calls) GROUP BY ROLLUP (sv_type)""",
+    "fx_calls",
+)
 def sv_size_stats(spark, sf):
-    return quality_control.size_statistics(table(spark, sf, "fx_calls").withColumn("size", F.col("end_pos") - F.col("start_pos")))
+    """Sizes of 500 times the calls' spans, so that all bounds are met; the last row is over all types."""
+    return quality_control.size_statistics(table(spark, sf, "fx_calls").withColumn("size", (F.col("end_pos") - F.col("start_pos")) * 500))
 
 
 @query("SELECT sv_type, CASE WHEN s < 80 THEN 0 WHEN s < 120 THEN 1 WHEN s < 200 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM (SELECT *, end_pos - start_pos AS s FROM fx_calls) GROUP BY ALL", "fx_calls")
@@ -426,7 +495,7 @@ def inversion_vote(spark, sf):
 
 
 @query(
-    "!h AS (SELECT *, (end_pos - start_pos + 1) // 2 AS h FROM fx_calls) SELECT call_id AS region_id, 'before' AS section, greatest(1, start_pos - h) AS start_pos, greatest(1, start_pos - 1) AS end_pos FROM h UNION ALL SELECT call_id, 'sv', start_pos, end_pos FROM h UNION ALL SELECT call_id, 'after', end_pos + 1, end_pos + h FROM h",
+    "!h AS (SELECT *, (end_pos - start_pos) // 2 AS h FROM fx_calls) SELECT call_id AS region_id, 'before' AS section, greatest(1, start_pos - h) AS start_pos, greatest(1, start_pos - 1) AS end_pos FROM h UNION ALL SELECT call_id, 'sv', start_pos, end_pos FROM h UNION ALL SELECT call_id, 'after', end_pos + 1, end_pos + h FROM h",
     "fx_calls",
 )
 def flank_regions(spark, sf):
@@ -469,16 +538,91 @@ def lr_score_hist(spark, sf):
     return quality_control.score_histogram(quality_control.logistic_score(lr_features(spark, sf), {"code": 0.25, "sv_length": 0.0004}, -1.5))
 
 
+_FEATURES = """!r AS (SELECT row_number() OVER (ORDER BY call_id, info) AS ordinal, call_id, chrom, start_pos, cluster_size, info || CASE WHEN cluster_size % 7 = 0 THEN ';REPTYPE=DUP' ELSE '' END AS info FROM fx_info),
+f AS (SELECT chrom, min(CASE WHEN cluster_size > 25 THEN 0 ELSE 1 END * 10000000000 + ordinal) AS f FROM r GROUP BY chrom), k AS (SELECT chrom, CAST(row_number() OVER (ORDER BY f) - 1 AS INT) AS chrom_code FROM f) """
+
+
+@query(
+    _FEATURES
+    + f"""SELECT call_id, chrom_code, start_pos AS start, {_RX('SVLEN')}::INT AS sv_length, CASE CASE WHEN info LIKE '%REPTYPE=DUP%' THEN 'DUP' ELSE regexp_extract(info, 'SVTYPE=([A-Z]+)', 1) END WHEN 'DEL' THEN 0 WHEN 'DUP' THEN 1 WHEN 'INV' THEN 2 ELSE 3 END::INT AS type_code,
+  {_RX('SUPPORT')}::INT AS read_support, {_RX('CLIPSUP')}::INT AS clipped_bases, CASE WHEN cluster_size > 25 THEN 1 ELSE 0 END AS label FROM r JOIN k USING (chrom)""",
+    "fx_info",
+)
+def call_features(spark, sf):
+    """The six features of two labelled call sets under one table of contig codes."""
+    true, false = _call_sets(spark, sf)
+    codes_of = scoring.contig_codes(true, false)
+    d = filters.labelled_union({1: scoring.call_features(true, codes_of), 0: scoring.call_features(false, codes_of)})
+    return d.select("call_id", *scoring.FEATURES, "label")
+
+
+def _call_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Calls of many and of few reads, numbered in one order."""
+    d = store.numbered(table(spark, sf, "fx_info"), ["call_id", "info"]).withColumn("info", F.expr("concat(info, if(cluster_size % 7 = 0, ';REPTYPE=DUP', ''))")).withColumnRenamed("start_pos", "pos")
+    return d.where("cluster_size > 25"), d.where("cluster_size <= 25")
+
+
 @query()
 def lr_train_score(spark, sf):
-    """Logistic regression (L2, unscaled) on the features: doc_id, label and probability."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    d = VectorAssembler(inputCols=["code", "sv_length"], outputCol="features").transform(lr_features(spark, sf))
-    model = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(1, d.count()), elasticNetParam=0.0, standardization=False).fit(d)
-    return model.transform(d).select("doc_id", "label", vector_to_array("probability")[1].alias("probability"))
+    """A model trained on the two call sets, and the probability of every call."""
+    true, false = _call_sets(spark, sf)
+    model, codes_of = scoring.train(true, false)
+    return filters.labelled_union({1: true, 0: false}).transform(lambda d: scoring.score(d, model, codes_of)).select("call_id", "label", "score")
+
+
+@query()
+def lr_fitted_hist(spark, sf):
+    """The histogram of the trained model's scores per label."""
+    return quality_control.score_histogram(lr_train_score(spark, sf))
+
+
+@query("SELECT count(*) FILTER (gt_father <> './.' AND gt_mother <> './.' AND gt_child <> './.' AND ((gt_father = gt_mother AND gt_father <> gt_child) OR (gt_father <> gt_mother AND (gt_father = gt_child OR gt_mother = gt_child)))) AS errors, count(*) AS total, errors / total::DOUBLE AS rate FROM fx_trio", "fx_trio")
+def trio_scenarios(spark, sf):
+    return quality_control.parent_scenarios(table(spark, sf, "fx_trio"))
+
+
+@query("SELECT sv_type, row_number() OVER (ORDER BY sv_type) - 1 AS place FROM (SELECT DISTINCT sv_type FROM fx_calls)", "fx_calls")
+def type_order(spark, sf):
+    return filters.types_in_order(table(spark, sf, "fx_calls")).select("sv_type", F.col("place").cast("bigint").alias("place"))
+
+
+@query("SELECT ord, gt_child FROM fx_trio ORDER BY ord LIMIT 10000", "fx_trio")
+def first_trio_rows(spark, sf):
+    """The head of the child's records, as the trio report reads it."""
+    return filters.first_rows(table(spark, sf, "fx_trio"), ["ord"]).select("ord", "gt_child")
+
+
+@query("SELECT call_id FROM fx_calls WHERE end_pos - start_pos >= 120 AND chrom = 'chr2'", "fx_calls")
+def drawn_calls(spark, sf):
+    return filters.drawn(table(spark, sf, "fx_calls"), 120, "chr2").select("call_id")
+
+
+@query("SELECT region_id, t, CASE WHEN baf <> -1 THEN baf ELSE 0 END::DOUBLE AS baf FROM fx_obs", "fx_obs")
+def drawn_baf(spark, sf):
+    return table(spark, sf, "fx_obs").withColumn("is_snp", F.col("baf") != -1).select("region_id", "t", filters.shown_baf().cast("double").alias("baf"))
+
+
+@query(
+    """!x AS (SELECT *, try_cast(nullif(regexp_extract(line, '#EPSILON=([0-9.]+)', 1), '') AS DOUBLE) AS e, CASE WHEN line LIKE 'Running truvari%' THEN regexp_extract(line, 'on ([A-Z]+) calls', 1) WHEN line LIKE '%recall%' THEN '' END AS at FROM fx_log),
+y AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS eps, last_value(at IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM x),
+z AS (SELECT file, line_no, eps, section, unnest([{m: 'comp', v: try_cast(nullif(regexp_extract(line, '.comp.: ([0-9]+)', 1), '') AS DOUBLE)}, {m: 'base', v: try_cast(nullif(regexp_extract(line, '.base.: ([0-9]+)', 1), '') AS DOUBLE)},
+  {m: 'FP', v: try_cast(nullif(regexp_extract(line, '"FP": ([0-9]+)', 1), '') AS DOUBLE)}, {m: 'FN', v: try_cast(nullif(regexp_extract(line, '"FN": ([0-9]+)', 1), '') AS DOUBLE)},
+  {m: 'precision', v: try_cast(nullif(regexp_extract(line, '"precision": ([0-9.]+)', 1), '') AS DOUBLE)}, {m: 'recall', v: try_cast(nullif(regexp_extract(line, '"recall": ([0-9.]+)', 1), '') AS DOUBLE)}]) AS m FROM y WHERE section <> '')
+SELECT file, line_no, eps, section, m.m AS metric, m.v AS value FROM z WHERE m.v IS NOT NULL""",
+    "fx_log",
+)
+def benchmark_log_parse(spark, sf):
+    return quality_control.benchmark_log(table(spark, sf, "fx_log"))
+
+
+@query()
+def variant_calls(spark, sf):
+    """The whole plan over all alignments, SNPs and frequencies: candidates, copy numbers, split reads, merging, records."""
+    from .calling import CallerParams, call_variants
+
+    aln, _ = _reads(spark, sf)
+    snps = quality_control.attach_frequency(quality_control.snp_filter(table(spark, sf, "fx_snps")), table(spark, sf, "fx_pfb"))
+    return call_variants(aln.drop("end_pos", "query_start", "query_end"), reference(spark), snps, table(spark, sf, "fx_gaps"), hmm.DEMO, CallerParams(min_cnv=30))
 
 
 @query()

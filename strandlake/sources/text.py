@@ -115,6 +115,16 @@ def substring_at(tiles: DataFrame, ranges: DataFrame, key: list[str], start: str
     return ranges.join(seq, key, "left").withColumn("ref_seq", F.coalesce("ref_seq", F.lit("")))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 0, per file, in file order), line: rows are numbered within their splits, whose counts give the first number of each."""
+    d = spark.read.text(path).selectExpr("_metadata.file_path AS file", "_metadata.file_block_start AS split", "value AS line", "monotonically_increasing_id() AS __i", "spark_partition_id() AS __p")
+    d = stored(d)
+    sizes = d.groupBy("file", "split", "__p").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    base = sizes.withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return d.join(base, ["file", "split", "__p"]).select("file", F.expr("__base + __i - __first AS line_no"), "line")
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Columns of body lines of any width (gzip by extension); missing FORMAT and SAMPLE are null."""
     d = spark.read.text(path).where("NOT value LIKE '#%' AND value <> ''").select(F.split("value", "\t").alias("p"))
