@@ -103,7 +103,7 @@ def benchmark_log(lines: DataFrame, by: str = "file") -> DataFrame:
     w = Window.partitionBy(by, "__b").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     d = d.join(carried, [by, "__b"])
     d = d.withColumn("eps", F.coalesce("__eps", F.last("__eps", ignorenulls=True).over(w), "__eps0")).withColumn("section", F.coalesce(F.last("__at", ignorenulls=True).over(w), "__at0"))
-    counter = lambda k: f"try_cast(nullif(regexp_extract(line, 'Zipped.*Counter.*[{{ ]\'{k}\': *([0-9]+)', 1), '') AS double)"
+    counter = lambda k: f"try_cast(nullif(regexp_extract(line, 'Zipped.*Counter.*[^a-z]{k}[^a-z0-9]+([0-9]+)', 1), '') AS double)"
     plain = lambda k: f"try_cast(replace(nullif(regexp_extract(line, '{k}[^:]*: *([0-9.,eE+-]*[0-9])', 1), ''), ',', '') AS double)"
     kinds = {"comp": counter("comp"), "base": counter("base"), **{k: f"if(line LIKE '%Zipped%', null, {plain(k)})" for k in ("FP", "FN", "precision", "recall", "f1")}}
     found = F.expr("array(" + ", ".join(f"named_struct('metric', '{k}', 'value', {e})" for k, e in kinds.items()) + ")")

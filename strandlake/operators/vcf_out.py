@@ -91,7 +91,7 @@ def cnv_json(calls: DataFrame, obs: DataFrame) -> DataFrame:
     calls: region_id, chrom, start_pos, end_pos, sv_type, likelihood.  obs: region_id, section ('before', 'after' or 'sv'), t, pos, baf,
     pfb, log2_cov, is_snp and state (null outside the call).  Numbers have six significant digits; a
     flank without observations has empty lists; places without SNP show a frequency of 0."""
-    short = lambda c: F.expr(f"cast(format_string('%.5e', cast({c} AS double)) AS double)")
+    short = lambda c: F.expr(f"try_cast(format_string('%.5e', cast({c} AS double)) AS double)")
     fields = {"positions": F.col("pos"), "b_allele_freq": F.when(F.col("is_snp"), short("baf")).otherwise(F.lit(0.0)), "population_freq": short("pfb"), "log2_ratio": short("log2_cov"), "states": F.col("state"), "is_snp": F.col("is_snp").cast("int")}
     # A call's observations are one object of the file, so they meet in one row.
     each = obs.groupBy("region_id", "section").agg(F.array_sort(F.collect_list(F.struct("t", *(e.alias(n) for n, e in fields.items())))).alias("o"))

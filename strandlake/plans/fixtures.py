@@ -18,11 +18,11 @@ FIXTURES = {
   l_partkey * 7 + l_orderkey % 13 + 50 + CAST(l_quantity AS BIGINT) * 4 AS end_pos, CASE l_linenumber % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'DUP' WHEN 2 THEN 'INV' ELSE 'INS' END AS sv_type,
   CASE WHEN l_tax > 0.065 THEN -floor(l_extendedprice) / 100 ELSE 0.0 END AS hmm_lh, CAST(l_quantity AS INTEGER) AS cluster_size, CAST(l_partkey % 7 AS INTEGER) AS cn_state
   FROM lineitem""",
-    "fx_seqs": """SELECT aln_id, substr(repeat('ACGTRYN', 100), CAST(1 + aln_id // 1000 % 7 AS INTEGER), CAST(320 + 20 + mapq + 10 * (aln_id // 10000000000 % 10) AS INTEGER)) AS seq, CASE WHEN chrom = 'chr5' THEN 9000 ELSE 262144 END AS length FROM fx_alignments""",
+    "fx_seqs": """SELECT *, substr(repeat('ACGTRYN', 100), CAST(1 + aln_id // 1000 % 7 AS INTEGER), CAST(320 + 20 + mapq + 10 * (aln_id // 10000000000 % 10) AS INTEGER)) AS seq, CASE WHEN chrom = 'chr5' THEN 9000 ELSE 262144 END AS length FROM fx_alignments""",
     "fx_regions": """SELECT p_partkey AS region_id, 'chr' || CAST(1 + p_size % 5 AS VARCHAR(20)) AS chrom, p_partkey * 37 AS start_pos, p_partkey * 37 + CASE WHEN p_partkey % 11 = 0 THEN p_size % 9 ELSE p_size * 211 END AS end_pos FROM part""",
     "fx_log": """SELECT 'run' || CAST(user_id % 3 AS VARCHAR(20)) AS file, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS line_no,
   CASE event_id % 11 WHEN 0 THEN '#EPSILON=0.' || CAST(event_id % 90 + 10 AS VARCHAR(20)) WHEN 1 THEN 'Running truvari on ' || CASE event_id % 3 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' ELSE 'DUP' END || ' calls'
-  WHEN 2 THEN '[INFO] Zipped ' || CAST(event_id % 700 AS VARCHAR(20)) || ' variants Counter({''comp'': ' || CAST(event_id % 500 AS VARCHAR(20)) || ', ''base'': ' || CAST(event_id % 200 AS VARCHAR(20)) || '})'
+  WHEN 2 THEN '[INFO] Zipped ' || CAST(event_id % 700 AS VARCHAR(20)) || ' variants Counter(' || chr(123) || '''comp'': ' || CAST(event_id % 500 AS VARCHAR(20)) || ', ''base'': ' || CAST(event_id % 200 AS VARCHAR(20)) || chr(125) || ')'
   WHEN 3 THEN '    "FP": ' || CAST(event_id % 90 AS VARCHAR(20)) || ',' WHEN 4 THEN '    "FN": ' || CAST(event_id % 80 AS VARCHAR(20)) || ',' WHEN 5 THEN '    "precision": 0.' || CAST(event_id % 900 + 100 AS VARCHAR(20)) || ','
   WHEN 6 THEN CASE WHEN event_id % 5 = 0 THEN 'noise' ELSE '    "recall": 0.' || CAST(event_id % 800 + 100 AS VARCHAR(20)) || ',' END ELSE 'text ' || CAST(event_id AS VARCHAR(20)) END AS line FROM events""",
     "fx_states": "SELECT user_id AS region_id, event_id % 1000 AS pos, CAST(1 + (CASE WHEN event_id % 2 = 0 THEN user_id ELSE event_id END) % 6 AS INTEGER) AS state, 100 AS start_pos, 700 AS end_pos FROM events",

@@ -78,11 +78,11 @@ def snp_filter_baf(spark, sf):
     return quality_control.snp_filter(table(spark, sf, "fx_snps")).select("chrom", "pos", "baf")
 
 
-_OPS = """!x AS (SELECT * FROM fx_alignments JOIN fx_seqs USING (aln_id)),
+_OPS = """!x AS (SELECT *, row_number() OVER () AS rid FROM fx_seqs),
 ops AS (SELECT *, unnest(regexp_extract_all(cigar, '[0-9]+[MIDS]')) AS o, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[MIDS]'), 1) AS i FROM x),
 u AS (SELECT *, right(o, 1) AS op, CAST(left(o, length(o) - 1) AS BIGINT) AS n FROM ops),
 w AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER before, 0) AS off, coalesce(sum(CASE WHEN op <> 'D' THEN n ELSE 0 END) OVER before, 0) AS q
-  FROM u WINDOW before AS (PARTITION BY aln_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM u WINDOW before AS (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT chrom, qname, CAST(start_pos + off AS BIGINT) AS sv_start, CAST(start_pos + off + n - 1 AS BIGINT) AS sv_end, CASE op WHEN 'D' THEN 'DEL' ELSE 'INS' END AS sv_type, CASE op WHEN 'I' THEN 1 WHEN 'D' THEN 2 ELSE 4 END AS evidence,
   CASE WHEN op = 'D' THEN '<DEL>' WHEN n = 50 THEN regexp_replace(substr(seq, CAST(q + 1 AS INT), 50), '[RY]', 'N', 'g') ELSE '<INS>' END AS alt
   FROM w WHERE op <> 'M' AND n >= 50 AND flag & 3844 = 0 AND mapq >= 20 AND (op <> 'S' OR start_pos + off <= length)) """
@@ -90,29 +90,27 @@ c AS (SELECT chrom, qname, CAST(start_pos + off AS BIGINT) AS sv_start, CAST(sta
 
 def _reads(spark, sf):
     """The alignments with their bases, and the lengths of their contigs."""
-    x = table(spark, sf, "fx_seqs")
-    # One row per contig.
-    return table(spark, sf, "fx_alignments").join(x.select("aln_id", "seq"), "aln_id"), spark.createDataFrame(list(CONTIGS.items()), "chrom string, length bigint")
+    return table(spark, sf, "fx_seqs").drop("length"), spark.createDataFrame(list(CONTIGS.items()), "chrom string, length bigint")
 
 
-@query(_OPS + "SELECT * FROM c", "fx_alignments", "fx_seqs")
+@query(_OPS + "SELECT * FROM c", "fx_seqs")
 def cigar_candidates(spark, sf):
     """With the bases of insertions of 50, and without clips behind the contig's end."""
     return reads.cigar_candidates(*_reads(spark, sf))
 
 
-@query(_OPS + "SELECT chrom, sv_start, sv_end, sv_type, evidence, alt, count(*) AS n FROM c GROUP BY ALL", "fx_alignments", "fx_seqs")
+@query(_OPS + "SELECT chrom, sv_start, sv_end, sv_type, evidence, alt, count(*) AS n FROM c GROUP BY ALL", "fx_seqs")
 def cigar_candidate_counts(spark, sf):
     """Equal candidates with their number, which is the weight that clustering gives them."""
     return reads.cigar_candidates(*_reads(spark, sf)).groupBy("chrom", "sv_start", "sv_end", "sv_type", "evidence", "alt").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_OPS + "SELECT aln_id, CAST(start_pos + sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) - 1 AS BIGINT) AS end_pos FROM w GROUP BY aln_id, start_pos", "fx_alignments", "fx_seqs")
+@query(_OPS + "SELECT aln_id, CAST(start_pos + sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) - 1 AS BIGINT) AS end_pos FROM w GROUP BY rid, aln_id, start_pos", "fx_seqs")
 def alignment_ends(spark, sf):
     return reads.with_ends(table(spark, sf, "fx_alignments").drop("end_pos")).select("aln_id", "end_pos")
 
 
-@query(_OPS + "SELECT chrom, CAST(start_pos + off AS BIGINT) AS start_pos, CAST(start_pos + off + n - 1 AS BIGINT) AS end_pos, count(*) AS n FROM w WHERE op = 'M' AND flag & 1796 = 0 GROUP BY ALL", "fx_alignments", "fx_seqs")
+@query(_OPS + "SELECT chrom, CAST(start_pos + off AS BIGINT) AS start_pos, CAST(start_pos + off + n - 1 AS BIGINT) AS end_pos, count(*) AS n FROM w WHERE op = 'M' AND flag & 1796 = 0 GROUP BY ALL", "fx_seqs")
 def aligned_block_counts(spark, sf):
     """Runs of aligned bases of the reads that count for depth, equal ones with their number."""
     return reads.aligned_blocks(coverage.read_filter(table(spark, sf, "fx_alignments"))).groupBy("chrom", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("n"))
@@ -603,8 +601,8 @@ def drawn_baf(spark, sf):
 
 
 @query(
-    """!x AS (SELECT *, try_cast(nullif(regexp_extract(line, '#EPSILON=([0-9.]+)', 1), '') AS DOUBLE) AS e, CASE WHEN line LIKE 'Running truvari%' THEN regexp_extract(line, 'on ([A-Z]+) calls', 1) WHEN line LIKE '%recall%' THEN '' END AS at FROM fx_log),
-y AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS eps, last_value(at IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM x),
+    """!x AS (SELECT *, try_cast(nullif(regexp_extract(line, '#EPSILON=([0-9.]+)', 1), '') AS DOUBLE) AS e, CASE WHEN line LIKE 'Running truvari%' THEN regexp_extract(line, 'on ([A-Z]+) calls', 1) WHEN line LIKE '%recall%' THEN '' END AS mark FROM fx_log),
+y AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS eps, last_value(mark IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM x),
 z AS (SELECT file, line_no, eps, section, unnest([{m: 'comp', v: try_cast(nullif(regexp_extract(line, '.comp.: ([0-9]+)', 1), '') AS DOUBLE)}, {m: 'base', v: try_cast(nullif(regexp_extract(line, '.base.: ([0-9]+)', 1), '') AS DOUBLE)},
   {m: 'FP', v: try_cast(nullif(regexp_extract(line, '"FP": ([0-9]+)', 1), '') AS DOUBLE)}, {m: 'FN', v: try_cast(nullif(regexp_extract(line, '"FN": ([0-9]+)', 1), '') AS DOUBLE)},
   {m: 'precision', v: try_cast(nullif(regexp_extract(line, '"precision": ([0-9.]+)', 1), '') AS DOUBLE)}, {m: 'recall', v: try_cast(nullif(regexp_extract(line, '"recall": ([0-9.]+)', 1), '') AS DOUBLE)}]) AS m FROM y WHERE section <> '')
