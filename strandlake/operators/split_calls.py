@@ -2,38 +2,85 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import clustering, intervals, reads
+from .store import stored
 
 MIN_LENGTH, MAX_LENGTH = 2_000, 1_000_000
 
 
+def seed_reads(primaries: DataFrame, tile: int = 1 << 16) -> DataFrame:
+    """chrom, qname, start_pos, end_pos of the seeds: in the order (start, end, qname) the first read of a contig, then each first read that starts behind the last seed's end.
+
+    Of the reads of one start only the first can be a seed, so a tile of positions holds a bounded
+    number.  Each tile says, for every position that the chain may come from, where its last seed ends
+    (equal neighbours are one row); one pass over these rows carries the chain through the contig, and
+    every tile then marks its own seeds."""
+    kinds = dict(primaries.dtypes)
+    first = primaries.groupBy("chrom", "start_pos").agg(F.min(F.struct("end_pos", "qname")).alias("f"))
+    first = stored(first.select("chrom", F.expr(f"cast(start_pos div {tile} AS bigint)").alias("tile"), "start_pos", "f.end_pos", "f.qname"))
+    key = f"chrom {kinds['chrom']}, tile bigint"
+
+    def following(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """A tile's reads by start, and for each the place of the first that starts behind its end."""
+        table = table.sort_by("start_pos")
+        start, end = (table.column(c).to_numpy().astype(np.int64) for c in ("start_pos", "end_pos"))
+        return table, start, end, np.maximum(np.searchsorted(start, end, side="right"), np.arange(len(start)) + 1)
+
+    def ways(table: pa.Table) -> pa.Table:
+        table, start, end, after = following(table)
+        out = end.copy()
+        for i in range(len(out) - 1, -1, -1):
+            if after[i] < len(out):
+                out[i] = out[after[i]]
+        last = np.flatnonzero(np.r_[out[1:] != out[:-1], True])
+        head = {c: pa.array([table.column(c)[0].as_py()] * len(last), table.schema.field(c).type) for c in ("chrom", "tile")}
+        return pa.table(head | {"below": start[last], "way_out": out[last]})
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contig, tile_of, at, found = object(), None, None, True
+        for batch in batches:
+            rows = []
+            for c, t, below, out in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != contig:
+                    contig, tile_of, at = c, None, -1
+                if t != tile_of:
+                    tile_of, found = t, False
+                    rows.append((c, t, at))
+                if not found and below > at:
+                    at, found = out, True
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["chrom", "tile", "came"])
+
+    def marked(table: pa.Table) -> pa.Table:
+        table, start, _, after = following(table)
+        i, kept = int(np.searchsorted(start, table.column("came")[0].as_py(), side="right")), []
+        while i < len(start):
+            kept.append(i)
+            i = int(after[i])
+        return table.select(["chrom", "qname", "start_pos", "end_pos"]).take(pa.array(kept, pa.int64()))
+
+    steps = first.groupBy("chrom", "tile").applyInArrow(ways, f"{key}, below bigint, way_out bigint")
+    came = steps.repartition("chrom").sortWithinPartitions("chrom", "tile", "below").mapInArrow(carry, f"{key}, came bigint")
+    both = first.join(came, ["chrom", "tile"])
+    return both.groupBy("chrom", "tile").applyInArrow(marked, ", ".join(f"{c} {kinds[c]}" for c in ("chrom", "qname", "start_pos", "end_pos")))
+
+
 def star_groups(primaries: DataFrame) -> DataFrame:
     """(chrom, grp, qname): groups of primaries that overlap a seed, of two or more; a read may be in several.
 
     In the order (start, end, qname) the first read that no group has is a seed; its group is all
-    reads that overlap it.  The next seed is the first read that starts behind the seed's end, a
-    chain that one pass over an island of overlapping primaries follows with three columns a read;
-    the groups themselves come from a blocked join of seeds and reads."""
+    reads that overlap it.  The groups come from a blocked join of seeds and reads."""
     cols = ("chrom", "qname", "start_pos", "end_pos")
-    islands = intervals.overlap_islands(primaries.select(*cols), ["chrom"], ["qname"])
-
-    def seeds(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_pos", "end_pos", "qname"])
-        keep, end = [], None
-        for s, e in zip(pdf["start_pos"].tolist(), pdf["end_pos"].tolist()):
-            keep.append(end is None or s > end)
-            end = e if keep[-1] else end
-        return pdf.loc[keep, list(cols)]
-
-    kinds = {f.name: f.dataType.simpleString() for f in primaries.schema}
-    seed = islands.groupBy("chrom", "island").applyInPandas(seeds, ", ".join(f"{c} {kinds[c]}" for c in cols))
-    pairs = intervals.overlap_pairs(seed, primaries.select(*cols), "qname", 1 << 14).select("chrom", F.col("a_id").alias("grp"), F.col("b_id").alias("qname"))
-    n = Window.partitionBy("chrom", "grp")
-    return pairs.withColumn("__n", F.count(F.lit(1)).over(n)).where("__n > 1").drop("__n")
+    pairs = intervals.overlap_pairs(seed_reads(primaries.select(*cols)), primaries.select(*cols), "qname", 1 << 14).select("chrom", F.col("a_id").alias("grp"), F.col("b_id").alias("qname"))
+    size = pairs.groupBy("chrom", "grp").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("chrom", "grp")
+    return pairs.join(size, ["chrom", "grp"], "left_semi")
 
 
 def split_read_calls(alignments: DataFrame, eps: int = 100, min_points: int = 5, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> DataFrame:
