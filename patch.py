@@ -1,0 +1,12 @@
+import json
+cmd=None
+for line in open("/work/_transcript_0.jsonl"):
+    if "_OBSERVED = _BASES" in line and "def cnv_records(" in line:
+        d=json.loads(line)
+        for c in d.get("message",{}).get("content",[]):
+            if isinstance(c,dict) and c.get("type")=="tool_use": cmd=c["input"]["command"]
+print(len(cmd))
+a=cmd.index("python - <<'E'\n")+len("python - <<'E'\n"); b=cmd.index("\nE\n",a)
+s=cmd[a:b]
+s=s.replace("regexp_extract(line, '''comp'': ([0-9]+)', 1)","regexp_extract(line, '.comp.: ([0-9]+)', 1)").replace("regexp_extract(line, '''base'': ([0-9]+)', 1)","regexp_extract(line, '.base.: ([0-9]+)', 1)")
+open("patch.py","w").write(s)
\ No newline at end of file
