@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
 from .pretokens import PieceEncoder, binary_column, packed, text_slices
 
 
@@ -97,6 +98,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     names, made = list(dict.fromkeys((id_col, *keep))), ["n_tokens", "ids", *(["decoded"] if decoded else [])]
     src = docs.select(*(f"`{c}`" for c in dict.fromkeys((*names, text_col))))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
         table = _bytes_of_ids(sent.value) if decoded else []
@@ -131,6 +133,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     """encoded plus decoded binary: the bytes of the ids, by the inverse of the byte mapping; null ids give null."""
     sent = encoded.sparkSession.sparkContext.broadcast(sentencepiece_model(load_ranks(ranks_path)))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_of_ids(sent.value)
         for batch in batches:

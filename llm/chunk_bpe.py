@@ -20,6 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .bpe import byte_characters
+from .common import trimmed
 from .pretokens import text_slices
 from .textblocks import buffers, byte_values, gram_hash, prefix_hash
 from .token_files import _PLAIN, _Encoder
@@ -276,6 +277,7 @@ def encode(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "do
     names = list(dict.fromkeys((id_col, *keep)))
     src = docs.select(*(f"`{c}`" for c in dict.fromkeys((*names, text_col))))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(sent.value, pattern)
         table = _bytes_of_ids(sent.value) if decoded else []
@@ -301,6 +303,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
         blob = f.read()
     sent = encoded.sparkSession.sparkContext.broadcast(blob)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_of_ids(sent.value)
         for batch in batches:

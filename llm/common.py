@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,20 @@ def bucket_count(df: DataFrame, least: int = 512, bytes_each: int = 128 << 20) -
 def small_side(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """Broadcast a side whose counted rows stay below the limit; else leave the join to Spark."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def trimmed(run):
+    """run (batches in, batches out), which gives free memory back to the machine at its end: Python workers outlive their tasks, beside those of other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return wrapped

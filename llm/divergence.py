@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trimmed, written
 from .pretokens import text_slices
 from .textblocks import buffers
 
@@ -44,6 +44,7 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     fill = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
     src = docs.select(fill(lang).alias("lang"), fill(source).alias("source"), fill(text).alias("text"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text", 8 << 20):
@@ -76,6 +77,7 @@ def kept_terms(counts: DataFrame, least_docs: int = 10, chunk: int = CHUNK) -> D
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = kept.repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term").select("lang", "term", F.spark_partition_id().cast("long").alias("p"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, terms, part, at = None, [], 0, 0
         row = lambda: pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([part << 32 | at], pa.int64()), pa.array([terms], pa.list_(pa.string()))], names=["lang", "chunk", "terms"])

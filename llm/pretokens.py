@@ -21,7 +21,7 @@ _UNSAFE = re.compile(r"(?<!\S) (?!\S)")
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE_RE2 = rf"\A |{_BLANK} | {_BLANK}| \z"
 #: Bytes of a cache's younger half; the older half holds as much.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 16 << 20
 #: Longer strings are not kept, and what one entry weighs besides its characters and ids.
 LONGEST, ENTRY_BYTES = 256, 160
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import bucket_count, written
+from .common import bucket_count, trimmed, written
 from .decontaminate import slices
 
 _NO = np.zeros(0, dtype=np.int64)
@@ -141,6 +141,7 @@ def removed_ranges(docs: DataFrame, size: int, k: int, words: bool, solve: Calla
     else:
         src = src.join(twice, src.id == twice.twice, "left").select("id", "text", F.when(F.col("twice").isNotNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(0).alias("tag"))
 
+    @trimmed
     def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -183,6 +184,7 @@ def removed_ranges(docs: DataFrame, size: int, k: int, words: bool, solve: Calla
         order, groups = _of_texts(doc, tag)
         return pa.table({**_addresses(groups), "hashes": pa.array([key[order[a:b]].tobytes() for _, _, a, b in groups], pa.binary())})
 
+    @trimmed
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, weight = [], 0
