@@ -9,6 +9,7 @@ by word, and the words inside verified windows are hit.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import written
+from .common import trimmed, written
 
 WINDOW = 13
 #: Bytes of one broadcast set; a larger benchmark takes several, each with a pass of its own over the texts.
@@ -75,11 +76,17 @@ class Windows:
         return len(self.text) + sum(x.nbytes for v in self.by_size.values() for x in v)
 
 
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Bytes of one window in a set: its hash, item, and place in the text.
+WINDOW_BYTES = 28
+
+
 def _chunks(bench: DataFrame, most: int):
-    """Items in sets that stay below `most` bytes (a single larger item is one set), read one after the other: an item's set takes up to about 40 bytes a byte of text."""
+    """Items in sets that stay below `most` bytes (a single larger item is one set), read one after the other: a window a word, and the words."""
     held, weight = [], 0
     for r in bench.toLocalIterator():
-        n = 40 * len((r.t or "").encode()) + 64
+        b = (r.t or "").encode()
+        n = len(b) + WINDOW_BYTES * sum(1 for _ in _WORDS.finditer(b)) + 64
         if held and weight + n > most:
             yield Windows(held)
             held, weight = [], 0
@@ -109,6 +116,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     if second is None:
         sent = sc.broadcast(first)
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "t"):
@@ -117,10 +125,15 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
         return src.mapInArrow(run, f"{fields}, {_FOUND}").toDF(*names, "n_words", "n_hit", "item_ids", "hit_spans")
     src = written(src.withColumn("row", F.monotonically_increasing_id()), "bench-rows")
-    passes = [written(_pass(src, sc.broadcast(c)), "bench-hits") for c in itertools.chain((first, second), chunks)]
+    passes = []
+    for c in itertools.chain((first, second), chunks):
+        sent = sc.broadcast(c)
+        passes.append(written(_pass(src, sent), "bench-hits"))
+        sent.destroy()  # driver and executors hold one set at a time
     hits = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("size")).alias("size"), F.flatten(F.collect_list("items")).alias("items"))
     both = src.join(hits, "row", "left").select("t", *(f"_{i}" for i in range(len(names))), "at", "size", "items")
 
+    @trimmed
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
@@ -134,6 +147,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def _pass(src: DataFrame, sent) -> DataFrame:
     """row, at, size and items of the rows that hold windows of one set."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
