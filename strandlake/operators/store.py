@@ -20,20 +20,32 @@ def stored(df: DataFrame) -> DataFrame:
         base = f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
     path = f"{base.rstrip('/')}/variants-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Rows (node, root) for every node of the edges (a, b); root is the least node of its component.
 
     A round hangs each node's larger neighbours on its least neighbour and then each node itself,
-    so paths shrink by half or more; minima are combined before they are joined back."""
+    so paths shrink by half or more; minima are combined before they are joined back.  A round's
+    tables are deleted when the next one's are written."""
     now = stored(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v").distinct())
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
-        now = _hang(both, "v > u")
-        now = _hang(now, None)
+        half = _hang(both, "v > u")
+        dropped(now)
+        now = _hang(half, None)
+        dropped(half)
         state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             return now.selectExpr("u AS node", "v AS root").unionByName(now.selectExpr("v AS node", "v AS root").distinct())
@@ -47,7 +59,9 @@ def _hang(edges: DataFrame, which: str | None) -> DataFrame:
     out = (moved.where(which) if which else moved).selectExpr("v AS x", "m")
     if not which:
         out = out.unionByName(least.selectExpr("u AS x", "m"))
-    return stored(out.where("x <> m").selectExpr("greatest(x, m) AS u", "least(x, m) AS v").distinct())
+    out = stored(out.where("x <> m").selectExpr("greatest(x, m) AS u", "least(x, m) AS v").distinct())
+    dropped(least)
+    return out
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:

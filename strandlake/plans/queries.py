@@ -316,7 +316,24 @@ def viterbi_likelihood(spark, sf):
     return hmm.viterbi_likelihoods(_obs(spark, sf), hmm.DEMO)
 
 
-@query()
+def _viterbi_path_sql() -> str:
+    """As above, with the best path to each state as text; ties go to the lowest state."""
+    import math
+
+    a = hmm.DEMO.a
+    em = ", ".join(f"({x} + CASE WHEN baf = -1 THEN 0 ELSE {y} END)::DOUBLE AS e{i}" for i, (x, y) in enumerate(zip(_EM1, _EM2)))
+    way = lambda i, j: f"d{i} + {math.log(a[i][j])!r}"
+    top = lambda j: f"greatest({', '.join(way(i, j) for i in range(6))})"
+    came = lambda j: f"CASE {top(j)} " + " ".join(f"WHEN {way(i, j)} THEN p{i}" for i in range(6)) + f" END || ',{j + 1}'"
+    first = ", ".join(f"{math.log(p)!r} + e{i} AS d{i}" for i, p in enumerate(hmm.DEMO.pi)) + ", " + ", ".join(f"'{i + 1}' AS p{i}" for i in range(6))
+    step = ", ".join(f"{top(j)} + e{j}" for j in range(6)) + ", " + ", ".join(came(j) for j in range(6))
+    best = "CASE greatest(d0, d1, d2, d3, d4, d5) " + " ".join(f"WHEN d{i} THEN p{i}" for i in range(6)) + " END"
+    return f"""!em AS MATERIALIZED (SELECT region_id, t, {em} FROM (SELECT region_id, t, log2_cov, baf::DOUBLE AS baf, pfb::DOUBLE AS pfb FROM fx_obs)),
+v AS (SELECT region_id, t, {first} FROM em WHERE t = 1 UNION ALL SELECT em.region_id, em.t, {step} FROM v JOIN em ON em.region_id = v.region_id AND em.t = v.t + 1)
+SELECT region_id, {best} AS path FROM v QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY t DESC) = 1"""
+
+
+@query(_viterbi_path_sql(), "fx_obs")
 def viterbi_path(spark, sf):
     return hmm.viterbi(_obs(spark, sf), hmm.DEMO).select("region_id", F.array_join("path", ",").alias("path"))
 
