@@ -94,7 +94,8 @@ def copy_numbers(calls: DataFrame, obs: DataFrame, model: hmm.Model, voted: str)
 
     voted is 'split' (the states' shares over the region) or 'cigar' (the majority state inside the call)."""
     best = stored(hmm.viterbi_blocks(obs.select("region_id", "t", "log2_cov", "baf", "pfb"), model))
-    steps = best.select("region_id", F.explode(F.arrays_zip("t", "states")).alias("x")).select("region_id", F.col("x.t").alias("t"), F.col("x.states").alias("state"))
+    # One row per step is far more than the table's files: it must not be broadcast.
+    steps = best.select("region_id", F.explode(F.arrays_zip("t", "states")).alias("x")).select("region_id", F.col("x.t").alias("t"), F.col("x.states").alias("state")).hint("merge")
     if voted == "cigar":
         at = steps.join(obs.select("region_id", F.col("t").cast("bigint").alias("t"), "pos"), ["region_id", "t"])
         state = hmm.majority_state(at.join(calls.select(F.col("call_id").alias("region_id"), "start_pos", "end_pos"), "region_id"), ["region_id"])
@@ -179,8 +180,9 @@ def cnv_records(calls: DataFrame, snps: DataFrame, runs: DataFrame, means: DataF
     obs = stored(obs.withColumn("key", F.from_json("region_id", f"region_id {dict(calls.dtypes)['region_id']}, section string")).select("key.*", *(c for c in obs.columns if c != "region_id")))
     best = stored(hmm.viterbi_blocks(obs.where("section = 'sv'"), model))
     states = best.select("region_id", F.explode(F.arrays_zip("t", "states")).alias("x")).select("region_id", F.lit("sv").alias("section"), F.col("x.t").alias("t"), F.col("x.states").alias("state"))
-    seen = obs.withColumn("t", F.col("t").cast("bigint")).join(states, ["region_id", "section", "t"], "left")
-    scored = calls.join(best.where("likelihood IS NOT NULL").select("region_id", "likelihood"), "region_id")
+    # A written table of paths is small in its file and a hundred times that with one row per step: it must not be broadcast.
+    seen = obs.withColumn("t", F.col("t").cast("bigint")).join(states.hint("merge"), ["region_id", "section", "t"], "left")
+    scored = calls.join(best.where("likelihood IS NOT NULL").select("region_id", "likelihood").hint("merge"), "region_id")
     return vcf_out.cnv_json(scored, seen)
 
 
