@@ -5,6 +5,10 @@ Blocks are cut at tile edges, so that every tile is swept on its own: no task ho
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +46,88 @@ def depth_at(points: DataFrame, runs: DataFrame, tile: int = TILE) -> DataFrame:
     r = runs.select(F.col("chrom").alias("__c"), F.expr(f"start_pos div {tile}").alias("__t"), F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"), "depth")
     p = points.withColumn("__pt", F.expr(f"pos div {tile}"))
     on = (p.chrom == r["__c"]) & (p["__pt"] == r["__t"]) & p.pos.between(r["__s"], r["__e"])
-    return p.join(r, on, "left").select(*points.columns, F.coalesce("depth", F.lit(0)).alias("depth"))
+    # Run lengths are small in a file and not in memory: no broadcast.
+    return p.join(r.hint("merge"), on, "left").select(*points.columns, F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def over_tiles(items: DataFrame, runs: DataFrame, make: Callable, schema: str, tile: int = TILE) -> DataFrame:
+    """Batches make(rows, tile number, below) of the items (chrom, tile, ...), where below(p) is the sum of the depths at the tile's positions before each of p.
+
+    Runs and items of a tile follow each other, runs first, so a tile's runs (one per position at
+    most) are held once however many items ask for them, and no pair of item and run is a row."""
+    kinds = dict(items.dtypes)
+    more = [c for c in items.columns if c not in ("chrom", "tile")]
+    lead = runs.selectExpr("chrom", f"start_pos div {tile} AS tile", "0 AS __kind", "start_pos AS __s", "end_pos AS __e", "cast(depth AS bigint) AS __d", *(f"cast(null AS {kinds[c]}) AS `{c}`" for c in more))
+    rest = items.selectExpr("chrom", "tile", "1 AS __kind", *(f"cast(null AS bigint) AS {c}" for c in ("__s", "__e", "__d")), *(f"`{c}`" for c in more))
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lead.unionByName(rest).repartition(n, "chrom", "tile").sortWithinPartitions("chrom", "tile", "__kind", "__s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, below = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chrom, at, kind = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            code = chrom.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])])
+            out = []
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)]):
+                now = (chrom[a].as_py(), int(at[a]))
+                if now != key:
+                    key, held, below = now, [], None
+                if kind[a] == 0:
+                    held.append([batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in (3, 4, 5)])
+                else:
+                    below = below or _depth_below(held)
+                    out.append(make(batch.slice(a, b - a), now[1], below))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _depth_below(held: list) -> Callable[[np.ndarray], np.ndarray]:
+    """The sum of the depths of runs (start, end, depth arrays in order of the start) at all positions before p."""
+    if not held:
+        return np.zeros_like
+    s, e, d = (np.concatenate(x) for x in zip(*held))
+    full = d * (e - s + 1)
+    before = np.cumsum(full) - full
+
+    def below(p: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(s, p) - 1
+        return np.where(i < 0, 0, before[i] + d[i] * (np.minimum(p, e[i] + 1) - s[i]))
+
+    return below
 
 
 def window_log2(regions: DataFrame, runs: DataFrame, means: DataFrame, windows: int = 20, tile: int = TILE) -> DataFrame:
-    """region_id, w, log2 of the window's mean depth over the contig's mean; an empty sum counts as 1e-9."""
-    w = regions.select("region_id", "chrom", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("w"), "start_pos", F.expr(f"(end_pos - start_pos + 1) / {windows}D").alias("step"))
-    w = w.select("region_id", "chrom", "w", F.expr("cast(floor(start_pos + w * step) AS bigint)").alias("start_pos"), F.expr("cast(floor(start_pos + (w + 1) * step) AS bigint) - 1").alias("end_pos")).where("end_pos >= start_pos")
-    cut = w.withColumn("tile", F.explode(F.expr(f"sequence(start_pos div {tile}, end_pos div {tile})")))
-    r = runs.select(F.col("chrom").alias("__c"), F.expr(f"start_pos div {tile}").alias("__t"), F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"), "depth")
-    hit = cut.join(r, (cut.chrom == r["__c"]) & (cut.tile == r["__t"]) & (r["__s"] <= cut.end_pos) & (r["__e"] >= cut.start_pos), "left")
-    total = hit.groupBy("region_id", "chrom", "w", "start_pos", "end_pos").agg(F.sum(F.expr("coalesce(depth * (least(end_pos, __e) - greatest(start_pos, __s) + 1), 0)")).alias("total"))
+    """region_id, w, log2 of the window's mean depth over the contig's mean; an empty sum counts as 1e-9.
+
+    Regions, not windows, are dealt to the tiles, and most windows end where they begin: only those
+    across a tile's edge, and those of repeated ids, are summed up once more."""
+    d = regions.select("region_id", "chrom", "start_pos", "end_pos").withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("region_id", "chrom")) > 1)
+    cut = d.where("start_pos <= end_pos").withColumn("tile", F.explode(F.expr(f"sequence(start_pos div {tile}, end_pos div {tile})")))
+    kinds = dict(regions.dtypes)
+
+    def make(rows: pa.RecordBatch, t: int, below: Callable) -> pa.RecordBatch:
+        start, end, again = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("start_pos", "end_pos", "again"))
+        step = (end - start + 1) / float(windows)
+        edge = np.floor(start[:, None] + np.arange(windows + 1) * step[:, None]).astype(np.int64)
+        a, b = edge[:, :-1], edge[:, 1:] - 1
+        low, high = np.maximum(a, t * tile), np.minimum(b, (t + 1) * tile - 1)
+        at, w = np.nonzero(low <= high)
+        low, high, a, b = low[at, w], high[at, w], a[at, w], b[at, w]
+        parts = (low > a) | (high < b) | again[at].astype(bool)
+        row = pa.array(at)
+        columns = [rows.column("region_id").take(row), rows.column("chrom").take(row), pa.array(w.astype(np.int32)), pa.array(a), pa.array(b), pa.array(below(high + 1) - below(low)), pa.array(parts)]
+        return pa.RecordBatch.from_arrays(columns, names=["region_id", "chrom", "w", "start_pos", "end_pos", "total", "parts"])
+
+    schema = f"region_id {kinds['region_id']}, chrom {kinds['chrom']}, w int, start_pos bigint, end_pos bigint, total bigint, parts boolean"
+    found = over_tiles(cut, runs, make, schema, tile)
+    key = ["region_id", "chrom", "w", "start_pos", "end_pos"]
+    whole = found.where("NOT parts").select(*key, "total")
+    total = whole.unionByName(found.where("parts").groupBy(*key).agg(F.sum("total").alias("total")))
     # One row per contig.
     out = total.join(F.broadcast(means), "chrom")
     return out.select("region_id", "w", F.expr("log2(if(total = 0, 1e-9D, total / (end_pos - start_pos + 1D)) / mean_cov)").alias("log2_cov"))
