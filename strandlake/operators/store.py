@@ -32,6 +32,12 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_for(df: DataFrame, bytes_each: int = 2 << 20) -> int:
+    """Partitions for a shuffle of df that grow with its input (by the planner's estimate of its size), so that one fits a task at any size; at least the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 12))
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Rows (node, root) for every node of the edges (a, b); root is the least node of its component.
 

@@ -102,7 +102,10 @@ def cigar_candidates(spark, sf):
 @query(_OPS + "SELECT chrom, sv_start, sv_end, sv_type, evidence, alt, count(*) AS n FROM c GROUP BY ALL", "fx_seqs")
 def cigar_candidate_counts(spark, sf):
     """Equal candidates with their number, which is the weight that clustering gives them."""
-    return reads.cigar_candidates(*_reads(spark, sf)).groupBy("chrom", "sv_start", "sv_end", "sv_type", "evidence", "alt").agg(F.count(F.lit(1)).alias("n"))
+    aln, contigs = _reads(spark, sf)
+    key = ["chrom", "sv_start", "sv_end", "sv_type", "evidence", "alt"]
+    # Nearly all candidates differ, so they are dealt before they are counted, over partitions that grow with the reads.
+    return reads.cigar_candidates(aln, contigs).select(*key).repartition(store.parts_for(aln), *key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_OPS + "SELECT aln_id, CAST(start_pos + sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) - 1 AS BIGINT) AS end_pos FROM w GROUP BY rid, aln_id, start_pos", "fx_seqs")
