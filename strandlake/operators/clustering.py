@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import reciprocal_pairs
-from .store import components, stored
+from .store import components, parts_for, stored
 
 
 def dbscan_1d(points: DataFrame, by: list[str], x: str, key: str, eps: int = 100, min_points: int = 5, tile: int = 1 << 16) -> DataFrame:
@@ -21,6 +21,7 @@ def dbscan_1d(points: DataFrame, by: list[str], x: str, key: str, eps: int = 100
     d = points.withColumn("__t", F.explode(F.expr(f"array_distinct(array({at(f'{x} - {2 * eps}')}, {at(x)}, {at(f'{x} + {2 * eps}')}))")))
     d = d.withColumn("__own", F.expr(f"__t = {at(x)}"))
     group = [*by, "__t"]
+    d = d.repartition(parts_for(points), *group)
     near = Window.partitionBy(*group).orderBy(x).rangeBetween(-eps, eps)
     ahead, back = Window.partitionBy(*group).orderBy(x, key), Window.partitionBy(*group).orderBy(F.desc(x), F.desc(key))
     inside = f"{x} >= __t * {width} - {eps} AND {x} < (__t + 1) * {width} + {eps}"
