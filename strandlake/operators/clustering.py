@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import reciprocal_pairs
+from . import neighbours
 from .store import components, parts_for, stored
 
 
@@ -54,44 +54,62 @@ def upper_median(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return seen.where("__n div 2 < __upto AND __n div 2 >= __upto - __k").select(*by, "median")
 
 
-def core_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int | str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Core calls (by, key, n) and all neighbour pairs (by, a_id, b_id) under reciprocal overlap.
+def _weighed(calls: DataFrame, min_points: int | str, weight: str | None) -> DataFrame:
+    """calls plus __w and __least, and positions as bigint."""
+    long = {c: F.col(c).cast("bigint") for c in ("start_pos", "end_pos")}
+    return calls.withColumns(long | {"__w": F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"), "__least": F.col(min_points) if isinstance(min_points, str) else F.lit(min_points)})
+
+
+def core_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int | str, weight: str | None = None) -> DataFrame:
+    """Core calls (by, key, n) under reciprocal overlap: those of at least min_points neighbours.
 
     n counts the neighbours, the call itself among them; a call of weight w counts as w equal calls.
     min_points is a number, or a column of calls.  A call without length has no neighbour."""
-    d = calls.withColumn("__w", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"))
-    d = d.withColumn("__least", F.col(min_points) if isinstance(min_points, str) else F.lit(min_points))
-    pairs = reciprocal_pairs(d, key, by, eps, ("__w",))
-    own = d.where("end_pos > start_pos").select(*by, key, F.col("__w").alias("n"), "__least")
-    none = F.lit(None).cast(dict(own.dtypes)["__least"]).alias("__least")
-    sides = [pairs.select(*by, F.col(f"{x}_id").alias(key), F.col(f"{y}___w").alias("n"), none) for x, y in ("ab", "ba")]
-    n = own.unionByName(sides[0]).unionByName(sides[1]).groupBy(*by, key).agg(F.sum("n").alias("n"), F.max("__least").alias("__least"))
-    return n.where("n >= __least").select(*by, key, "n"), pairs.select(*by, "a_id", "b_id")
+    n = neighbours.counts(_weighed(calls, min_points, weight).select(*by, key, "start_pos", "end_pos", "__w", "__least"), key, by, eps)
+    return n.where("n >= __least").select(*by, key, "n")
 
 
-def dbscan_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int | str, weight: str | None = None) -> DataFrame:
-    """by, key and cluster_key of every call (null: noise): the key of the first core call of its cluster in the order (start, end, key).
+def labelled_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int | str, weight: str | None = None) -> DataFrame:
+    """calls plus cluster_key (null: noise), the key of the first core call of each call's cluster in the order (start, end, key).
 
-    Neighbours come from the blocked pair join, clusters are components of core pairs.  A border
-    call goes to the first cluster that reaches it; a later one takes it over if that cluster's
-    first core call is its neighbour (as a scan in that order does).  Keys are unique; `weight` and
+    A border call goes to the first cluster that reaches it; a later one takes it over if that
+    cluster's first core call is its neighbour (as a scan in that order does).  Cells of calls are
+    clustered on their own; what they share are components over the core calls that several of them
+    hold, and only clusters that leave a cell are looked up there.  Keys are unique; `weight` and
     `min_points` are those of `core_intervals`."""
-    core, pairs = core_intervals(calls, key, by, eps, min_points, weight)
-    pairs = stored(pairs.select("a_id", "b_id"))
-    core = stored(core.select(key))
-    ids = lambda c: core.select(F.col(key).alias(c))
-    inner = pairs.join(ids("a_id"), "a_id", "left_semi").join(ids("b_id"), "b_id", "left_semi")
-    root = stored(components(inner.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
-    place = F.struct("start_pos", "end_pos", F.col(key).alias("key"))
-    rooted = calls.join(core, key, "left_semi").select(key, place.alias("place")).join(root.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
-    seeds = rooted.groupBy("root").agg(F.min("place").alias("seed"))
-    labelled = stored(rooted.select(key, "root").join(seeds, "root").select(key, "seed"))
-    both = pairs.select(F.col("a_id").alias("of"), F.col("b_id").alias(key)).unionByName(pairs.select(F.col("b_id").alias("of"), F.col("a_id").alias(key)))
-    reach = both.join(labelled.select(F.col(key).alias("of"), "seed"), "of").join(core, key, "left_anti")
-    taken = F.max(F.when(F.col("seed.key") == F.col("of"), F.col("seed"))).alias("taken")
-    border = reach.groupBy(key).agg(F.min("seed").alias("first"), taken)
-    label = labelled.select(key, F.col("seed.key").alias("cluster_key")).unionByName(border.select(key, F.greatest("first", "taken").getField("key").alias("cluster_key")))
-    return calls.select(*by, key).join(label, key, "left").select(*by, key, "cluster_key")
+    kinds = dict(calls.dtypes)
+    # The carried columns keep their own types; positions that are bigint are there already.
+    kept = {c if c in ("start_pos", "end_pos") and kinds[c] == "bigint" else f"__c{i}": c for i, c in enumerate(calls.columns) if c not in (*by, key)}
+    copies = [k for k, c in kept.items() if k != c]
+    d = _weighed(calls.select("*", *(F.col(kept[k]).alias(k) for k in copies)), min_points, weight)
+    wide = d.select(*by, key, "start_pos", "end_pos", "__w", "__least", *copies)
+    found = stored(neighbours.local_clusters(wide, key, by, eps, list(kept)))
+    place = F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("r_key").alias("key"))
+    links = found.where("kind = 2")
+    root = components(links.select(F.col(key).alias("a"), F.col("r_key").alias("b")))
+    ends = links.groupBy(F.col("r_key").alias("node")).agg(F.min(place).alias("place")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    seeds = ends.groupBy("root").agg(F.min("place").alias("seed"))
+    seeds = stored(ends.select(F.col("node").alias("r_key"), "root").join(seeds, "root").select("r_key", "seed"))
+    own = [*by, key, *kept]
+    final = found.where("kind = 0 AND NOT open").select(*own, F.col("r_key").alias("cluster_key"))
+    cores = found.where("kind = 0 AND open").join(seeds, "r_key").select(*own, F.col("seed.key").alias("cluster_key"))
+    reach = found.where("kind = 1").join(seeds, "r_key", "left").withColumn("seed", F.coalesce("seed", place))
+    taken = F.max(F.when(F.col("adj") & (F.col("seed.key") == F.col("r_key")), F.col("seed"))).alias("taken")
+    border = reach.groupBy(key).agg(F.min("seed").alias("first"), taken, F.first(F.struct(*own)).alias("r"))
+    border = border.select("r.*", F.greatest("first", "taken").getField("key").alias("cluster_key"))
+    # Calls that can have no neighbours are core only by their own weight, and only if they have a length.
+    alone = wide.where(f"NOT coalesce({neighbours.usable(by)}, false)")
+    alone = alone.select(*own, F.when(F.expr("end_pos > start_pos AND __w >= __least"), F.col(key)).alias("cluster_key"))
+    every = final.unionByName(cores).unionByName(border).unionByName(alone)
+    names = {c: k for k, c in kept.items()}
+    return every.select(*(F.col(names.get(c, c)).alias(c) for c in calls.columns), "cluster_key")
+
+
+def dbscan_intervals(calls: DataFrame, key: str, by: list[str], eps: float, min_points: int | str, weight: str | None = None) -> DataFrame:
+    """by, key and cluster_key of every call: see `labelled_intervals`."""
+    more = [c for c in (weight, min_points) if isinstance(c, str)]
+    narrow = calls.select(*by, key, "start_pos", "end_pos", *(c for c in dict.fromkeys(more) if c not in (*by, key, "start_pos", "end_pos")))
+    return labelled_intervals(narrow, key, by, eps, min_points, weight).select(*by, key, "cluster_key")
 
 
 def merge_calls(calls: DataFrame, by: list[str], cluster: str, key: str, noise: str | None = None, weight: str | None = None) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import neighbours
+
 
 def overlap_islands(df: DataFrame, by: list[str], keys: list[str], tile: int = 1 << 16) -> DataFrame:
     """df plus island: rows of one `by` group whose closed intervals chain together share it (the island's start).
@@ -35,25 +35,10 @@ def overlap_pairs(a: DataFrame, b: DataFrame, key: str, bin_size: int) -> DataFr
     return x.join(y, ["chrom", "bin"]).where(f"a_s <= b_e AND a_e >= b_s AND bin = greatest(a_s div {bin_size}, b_s div {bin_size})")
 
 
-def reciprocal_pairs(df: DataFrame, key: str, by: list[str], eps: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs a_id < b_id with 1 - min(overlap / length) <= eps, length end - start, and a_<c>, b_<c> of `keep`.
-
-    Lengths of a pair differ by a factor of at most 1 / (1 - eps) and starts by at most eps times the
-    longer one, so pairs meet in a band of the length's logarithm and a bin of that band's width.
-    Two rows meet in one band and bin only; rows of equal ids are pairs of their own."""
-    r = (1 - eps) * 0.999  # a little loose; the exact predicate follows
-    base = math.log(1 / r)
-    d = df.where("end_pos > start_pos").withColumn("band", F.expr(f"cast(floor(ln(end_pos - start_pos) / {base!r}D) AS int)"))
-    width = lambda band: f"greatest(1D, exp(({band} + 2) * {base!r}D))"
-    side = lambda p: [F.col(key).alias(f"{p}_id"), F.col("start_pos").alias(f"{p}_s"), F.col("end_pos").alias(f"{p}_e"), *(F.col(c).alias(f"{p}_{c}") for c in keep)]
-    left = d.select(*by, *side("a"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("b"))
-    near = f"cast(floor(a_s / {width('b')}) AS bigint)"
-    left = left.select("*", F.explode(F.expr(f"sequence({near} - 1, {near} + 1)")).alias("bin"))
-    right = d.select(*by, *side("b"), F.col("band").alias("b"), F.expr(f"cast(floor(start_pos / {width('band')}) AS bigint)").alias("bin"))
-    hit = left.join(right, [*by, "b", "bin"]).where("a_id < b_id AND a_s <= b_e AND b_s <= a_e")
-    overlap = "(least(a_e, b_e) - greatest(a_s, b_s))"
-    close = f"1D - least({overlap} / cast(a_e - a_s AS double), {overlap} / cast(b_e - b_s AS double)) <= {eps!r}D"
-    return hit.where(close).select(*by, "a_id", "b_id", *(f"{x}_{c}" for c in keep for x in "ab"))
+def reciprocal_pairs(df: DataFrame, key: str, by: list[str], eps: float) -> DataFrame:
+    """Pairs a_id < b_id with 1 - min(overlap / length) <= eps, length end - start: see `neighbours`; rows of equal ids are pairs of their own."""
+    long = {c: F.col(c).cast("bigint") for c in ("start_pos", "end_pos")}
+    return neighbours.pairs(df.withColumns(long), key, by, eps)
 
 
 def gap_flag(calls: DataFrame, gaps: DataFrame, key: list[str], share: float = 0.2) -> DataFrame:

@@ -61,8 +61,8 @@ def _as_calls(d: DataFrame) -> DataFrame:
 def merge_pass(calls: DataFrame, eps: float, min_points: int | str, noise: str, weight: str | None = None) -> DataFrame:
     """One merging of calls by reciprocal overlap within contig and type."""
     by = ["chrom", "sv_type"]
-    label = clustering.dbscan_intervals(calls, "call_id", by, eps, min_points, weight).select("call_id", "cluster_key")
-    return clustering.merge_calls(calls.join(label, "call_id"), by, "cluster_key", "call_id", noise, weight).select(*_CALL)
+    labelled = clustering.labelled_intervals(calls, "call_id", by, eps, min_points, weight)
+    return clustering.merge_calls(labelled, by, "cluster_key", "call_id", noise, weight).select(*_CALL)
 
 
 def read_depth(alignments: DataFrame) -> DataFrame:

@@ -224,8 +224,7 @@ def reciprocal_overlap_pairs(spark, sf):
 @query(f"SELECT a.chrom, a.sv_type, a.call_id, count(*) AS n FROM fx_calls a JOIN fx_calls b ON a.chrom = b.chrom AND a.sv_type = b.sv_type AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos AND {_PAIR} GROUP BY ALL HAVING count(*) >= 3", "fx_calls")
 def dbscan2d_core_calls(spark, sf):
     # An id may stand for several calls; neighbours are counted by row and summed by id.
-    calls = table(spark, sf, "fx_calls").withColumn("row", F.monotonically_increasing_id())
-    n = clustering.core_intervals(calls, "row", ["chrom", "sv_type"], 0.1, 1)[0].join(calls.select("row", "call_id"), "row")
+    n = clustering.core_intervals(table(spark, sf, "fx_calls"), "call_id", ["chrom", "sv_type"], 0.1, 1)
     return n.groupBy("chrom", "sv_type", "call_id").agg(F.sum("n").alias("n")).where("n >= 3")
 
 
