@@ -33,8 +33,12 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def parts_for(df: DataFrame, bytes_each: int = 2 << 20) -> int:
-    """Partitions for a shuffle of df that grow with its input (by the planner's estimate of its size), so that one fits a task at any size; at least the session's number."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Partitions for a shuffle of df that grow with its input (the tables it reads; local rows count as none), so that one fits a task at any size; at least the session's number.
+
+    The planner's estimate of a join is the product of its sides, so tables are summed up instead."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 50)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 12))
 
 
