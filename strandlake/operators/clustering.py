@@ -122,27 +122,31 @@ def merge_calls(calls: DataFrame, by: list[str], cluster: str, key: str, noise:
     d = calls.withColumn("__len", F.col("end_pos") - F.col("start_pos")).withColumn("__w", F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint"))
     group = [*by, "__c"]
     d = d.withColumn("__c", F.struct(F.col(cluster).alias("c")))
-    size = d.groupBy(*group).agg(F.sum("__w").alias("__n"), F.max((F.col("hmm_lh") != 0).cast("int")).alias("__any"))
-    d = _same(d, size, group)
+    # Counts per length carry all that is asked of a cluster, so calls themselves are dealt once.
+    lengths = d.groupBy(*group, "__len").agg(F.sum("__w").alias("__k"), F.max((F.col("hmm_lh") != 0).cast("int")).alias("__any"))
     alone = None
     if noise:
-        total = _same(d, d.groupBy(*by).agg(F.sum("__w").alias("__all")), by)
-        alone = total.where("__all = 1" + (" OR (__c.c IS NULL AND __n > 1)" if noise == "keep" else ""))
+        # One row per contig and type.
+        total = F.broadcast(lengths.groupBy(*by).agg(F.sum("__k").alias("__all"), F.sum(F.expr("if(__c.c IS NULL, __k, 0)")).alias("__noise")))
+        alone = _same(d, total, by).where("__all = 1" + (" OR (__c.c IS NULL AND __noise > 1)" if noise == "keep" else ""))
         if weight:
             alone = alone.withColumn("__i", F.explode(F.expr("sequence(1L, __w)")))
-        d = total.where("__all > 1" if noise == "merge" else "__all > 1 AND __c.c IS NOT NULL")
-    d = d.where("__n > 1")
+        used = "__all > 1" if noise == "merge" else "__all > 1 AND __c.c IS NOT NULL"
+        lengths = _same(lengths, total, by).where(used).drop("__all", "__noise")
+        d = d.where("__c.c IS NOT NULL") if noise == "keep" else d
     rank = "(greatest(1, cast(floor(__n * 0.2D) AS bigint)) div 2) + 1"
+    every = Window.partitionBy(*group)
+    above = F.coalesce(F.sum("__k").over(every.orderBy(F.desc("__len")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(every.orderBy(F.desc("__len")))
+    lengths = lengths.withColumns({"__n": F.sum("__k").over(every), "__some": F.max("__any").over(every), "__above": above, "__place": place}).where("__n > 1")
     # By likelihood: a maximum, combined before the shuffle.
     row = F.struct(*calls.columns)
-    best = d.where("__any = 1 AND hmm_lh <> 0").groupBy(*group).agg(F.max_by(row, F.struct("cluster_size", "__len", F.expr(f"-`{key}`"))).alias("r")).select("r.*")
+    best = d.where("hmm_lh <> 0").groupBy(*group).agg(F.max_by(row, F.struct("cluster_size", "__len", F.expr(f"-`{key}`"))).alias("r"))
+    best = _same(best, lengths.where("__some = 1 AND __place = 1").select(*group), group).select("r.*")
     # By length: counts per length find the length of that rank; only calls of that length are ranked.
-    plain = d.where("__any = 0")
-    lengths = plain.groupBy(*group, "__len").agg(F.sum("__w").alias("__k"), F.first("__n").alias("__n"))
-    above = F.coalesce(F.sum("__k").over(Window.partitionBy(*group).orderBy(F.desc("__len")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = lengths.withColumn("__left", F.expr(rank) - above).where("__left BETWEEN 1 AND __k").select(*group, "__len", "__left")
+    at = lengths.where("__some = 0").withColumn("__left", F.expr(f"{rank} - __above")).where("__left BETWEEN 1 AND __k").select(*group, "__len", "__left", "__n")
     upto = F.sum("__w").over(Window.partitionBy(*group).orderBy("start_pos", key).rowsBetween(Window.unboundedPreceding, 0))
-    ties = _same(plain, at, [*group, "__len"]).withColumn("__upto", upto).where("__left BETWEEN __upto - __w + 1 AND __upto")
+    ties = _same(d, at, [*group, "__len"]).withColumn("__upto", upto).where("__left BETWEEN __upto - __w + 1 AND __upto")
     out = best.withColumn("cluster_size", F.col("cluster_size").cast("bigint")).unionByName(ties.withColumn("cluster_size", F.col("__n")).select(*calls.columns))
     return out.unionByName(alone.withColumn("cluster_size", F.col("cluster_size").cast("bigint")).select(*calls.columns)) if alone is not None else out
 

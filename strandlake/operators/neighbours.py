@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .store import parts_for
 
 #: A cell holds lengths of one power of STEP, and starts of WIDE times the longest of them.
-STEP, WIDE = 8, 64
+STEP, WIDE = 32, 16
 #: Pairs that are looked at in one go.
 CHUNK = 1 << 20
 

@@ -40,8 +40,8 @@ class CallerParams:
 _CALL = ("call_id", "chrom", "start_pos", "end_pos", "sv_type", "alt", "evidence", "cluster_size", "hmm_lh", "genotype", "cn_state", "aln_offset")
 
 
-def _as_calls(d: DataFrame) -> DataFrame:
-    """The columns of a call; what a source lacks is unknown."""
+def _as_calls(d: DataFrame, *kept: str) -> DataFrame:
+    """The columns of a call, and those kept; what a source lacks is unknown."""
     more = {
         "hmm_lh": F.lit(0.0),
         "genotype": F.lit("./."),
@@ -55,13 +55,15 @@ def _as_calls(d: DataFrame) -> DataFrame:
             d = d.withColumn(c, e)
     if "call_id" not in d.columns:
         d = d.withColumn("call_id", F.xxhash64("chrom", "start_pos", "end_pos", "sv_type", "evidence", "alt"))
-    return d.select(*_CALL).withColumn("cluster_size", F.col("cluster_size").cast("bigint"))
+    return d.select(*_CALL, *kept).withColumn("cluster_size", F.col("cluster_size").cast("bigint"))
 
 
 def merge_pass(calls: DataFrame, eps: float, min_points: int | str, noise: str, weight: str | None = None) -> DataFrame:
     """One merging of calls by reciprocal overlap within contig and type."""
     by = ["chrom", "sv_type"]
-    labelled = clustering.labelled_intervals(calls, "call_id", by, eps, min_points, weight)
+    labelled = stored(clustering.labelled_intervals(calls, "call_id", by, eps, min_points, weight))
+    if weight:
+        labelled = _as_calls(labelled, weight, "cluster_key")
     return clustering.merge_calls(labelled, by, "cluster_key", "call_id", noise, weight).select(*_CALL)
 
 
@@ -79,8 +81,8 @@ def cigar_calls(alignments: DataFrame, params: CallerParams = CallerParams(), me
     a cluster follow each contig's mean coverage (means: chrom, mean_cov), as a column of the calls."""
     found = reads.cigar_candidates(alignments, contigs).withColumnsRenamed({"sv_start": "start_pos", "sv_end": "end_pos"})
     calls = filters.valid_spans(found).groupBy("chrom", "start_pos", "end_pos", "sv_type", "evidence", "alt").agg(F.count(F.lit(1)).alias("reads"))
-    calls = _as_calls(calls).join(calls.select(F.xxhash64("chrom", "start_pos", "end_pos", "sv_type", "evidence", "alt").alias("call_id"), "reads"), "call_id")
-    calls = stored(calls)
+    # What is alike in all of them is added when they are labelled.
+    calls = stored(_as_calls(calls, "reads").select("call_id", "chrom", "start_pos", "end_pos", "sv_type", "alt", "evidence", "reads"))
     if params.min_points or params.min_points_pct <= 0:
         return merge_pass(calls, params.eps, params.points_for(0.0), "merge", "reads")
     means = coverage.mean_coverage(read_depth(alignments)) if means is None else means
