@@ -170,7 +170,7 @@ def normalised_score(df: DataFrame, by: list[str], key: str, weight: float = 0.5
 
     Ranges and best rows are aggregates, combined before the shuffle, so a group is never one window."""
     span = df.groupBy(*by).agg(*(f(c).alias(f"__{n}_{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))))
-    d = _same(df, span, by)
+    d = _same(df, F.broadcast(span), by)  # one row per group
     scale = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}")), F.lit(0.0))
     d = d.withColumn("score", weight * scale("a") + (1 - weight) * scale("b")).select(*df.columns, "score")
     # The smallest of (-score, key).
