@@ -64,7 +64,8 @@ def cigar_candidates(alignments: DataFrame, contigs: DataFrame | None = None) ->
     if contigs is None:
         return out
     inside = F.expr("evidence <> 4 OR __len IS NULL OR sv_start <= __len")
-    return out.join(contigs.select("chrom", F.col("length").alias("__len")), "chrom", "left").where(inside).select(out.columns)
+    # One row per contig.
+    return out.join(F.broadcast(contigs.select("chrom", F.col("length").alias("__len"))), "chrom", "left").where(inside).select(out.columns)
 
 
 def _operations(cigars: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

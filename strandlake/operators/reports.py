@@ -33,7 +33,7 @@ def flanks(regions: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
     """Regions with the halves before and after them: region_id, section, start_pos, end_pos, never below 1 nor, where contigs (chrom, length) are given, beyond the contig's end."""
     half = "cast((end_pos - start_pos) div 2 AS bigint)"
     if contigs is not None:
-        regions = regions.join(contigs.select("chrom", F.col("length").alias("__len")), "chrom", "left")
+        regions = regions.join(F.broadcast(contigs.select("chrom", F.col("length").alias("__len"))), "chrom", "left")  # one row per contig
     cap = lambda e: f"least(coalesce(__len, {e}), {e})" if contigs is not None else e
     parts = (
         f"array(named_struct('section', 'before', 's', greatest(1L, start_pos - {half}), 'e', greatest(1L, start_pos - 1)), "
