@@ -46,12 +46,20 @@ def largest_cluster(labels: DataFrame, by: list[str]) -> DataFrame:
     return n.groupBy(*by).agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"), F.max("n").alias("n"))
 
 
-def upper_median(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Element size div 2 of the sorted values, per group: counts per value are summed up, so equal values are one row."""
-    counts = df.groupBy(*by, F.col(x).alias("median")).agg(F.count(F.lit(1)).alias("__k"))
-    w = Window.partitionBy(*by)
-    seen = counts.withColumn("__n", F.sum("__k").over(w)).withColumn("__upto", F.sum("__k").over(w.orderBy("median").rowsBetween(Window.unboundedPreceding, 0)))
-    return seen.where("__n div 2 < __upto AND __n div 2 >= __upto - __k").select(*by, "median")
+def upper_median(df: DataFrame, by: list[str], x: str, tile: int = 1 << 16, parts: int | None = None) -> DataFrame:
+    """Element size div 2 of the sorted values (whole numbers), per group: counts per value are summed up, so equal values are one row.
+
+    Counts per tile of values find the tile of the middle, and only that tile's values are sorted: no task sorts a group.
+    Where `parts` is given, tiles are dealt over so many partitions (see `store.parts_for`)."""
+    d = df.select(*by, F.col(x).alias("median"), F.expr(f"`{x}` div {tile}").alias("__t"))
+    d = d.repartition(parts, *by, "__t") if parts else d
+    counts = d.groupBy(*by, "median", "__t").agg(F.count(F.lit(1)).alias("__k"))
+    upto = lambda d, group, order: d.withColumn("__upto", F.sum("__k").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    tiles = counts.groupBy(*by, "__t").agg(F.sum("__k").alias("__k")).withColumn("__n", F.sum("__k").over(Window.partitionBy(*by)))
+    # Of the middle's tile, the place of the middle in it.
+    middle = upto(tiles, by, "__t").where("__n div 2 < __upto AND __n div 2 >= __upto - __k").select(*by, "__t", F.expr("__n div 2 - (__upto - __k)").alias("__place"))
+    seen = upto(_same(counts, middle, [*by, "__t"]), by, "median")
+    return seen.where("__place < __upto AND __place >= __upto - __k").select(*by, "median")
 
 
 def _weighed(calls: DataFrame, min_points: int | str, weight: str | None) -> DataFrame:

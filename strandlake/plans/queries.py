@@ -269,7 +269,8 @@ def dedupe_calls(spark, sf):
 
 @query("SELECT chrom, sv_type, list_sort(list(start_pos))[count(*) // 2 + 1] AS median FROM fx_calls GROUP BY chrom, sv_type", "fx_calls")
 def upper_median(spark, sf):
-    return clustering.upper_median(table(spark, sf, "fx_calls"), ["chrom", "sv_type"], "start_pos")
+    calls = table(spark, sf, "fx_calls")
+    return clustering.upper_median(calls, ["chrom", "sv_type"], "start_pos", parts=store.parts_for(calls))
 
 
 @query(
