@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neighbours
+from .store import parts_for
 
 
 def overlap_islands(df: DataFrame, by: list[str], keys: list[str], tile: int = 1 << 16) -> DataFrame:
@@ -35,6 +36,42 @@ def overlap_pairs(a: DataFrame, b: DataFrame, key: str, bin_size: int) -> DataFr
     return x.join(y, ["chrom", "bin"]).where(f"a_s <= b_e AND a_e >= b_s AND bin = greatest(a_s div {bin_size}, b_s div {bin_size})")
 
 
+def overlap_counts(a: DataFrame, key: str, b: DataFrame | None = None, tile: int = 1 << 16) -> DataFrame:
+    """key and n, the rows of b (without b: of a) whose closed intervals overlap those of the key's rows on their contig; 0 where none do, or contig or ends are null.
+
+    An interval overlaps all that start by its end, less those that end before its start, so no pair
+    is a row.  Starts and ends are counted in tiles of positions, and one row per tile carries the counts
+    to the tiles after it."""
+    good, odd = "chrom IS NOT NULL AND start_pos <= end_pos", "chrom IS NOT NULL AND start_pos > end_pos"
+    keyed = a.select(F.col(key).alias("a_id"), "chrom", *(F.col(c).cast("bigint").alias(c) for c in ("start_pos", "end_pos")))
+    own = int(b is None)
+    # A place: starts (s) and ends (e) of b there, and the call that asks, from its start (q -1) or end (1).
+    place = lambda p, s, e, q: f"named_struct('p', {p}, 's', {s}L, 'e', {e}L, 'q', {q})"
+    asked = F.expr(f"array({place('start_pos', own, 0, -1)}, {place('end_pos', 0, own, 1)})")
+    d = keyed.where(good).select("a_id", "chrom", F.explode(asked).alias("x")).select("a_id", "chrom", "x.*")
+    if b is not None:
+        ends = F.expr(f"array({place('cast(start_pos AS bigint)', 1, 0, 0)}, {place('cast(end_pos AS bigint)', 0, 1, 0)})")
+        given = b.where(good).select("chrom", F.explode(ends).alias("x")).select("chrom", "x.*").groupBy("chrom", "p").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+        d = d.unionByName(given.withColumn("q", F.lit(0)), allowMissingColumns=True)
+    d = d.withColumn("t", F.expr(f"cast(floor(p / {float(tile)!r}D) AS bigint)"))
+    n = parts_for(d)
+    before = Window.partitionBy("chrom").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("chrom", "t").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    base = sums.select("chrom", "t", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in "se"))
+    w = Window.partitionBy("chrom", "t").orderBy("p")
+    started, ended = F.sum("s").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.sum("e").over(w.rangeBetween(Window.unboundedPreceding, -1))
+    seen = d.repartition(n, "chrom", "t").withColumn("__started", started).withColumn("__ended", F.coalesce(ended, F.lit(0))).where("q <> 0")
+    found = seen.join(base, ["chrom", "t"]).select("a_id", F.expr("if(q = 1, __s + __started, -(__e + __ended))").alias("n"))
+    found = found.unionByName(keyed.where(f"NOT coalesce({good}, false)").select("a_id", F.lit(0).cast("bigint").alias("n")))
+    # Reversed intervals, which no count of ends tells, are looked at pair by pair.
+    other = a if b is None else b
+    named = other.select("chrom", "start_pos", "end_pos", F.lit(None).cast(dict(keyed.dtypes)["a_id"]).alias("a_id"))
+    for x, y in ((keyed.where(odd), named), (keyed.where(good), named.where(odd))):
+        if not (x if y is named else y).isEmpty():
+            found = found.unionByName(overlap_pairs(x, y, "a_id", 256).select("a_id", F.lit(1).cast("bigint").alias("n")))
+    return found.repartition(n, "a_id").groupBy(F.col("a_id").alias(key)).agg(F.sum("n").alias("n"))
+
+
 def reciprocal_pairs(df: DataFrame, key: str, by: list[str], eps: float) -> DataFrame:
     """Pairs a_id < b_id with 1 - min(overlap / length) <= eps, length end - start: see `neighbours`; rows of equal ids are pairs of their own."""
     long = {c: F.col(c).cast("bigint") for c in ("start_pos", "end_pos")}

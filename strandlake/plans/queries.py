@@ -160,8 +160,7 @@ def overlap_islands(spark, sf):
 
 @query("SELECT c.call_id AS a_id, count(*) AS n FROM fx_calls c JOIN fx_calls d ON c.chrom = d.chrom AND c.start_pos <= d.end_pos AND c.end_pos >= d.start_pos GROUP BY c.call_id", "fx_calls")
 def overlap_self_join(spark, sf):
-    d = table(spark, sf, "fx_calls")
-    return intervals.overlap_pairs(d, d, "call_id", 256).groupBy("a_id").agg(F.count(F.lit(1)).alias("n"))
+    return intervals.overlap_counts(table(spark, sf, "fx_calls"), "call_id").where("n > 0").withColumnRenamed("call_id", "a_id")
 
 
 @query("SELECT call_id, EXISTS (SELECT 1 FROM fx_gaps g WHERE g.chrom = c.chrom AND (least(c.end_pos, g.end_pos + 1) - greatest(c.start_pos, g.start_pos + 1) + 1) / (c.end_pos - c.start_pos + 1)::DOUBLE > 0.2) AS gap FROM fx_calls c", "fx_calls", "fx_gaps")
@@ -184,10 +183,8 @@ def pfb_first_match(spark, sf):
 
 @query("SELECT call_id, count(pos) AS n_snps FROM fx_calls c LEFT JOIN fx_snps s ON s.chrom = c.chrom AND pos BETWEEN start_pos AND end_pos GROUP BY call_id", "fx_calls", "fx_snps")
 def window_snp_range_join(spark, sf):
-    calls = table(spark, sf, "fx_calls")
-    snps = table(spark, sf, "fx_snps").select("chrom", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"), F.monotonically_increasing_id().alias("snp"))
-    hit = intervals.overlap_pairs(calls, snps.withColumnRenamed("snp", "call_id"), "call_id", 1024).groupBy(F.col("a_id").alias("call_id")).agg(F.count(F.lit(1)).alias("n"))
-    return calls.select("call_id").distinct().join(hit, "call_id", "left").select("call_id", F.coalesce("n", F.lit(0)).alias("n_snps"))
+    snps = table(spark, sf, "fx_snps").select("chrom", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"))
+    return intervals.overlap_counts(table(spark, sf, "fx_calls"), "call_id", snps).withColumnRenamed("n", "n_snps")
 
 
 _OBSERVED = _BASES + """, m AS (SELECT chrom, sum(depth * (end_pos - start_pos + 1)) / sum(end_pos - start_pos + 1)::DOUBLE AS mean_cov FROM runs WHERE depth > 0 GROUP BY chrom),
