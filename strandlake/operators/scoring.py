@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import labelled_union, require_no_nulls
+from .store import stored
 
 FEATURES = ("chrom_code", "start", "sv_length", "type_code", "read_support", "clipped_bases")
 # Codes of the types.
@@ -17,7 +18,7 @@ TYPE_CODE = {"DEL": 0, "DUP": 1, "INV": 2, "INS": 3, "BND": 4}
 
 
 def contig_codes(*call_sets: DataFrame) -> DataFrame:
-    """chrom, chrom_code: contigs numbered by their first appearance over all call sets, one after the other (each has chrom and ordinal)."""
+    """chrom, chrom_code: contigs numbered by their first appearance over all call sets, one after the other (each has chrom and ordinal, which is anything with an order)."""
     first = [d.groupBy("chrom").agg(F.min(F.struct(F.lit(i).alias("s"), "ordinal")).alias("f")) for i, d in enumerate(call_sets)]
     every = first[0]
     for d in first[1:]:
@@ -31,8 +32,9 @@ def call_features(calls: DataFrame, codes: DataFrame, strict: bool = True) -> Da
     """calls (chrom, pos, info, ordinal, ...) plus the six features; a repeat of type DUP counts as a duplication.
 
     CLIPSUP is 0 where absent.  Where `strict` is set, a job over rows that lack a feature fails and names it."""
-    number = lambda k: F.expr(f"try_cast(nullif(regexp_extract(info, '(^|;){k}=(-?[0-9]+)', 2), '') AS int)")
-    kind = F.expr("if(info LIKE '%REPTYPE=DUP%', 'DUP', nullif(regexp_extract(info, '(^|;)SVTYPE=([A-Za-z0-9_]+)', 2), ''))")
+    # Patterns begin with a fixed string, which is searched faster than a choice at every place.
+    number = lambda k: F.expr(f"try_cast(nullif(regexp_extract(concat(';', info), ';{k}=(-?[0-9]+)', 1), '') AS int)")
+    kind = F.expr("if(info LIKE '%REPTYPE=DUP%', 'DUP', nullif(regexp_extract(concat(';', info), ';SVTYPE=([A-Za-z0-9_]+)', 1), ''))")
     code = "CASE __kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_CODE.items()) + " END"
     d = calls.join(F.broadcast(codes), "chrom", "left").withColumn("__kind", kind)  # one row per contig
     d = d.withColumns({"start": F.col("pos"), "sv_length": number("SVLEN"), "type_code": F.expr(code), "read_support": number("SUPPORT"), "clipped_bases": F.coalesce(number("CLIPSUP"), F.lit(0))}).drop("__kind")
@@ -41,15 +43,26 @@ def call_features(calls: DataFrame, codes: DataFrame, strict: bool = True) -> Da
     return require_no_nulls(d.select(*FEATURES, *(c for c in d.columns if c not in FEATURES)), FEATURES)
 
 
-def train(true: DataFrame, false: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    """The fitted model of two call sets (chrom, pos, info, ordinal), and the code table that scoring needs: one for both sets.
+def labelled_features(true: DataFrame, false: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features of two call sets (chrom, pos, info, ordinal, ...) with their label and other columns but info and ordinal, and the code table: one for both sets.
 
-    L2 with unit strength, features as they are."""
+    They are written once, as INFO is dear to read and a fit and its scores take several passes."""
     codes = contig_codes(true, false)
     rows = labelled_union({1: call_features(true, codes), 0: call_features(false, codes)})
+    return stored(rows.drop("info", "ordinal")), codes
+
+
+def fit(rows: DataFrame) -> PipelineModel:
+    """The model of labelled features: L2 with unit strength, features as they are."""
     n = rows.count()
     model = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), model]).fit(rows), codes
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), model]).fit(rows.select(*FEATURES, "label"))
+
+
+def train(true: DataFrame, false: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    """The fitted model of two call sets (chrom, pos, info, ordinal), and the code table that scoring needs."""
+    rows, codes = labelled_features(true, false)
+    return fit(rows), codes
 
 
 def save(model: PipelineModel, codes: DataFrame, path: str) -> None:
@@ -66,5 +79,9 @@ def score(calls: DataFrame, model: PipelineModel, codes: DataFrame) -> DataFrame
     """calls plus score, the probability of being true; contigs that training did not see get the number after the last."""
     unseen = codes.agg(F.coalesce(F.max("chrom_code") + 1, F.lit(0)).alias("n")).first().n
     d = call_features(calls, codes, strict=False).withColumn("chrom_code", F.coalesce("chrom_code", F.lit(unseen)))
-    done = model.transform(require_no_nulls(d, FEATURES))
-    return done.withColumn("score", vector_to_array("probability")[1]).select(*calls.columns, "score")
+    return score_features(require_no_nulls(d, FEATURES), model).select(*calls.columns, "score")
+
+
+def score_features(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """rows with the six features plus score, the probability of being true."""
+    return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")

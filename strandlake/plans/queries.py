@@ -572,17 +572,16 @@ def call_features(spark, sf):
 
 
 def _call_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Calls of many and of few reads, numbered in one order."""
-    d = store.numbered(table(spark, sf, "fx_info"), ["call_id", "info"]).withColumn("info", F.expr("concat(info, if(cluster_size % 7 = 0, ';REPTYPE=DUP', ''))")).withColumnRenamed("start_pos", "pos")
+    """Calls of many and of few reads; their place is in one order of id and INFO, without a number."""
+    d = table(spark, sf, "fx_info").withColumn("ordinal", F.struct("call_id", "info")).withColumn("info", F.expr("concat(info, if(cluster_size % 7 = 0, ';REPTYPE=DUP', ''))")).withColumnRenamed("start_pos", "pos")
     return d.where("cluster_size > 25"), d.where("cluster_size <= 25")
 
 
 @query()
 def lr_train_score(spark, sf):
     """A model trained on the two call sets, and the probability of every call."""
-    true, false = _call_sets(spark, sf)
-    model, codes_of = scoring.train(true, false)
-    return filters.labelled_union({1: true, 0: false}).transform(lambda d: scoring.score(d, model, codes_of)).select("call_id", "label", "score")
+    rows, _ = scoring.labelled_features(*_call_sets(spark, sf))
+    return scoring.score_features(rows, scoring.fit(rows)).select("call_id", "label", "score")
 
 
 @query()
