@@ -78,21 +78,24 @@ def reciprocal_pairs(df: DataFrame, key: str, by: list[str], eps: float) -> Data
     return neighbours.pairs(df.withColumns(long), key, by, eps)
 
 
-def gap_flag(calls: DataFrame, gaps: DataFrame, key: list[str], share: float = 0.2) -> DataFrame:
+def gap_flag(calls: DataFrame, gaps: DataFrame, key: list[str] | None = None, share: float = 0.2) -> DataFrame:
     """calls plus gap: whether one assembly gap, both ends moved up by one, covers more than `share` of the call.
 
-    Calls go by bands of their length, with bins as wide as the band's longest call, so a call touches
-    two at most.  A gap is cut into the bins of those bands only of which it is long enough to cover
-    the share."""
-    spans = calls.select(*key, "chrom", "start_pos", "end_pos").withColumn("band", F.expr("cast(floor(log2(greatest(end_pos - start_pos + 1, 1))) AS int)"))
+    Calls go by bands of their length and, in bins as wide as the band's longest call, to the one of their
+    start: it ends in that bin or the next.  A gap is cut into the bins of those bands only of which it is
+    long enough to cover the share, and into the one before.  A bin's gaps are one row (twenty or so, as
+    gaps do not overlap), so calls are dealt once and need no key; `key` is not looked at."""
+    start, end = "start_pos", "greatest(end_pos, start_pos)"
+    spans = calls.withColumn("__band", F.expr(f"cast(floor(log2({end} - {start} + 1)) AS int)"))
     # Width of a band's bins: the greatest length in it.
-    cell = lambda x: f"cast(floor(({x}) / shiftleft(2L, band)) AS bigint)"
-    c = spans.withColumn("bin", F.explode(F.expr(f"sequence({cell('start_pos')}, {cell('greatest(end_pos, start_pos)')})")))
+    cell = lambda x: f"cast(floor(({x}) / shiftleft(2L, __band)) AS bigint)"
+    spans = spans.withColumn("__bin", F.expr(cell(start)))
     g = gaps.selectExpr("chrom", "start_pos + 1 AS g_s", "end_pos + 1 AS g_e").where("g_e >= g_s")
-    bands = spans.select("chrom", "band").distinct()  # some thirty rows a contig
-    g = g.join(bands, "chrom").where(f"g_e - g_s + 1 > {share!r}D * shiftleft(1L, band)")
-    g = g.withColumn("bin", F.explode(F.expr(f"sequence({cell('g_s')}, {cell('g_e')})")))
-    over = "(least(end_pos, g_e) - greatest(start_pos, g_s) + 1)"
-    hit = c.join(g, ["chrom", "band", "bin"]).where(f"{over} / cast(end_pos - start_pos + 1 AS double) > {share!r}D")
-    hit = hit.select(*key).distinct().withColumn("__g", F.lit(True))
-    return calls.join(hit, key, "left").withColumn("gap", F.coalesce("__g", F.lit(False))).drop("__g")
+    # Some thirty numbers at most.
+    bands = [r[0] for r in spans.select("__band").distinct().where("__band IS NOT NULL").collect()]
+    g = g.withColumn("__band", F.explode(F.lit(bands).cast("array<int>"))).where(f"g_e - g_s + 1 > {share!r}D * shiftleft(1L, __band)")
+    g = g.withColumn("__bin", F.explode(F.expr(f"sequence({cell('g_s')} - 1, {cell('g_e')})")))
+    g = g.groupBy("chrom", "__band", "__bin").agg(F.collect_set(F.struct("g_s", "g_e")).alias("__gaps"))
+    over = f"(least(end_pos, g.g_e) - greatest(start_pos, g.g_s) + 1) / cast(end_pos - start_pos + 1 AS double) > {share!r}D"
+    d = spans.join(g, ["chrom", "__band", "__bin"], "left")
+    return d.select(*calls.columns, F.expr(f"coalesce(exists(__gaps, g -> {over}), false)").alias("gap"))

@@ -383,11 +383,12 @@ SELECT chrom AS "CHROM", pos AS "POS", CASE WHEN bases = '' THEN 'N' ELSE regexp
 )
 def vcf_format_rows(spark, sf):
     """Records of all calls: depth and bases at the record's position, over the tiled reference."""
-    d = table(spark, sf, "fx_calls").withColumns({"alt": F.expr("concat('<', sv_type, '>')"), "evidence": F.col("cluster_size"), "aln_offset": F.col("cn_state") - 3, "genotype": codes.lookup("cn_state", codes.STATE_GENOTYPE)})
-    runs = _runs(spark, sf)
-    d = coverage.depth_at(vcf_out.output_span(d), runs).withColumnRenamed("depth", "support")
-    d = intervals.gap_flag(d, table(spark, sf, "fx_gaps"), ["call_id", "start_pos", "end_pos"])
-    return vcf_out.format_rows(text.substring_at(reference(spark), d, ["chrom", "ref_start", "ref_end"], "ref_start", "ref_end"))
+    # Calls are dealt without what is told from their other columns.
+    d = vcf_out.output_span(intervals.gap_flag(table(spark, sf, "fx_calls").drop("call_id"), table(spark, sf, "fx_gaps")))
+    d = text.substring_at(reference(spark), d.drop("pos"), ["chrom", "ref_start", "ref_end"], "ref_start", "ref_end")
+    d = coverage.depth_at(vcf_out.output_span(d).drop("ref_start", "ref_end"), _runs(spark, sf)).withColumnRenamed("depth", "support")
+    more = {"alt": F.expr("concat('<', sv_type, '>')"), "evidence": F.col("cluster_size"), "aln_offset": F.col("cn_state") - 3, "genotype": codes.lookup("cn_state", codes.STATE_GENOTYPE)}
+    return vcf_out.format_rows(d.withColumns(more))
 
 
 @query("SELECT call_id, concat_ws(',', " + ", ".join(f"CASE WHEN cluster_size & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(codes.EVIDENCE)) + ") AS evidence FROM fx_calls", "fx_calls")

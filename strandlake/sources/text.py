@@ -105,14 +105,33 @@ def contig_lengths(tiles: DataFrame) -> DataFrame:
 
 
 def substring_at(tiles: DataFrame, ranges: DataFrame, key: list[str], start: str = "start_pos", end: str = "end_pos", tile: int = BASES) -> DataFrame:
-    """ranges (chrom, start, end; 1-based, closed; key unique) plus ref_seq; empty for null or reversed ranges and beyond the contig's ends."""
-    good = ranges.where(f"{start} >= 1 AND {end} >= {start}").select(*key, "chrom", F.col(start).cast("bigint").alias("__s"), F.col(end).cast("bigint").alias("__e")).distinct()
-    cut = good.withColumn("tile", F.explode(F.expr(f"sequence((__s - 1) div {tile}, (__e - 1) div {tile})")))
-    first = f"(tile * {tile} + 1)"
-    part = F.expr(f"substring(bases, cast(greatest(__s, {first}) - {first} + 1 AS int), cast(least(__e, {first} + {tile} - 1) - greatest(__s, {first}) + 1 AS int))")
-    hit = cut.join(tiles, ["chrom", "tile"]).where("__e <= length").select(*key, "tile", part.alias("b"))
-    seq = hit.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "b"))), lambda x: x["b"]), "").alias("ref_seq"))
-    return ranges.join(seq, key, "left").withColumn("ref_seq", F.coalesce("ref_seq", F.lit("")))
+    """ranges (chrom, start, end; 1-based, closed; key unique) plus ref_seq; empty for null or reversed ranges and beyond the contig's ends.
+
+    A range of up to a tile lies in two tiles at most and finds both in one row, so it is dealt once;
+    longer ones, if there are any, are put together from their tiles by key."""
+    long = f"coalesce({start} >= 1 AND {end} - {start} >= {tile}, false)"
+    at = "struct(tile AS t, bases AS b0, cast(null AS string) AS b1), struct(tile - 1 AS t, cast(null AS string) AS b0, bases AS b1)"
+    two = tiles.select("chrom", "length", F.explode(F.expr(f"array({at})")).alias("x")).groupBy(F.col("chrom").alias("__c"), F.col("x.t").alias("__t"))
+    two = two.agg(F.max("x.b0").alias("__b0"), F.max("x.b1").alias("__b1"), F.max("length").alias("__length"))
+    # Place in the first tile, and what is left for the next.
+    d = ranges.where(f"NOT {long}").withColumn("__at", F.expr(f"if({start} >= 1 AND {end} >= {start}, cast({start} - 1 AS bigint), null)"))
+    d = d.withColumn("__n", F.expr(f"cast({end} - {start} + 1 AS int)"))
+    # Rows without a place are spread over tiles that are not there.
+    d = d.withColumn("__tile", F.coalesce(F.expr(f"__at div {tile}"), -2 - F.pmod(F.xxhash64(*ranges.columns), F.lit(1 << 20))))
+    hit = d.join(two, (d["chrom"] == two["__c"]) & (d["__tile"] == two["__t"]), "left")
+    first = f"coalesce(substring(__b0, cast(__at % {tile} + 1 AS int), __n), '')"
+    rest = f"if(__at % {tile} + __n > {tile}, coalesce(substring(__b1, 1, cast(__at % {tile} + __n - {tile} AS int)), ''), '')"
+    short = hit.select(*ranges.columns, F.expr(f"if(__at + __n <= __length, concat({first}, {rest}), '') AS ref_seq"))
+    far = ranges.where(long)
+    if far.isEmpty():
+        return short
+    cut = far.select(*key, "chrom", F.col(start).cast("bigint").alias("__s"), F.col(end).cast("bigint").alias("__e")).distinct()
+    cut = cut.withColumn("tile", F.explode(F.expr(f"sequence((__s - 1) div {tile}, (__e - 1) div {tile})")))
+    head = f"(tile * {tile} + 1)"
+    part = F.expr(f"substring(bases, cast(greatest(__s, {head}) - {head} + 1 AS int), cast(least(__e, {head} + {tile} - 1) - greatest(__s, {head}) + 1 AS int))")
+    parts = cut.join(tiles, ["chrom", "tile"]).where("__e <= length").select(*key, "tile", part.alias("b"))
+    seq = parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "b"))), lambda x: x["b"]), "").alias("ref_seq"))
+    return short.unionByName(far.join(seq, key, "left").withColumn("ref_seq", F.coalesce("ref_seq", F.lit(""))))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
