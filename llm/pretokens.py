@@ -82,10 +82,11 @@ class PieceEncoder:
     """Packed ids of whole texts by way of their pieces, and of the pieces by way of their pre-tokens.
 
     `split` gives the pre-tokens of a string and `encode` the ids of each of a list of them.  Where
-    `whole` is given, only strings that `plain` matches are split; the others are encoded whole."""
+    `whole` is given, only strings that `plain` matches are split; the others are encoded whole.  `runs`, where
+    an encoder has it, gives the ids of pre-tokens joined from each that begins with a space to the next."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]] | None = None, plain: re.Pattern | None = None, most_bytes: int = CACHE_BYTES):
-        self.split, self.whole = split, whole
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]] | None = None, plain: re.Pattern | None = None, most_bytes: int = CACHE_BYTES, runs: Callable[[list[str]], list[bytes]] | None = None):
+        self.split, self.whole, self.runs = split, whole, runs
         self.plain = plain.fullmatch if plain else None
         self.tokens, self.pieces = Cache(encode, most_bytes), Cache(self._pieces, most_bytes)
 
@@ -107,6 +108,13 @@ class PieceEncoder:
         out: list = [None] * len(new)
         if solid:
             cut = self.split(" " + " ".join([new[i] for i in solid]))
+            if self.runs:
+                made = self.runs(cut)
+                if len(solid) == len(new):
+                    return made
+                for i, ids in zip(solid, made, strict=True):
+                    out[i] = ids
+        if solid and not self.runs:
             table = self.tokens.get(set(cut))
             ids, begin = [table[t] for t in cut], [i for i, t in enumerate(cut) if t[0] == " "]
             for i, a, b in zip(solid, begin, [*begin[1:], len(cut)]):

@@ -10,9 +10,11 @@ one bucket, a few bit probes and one slot, however many documents there are.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,15 @@ _WORKER: dict = {}
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
 
 
+def separator(model: dict) -> int | None:
+    """A control byte of which plain strings have none and that no merge of a BPE model (of a tokenizer file) touches; none where the model's ids hang on more than merges."""
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None
+    used = set().union(*("".join(m) for m in model["merges"]))
+    characters = byte_characters()
+    return next((b for b in range(9) if characters[b] not in used and characters[b] in model["vocab"]), None)
+
+
 class _Encoder:
     """Ids as the library gives them for whole texts.  Texts that hold an added token are encoded whole, as a cut at a space may change the ids around it."""
 
@@ -43,10 +54,34 @@ class _Encoder:
 
         t = Tokenizer.from_str(blob)
         model, characters = t.model, dict(enumerate(byte_characters()))
+        given = json.loads(blob)["model"]
+        mark = separator(given)
         self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         self.whole = lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
         one = lambda x: packed([y.id for y in model.tokenize(x.encode().decode("latin-1").translate(characters))])
-        self.pieces = PieceEncoder(regex.compile(pattern).findall, lambda tokens: [one(x) for x in tokens], self.whole, _PLAIN)
+        bare = Tokenizer(model)
+        at = None if mark is None else given["vocab"][characters[mark]]
+
+        spaced = np.zeros(t.get_vocab_size(), dtype=bool)
+        spaced[[i for x, i in given["vocab"].items() if x.startswith(characters[32])]] = True
+
+        def coded(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of pre-tokens one after the other, and where each begins.  They go to the model some dozens at a time, as one word with a mark between them that no merge crosses."""
+            rows = [chr(mark).join(tokens[i : i + 64]).encode().decode("latin-1").translate(characters) for i in range(0, len(tokens), 64)]
+            ids = np.fromiter(chain.from_iterable(chain(e.ids, (at,)) for e in bare.encode_batch_fast(rows, add_special_tokens=False)), np.uint32)
+            ends = np.flatnonzero(ids == at)
+            return ids[ids != at], np.r_[0, ends[:-1] + 1 - np.arange(1, len(ends))] if len(ends) else ends
+
+        def blobs(ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+            data, first = ids.tobytes(), (first * 4).tolist()
+            return [data[a:b] for a, b in zip(first, [*first[1:], len(data)])]
+
+        def runs(tokens: list[str]) -> list[bytes]:
+            ids, first = coded(tokens)
+            return blobs(ids, first[spaced[ids[first]]])
+
+        whole_tokens = (lambda tokens: [one(x) for x in tokens]) if mark is None else lambda tokens: blobs(*coded(tokens))
+        self.pieces = PieceEncoder(regex.compile(pattern).findall, whole_tokens, self.whole, _PLAIN, runs=None if mark is None else runs)
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         apart = np.zeros(len(column), dtype=bool)

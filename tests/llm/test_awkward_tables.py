@@ -54,3 +54,24 @@ def test_shards_on_disk(spark, tmp_path):
     sharding.write_shards(d, [1.0, 2.0, 1.0], str(tmp_path / "s"))
     back = {r.doc_id: r.shard for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert back == {r.doc_id: r.shard for r in sharding.assign(d, [1.0, 2.0, 1.0]).collect()} and len(back) == 500
+
+
+def test_token_files_join_pretokens_by_a_mark():
+    """New pre-tokens go to the model many at a time, with a mark between them that no merge crosses, and have the library's ids."""
+    import json
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from llm.token_files import _Encoder, separator
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    blob = open(path, encoding="utf-8").read()
+    model = json.loads(blob)["model"]
+    assert separator(model) is not None and separator(model | {"ignore_merges": True}) is None
+    texts = ["", " ", "a", "a  b\n\nc, d's 12345", " ".join(f"w{i}x,é{i * 7919}" for i in range(700)), "\x00 a\x00b \x01", "你好 ẃ x y", "tail  ", "\tq r"]
+    enc, whole = _Encoder(blob, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    assert enc.pieces.runs is not None
+    ids, off = enc.encode_column(pa.array([*texts, None]))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [*(whole.encode(t, add_special_tokens=False).ids for t in texts), []]
