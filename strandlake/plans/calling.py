@@ -203,6 +203,7 @@ def call_variants(alignments: DataFrame, tiles: DataFrame, snps: DataFrame, gaps
 
 def vcf_rows(calls: DataFrame, runs: DataFrame, gaps: DataFrame, tiles: DataFrame, params: CallerParams = CallerParams()) -> DataFrame:
     """Calls (call_id unique) with depth (runs) at the record's position, assembly-gap flag and the reference bases of tiles, as VCF columns."""
-    d = coverage.depth_at(vcf_out.output_span(_as_calls(calls)), runs).withColumnRenamed("depth", "support")
-    d = intervals.gap_flag(d, gaps, ["call_id"], share=params.gap_share)
-    return vcf_out.format_rows(substring_at(tiles, d, ["call_id"], "ref_start", "ref_end"))
+    # What looks at the calls before it is run comes first, on the calls as they are.
+    d = vcf_out.output_span(intervals.gap_flag(_as_calls(calls), gaps, share=params.gap_share))
+    d = substring_at(tiles, d, ["call_id"], "ref_start", "ref_end")
+    return vcf_out.format_rows(coverage.depth_at(d, runs).withColumnRenamed("depth", "support"))
