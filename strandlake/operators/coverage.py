@@ -29,7 +29,8 @@ def tiled(blocks: DataFrame, tile: int = TILE) -> DataFrame:
 
 def coverage_runs(blocks: DataFrame, tile: int = TILE) -> DataFrame:
     """chrom, start_pos, end_pos, depth of every maximal run of positive depth inside a tile (sweep line)."""
-    ends = tiled(blocks, tile).select("chrom", "tile", F.explode(F.expr("array(named_struct('p', start_pos, 'd', 1L), named_struct('p', end_pos + 1, 'd', -1L))")).alias("e"))
+    # Blocks are dealt to their tiles once; both ends, their sums and the sweep follow there.
+    ends = tiled(blocks, tile).repartition("chrom", "tile").select("chrom", "tile", F.explode(F.expr("array(named_struct('p', start_pos, 'd', 1L), named_struct('p', end_pos + 1, 'd', -1L))")).alias("e"))
     steps = ends.groupBy("chrom", "tile", F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d")).where("d <> 0")
     w = Window.partitionBy("chrom", "tile").orderBy("p")
     runs = steps.select("chrom", F.col("p").alias("start_pos"), (F.lead("p").over(w) - 1).alias("end_pos"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
