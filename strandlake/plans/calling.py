@@ -175,17 +175,12 @@ def cnv_records(calls: DataFrame, snps: DataFrame, runs: DataFrame, means: DataF
     """JSON objects of saved copy-number calls (region_id, chrom, start_pos, end_pos, sv_type): see vcf_out.cnv_json; write_json_array makes a file of them.
 
     The call and both flanks are observed alike; the model runs over the call itself.  A flank of no length has no observations."""
-    spans = reports.flanks(calls, contigs).join(calls.select("region_id", "chrom"), "region_id").where("section = 'sv' OR start_pos < end_pos")
-    key = F.struct("region_id", "section")
-    named = spans.withColumn("key", key).select(F.to_json("key").alias("region_id"), "chrom", "start_pos", "end_pos")
-    obs = observations.observations(named, snps, runs, means, params.sample, params.pfb_match, contigs)
-    obs = stored(obs.withColumn("key", F.from_json("region_id", f"region_id {dict(calls.dtypes)['region_id']}, section string")).select("key.*", *(c for c in obs.columns if c != "region_id")))
-    best = stored(hmm.viterbi_blocks(obs.where("section = 'sv'"), model))
-    states = best.select("region_id", F.explode(F.arrays_zip("t", "states")).alias("x")).select("region_id", F.lit("sv").alias("section"), F.col("x.t").alias("t"), F.col("x.states").alias("state"))
-    # A written table of paths is small in its file and a hundred times that with one row per step: it must not be broadcast.
-    seen = obs.withColumn("t", F.col("t").cast("bigint")).join(states.hint("merge"), ["region_id", "section", "t"], "left")
-    scored = calls.join(best.where("likelihood IS NOT NULL").select("region_id", "likelihood").hint("merge"), "region_id")
-    return vcf_out.cnv_json(scored, seen)
+    spans = stored(reports.flanks(calls, contigs).where("section = 'sv' OR start_pos < end_pos"))
+    named = calls.select("region_id", "chrom", "sv_type", F.col("start_pos").alias("call_start"), F.col("end_pos").alias("call_end"))
+    # Tables of calls are small in a file and not in memory: they must not be broadcast.
+    spans = spans.join(named.hint("merge"), "region_id")
+    parts = observations.packed(spans, snps, runs, means, params.sample, params.pfb_match, contigs, ("region_id", "section"), ("chrom", "call_start", "call_end", "sv_type"))
+    return vcf_out.cnv_json(vcf_out.cnv_objects(parts, model))
 
 
 def saved_records(made: dict[str, DataFrame], snps: DataFrame, model: hmm.Model, contigs: DataFrame, params: CallerParams = CallerParams()) -> DataFrame:
