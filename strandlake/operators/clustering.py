@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from . import neighbours
 from .store import components, parts_for, stored
 
 
-def dbscan_1d(points: DataFrame, by: list[str], x: str, key: str, eps: int = 100, min_points: int = 5, tile: int = 1 << 16) -> DataFrame:
+def dbscan_1d(points: DataFrame, by: list[str], x: str, key: str, eps: int = 100, min_points: int = 5, tile: int = 1 << 16, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """points plus cluster (0, 1, ... by position in each `by` group; -2 noise).
 
     Core points have min_points within eps, themselves included; cores at most eps apart join; a
     border point belongs to the cluster of the nearest core on the right, else on the left.
     Every tile of positions is judged on its own with the points up to 2 * eps around it; the
-    number of clusters that start in the tiles before comes from one row per tile."""
+    number of clusters that start in the tiles before comes from one row per tile.  Those rows and the
+    labels both read what was found of the points, for which `keep` may be `store.stored`."""
     width = max(tile, 4 * eps)
     at = lambda e: f"cast(floor(({e}) / {float(width)!r}D) AS bigint)"
     d = points.withColumn("__t", F.explode(F.expr(f"array_distinct(array({at(f'{x} - {2 * eps}')}, {at(x)}, {at(f'{x} + {2 * eps}')}))")))
@@ -31,7 +34,7 @@ def dbscan_1d(points: DataFrame, by: list[str], x: str, key: str, eps: int = 100
     d = d.withColumn("__id", F.sum(F.expr("if(__own, __new, 0)")).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("__left", F.last("__core", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("__right", F.last(F.when(F.col("__core").isNotNull(), F.struct("__core", "__new")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    own = d.where("__own")
+    own = keep(d.where("__own").select(*points.columns, "__t", "__core", "__id", "__new", "__left", "__right"))
     starts = own.groupBy(*group).agg(F.sum("__new").alias("__s"))
     before = starts.select(*group, F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     label = F.expr(

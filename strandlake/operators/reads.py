@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +70,7 @@ def cigar_candidates(alignments: DataFrame, contigs: DataFrame | None = None) ->
 
 def _operations(cigars: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, code (a byte) and length of every operation of a column of CIGAR strings, by their digits' places."""
-    column = pa.compute.fill_null(cigars.cast(pa.large_binary()), b"")
+    column = pc.fill_null(cigars.cast(pa.large_binary()), b"")
     _, off, data = column.buffers()
     off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
@@ -106,6 +106,29 @@ def aligned_blocks(alignments: DataFrame) -> DataFrame:
     return alignments.select("chrom", F.col("start_pos").cast("bigint").alias("start_pos"), "cigar").where("start_pos IS NOT NULL").mapInArrow(run, f"chrom {kind}, start_pos bigint, end_pos bigint")
 
 
+def split_reads(alignments: DataFrame) -> DataFrame:
+    """qname, chrom, flag, mapq, start_pos, aln_id of the alignments that pass the split-read filter, with end_pos, query_start and query_end: those of `with_ends` and `query_span`, as sums over all operations of a batch at once."""
+    kinds = dict(alignments.dtypes)
+    kept = ("qname", "chrom", "flag", "mapq", "start_pos", "aln_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, op, n = _operations(batch.column(len(kept)))
+            is_in = lambda codes: np.isin(op, np.frombuffer(codes, np.uint8))
+            total = lambda used: np.bincount(row[used], n[used], batch.num_rows).astype(np.int64)
+            # Bases of the read before each operation of its row: clips count until there are any.
+            matched = np.cumsum(is_in(b"MI=X"))
+            before = np.r_[0, matched][np.searchsorted(row, row)] if len(row) else matched
+            none = batch.column(len(kept)).is_null().to_numpy(zero_copy_only=False)
+            size = pc.max_element_wise(pa.array(total(is_in(b"MDN=X"))), 1)
+            end = pc.subtract(pc.add(batch.column(4).cast(pa.int64()), size), 1)
+            span = [pa.array(total(used), mask=none) for used in (is_in(b"S") & (matched == before), is_in(b"MIS=X"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), end, *span], names=[*kept, "end_pos", "query_start", "query_end"])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "end_pos bigint, query_start bigint, query_end bigint"])
+    return alignments.where((F.col("flag").bitwiseAND(0x704) == 0) & (F.col("mapq") >= MIN_MAPQ)).select(*kept, "cigar").mapInArrow(run, schema)
+
+
 def split_branches(alignments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Primary and supplementary alignments that pass the split-read filter."""
     ok = alignments.where((F.col("flag").bitwiseAND(0x704) == 0) & (F.col("mapq") >= MIN_MAPQ))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import clustering, intervals, reads
@@ -79,8 +79,9 @@ def star_groups(primaries: DataFrame) -> DataFrame:
     reads that overlap it.  The groups come from a blocked join of seeds and reads."""
     cols = ("chrom", "qname", "start_pos", "end_pos")
     pairs = intervals.overlap_pairs(seed_reads(primaries.select(*cols)), primaries.select(*cols), "qname", 1 << 14).select("chrom", F.col("a_id").alias("grp"), F.col("b_id").alias("qname"))
-    size = pairs.groupBy("chrom", "grp").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("chrom", "grp")
-    return pairs.join(size, ["chrom", "grp"], "left_semi")
+    # A group is the reads over one seed.
+    size = F.count(F.lit(1)).over(Window.partitionBy("chrom", "grp"))
+    return pairs.withColumn("__n", size).where("__n > 1").select("chrom", "grp", "qname")
 
 
 def split_read_calls(alignments: DataFrame, eps: int = 100, min_points: int = 5, min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH) -> DataFrame:
@@ -88,15 +89,18 @@ def split_read_calls(alignments: DataFrame, eps: int = 100, min_points: int = 5,
 
     alignments: chrom, qname, flag, mapq, start_pos, end_pos, query_start, query_end, aln_id (of several
     primaries of a read on a contig the one of the greatest aln_id counts)."""
+    # What several branches read is written once: reads' ends, groups, points and their clusters are not made again for each.
     primary, extra = reads.split_branches(alignments)
     cols = ("start_pos", "end_pos", "query_start", "query_end", "flag")
+    extra = stored(extra.select("chrom", "qname", *cols))
     p = primary.join(extra.select("qname").distinct(), "qname", "left_semi")
-    p = p.groupBy("chrom", "qname").agg(F.max_by(F.struct(*cols), "aln_id").alias("r")).select("chrom", "qname", "r.*")
-    members = star_groups(p).join(p.select("chrom", "qname", *(F.col(c).alias(f"p_{c}") for c in cols)), ["chrom", "qname"])
+    p = stored(p.groupBy("chrom", "qname").agg(F.max_by(F.struct(*cols), "aln_id").alias("r")).select("chrom", "qname", "r.*"))
+    members = stored(star_groups(p).join(p.select("chrom", "qname", *(F.col(c).alias(f"p_{c}") for c in cols)), ["chrom", "qname"]))
     both = members.join(extra.select("chrom", "qname", *(F.col(c).alias(f"s_{c}") for c in cols)), ["chrom", "qname"])
     both = both.withColumn("opposite", F.expr("(p_flag & 16) <> (s_flag & 16)"))
     far = lambda a: f"greatest(0, greatest(s_{a}start{'_pos' if not a else ''}, p_{a}start{'_pos' if not a else ''}) - least(s_{a}end{'_pos' if not a else ''}, p_{a}end{'_pos' if not a else ''}))"
     both = both.withColumn("read_dist", F.expr(f"if(opposite, null, if(p_start_pos < s_start_pos, 1, -1) * {far('query_')})")).withColumn("ref_dist", F.expr(f"if(opposite, null, {far('')})"))
+    both = stored(both.select("chrom", "grp", "qname", "opposite", "s_start_pos", "s_end_pos", "read_dist", "ref_dist"))
     votes = members.select("chrom", "grp", "qname").join(both.where("opposite").select("chrom", "grp", "qname").distinct().withColumn("o", F.lit(1)), ["chrom", "grp", "qname"], "left")
     votes = votes.groupBy("chrom", "grp").agg((F.sum(F.coalesce("o", F.lit(0))) / F.count(F.lit(1)) > 0.5).alias("inversion"))
     # All six point sets in one table, clustered side by side.
@@ -104,11 +108,11 @@ def split_read_calls(alignments: DataFrame, eps: int = 100, min_points: int = 5,
     points = of(members, ("ps", "p_start_pos"), ("pe", "p_end_pos")).unionByName(of(both, ("ss", "s_start_pos"), ("se", "s_end_pos"), ("rd", "read_dist"), ("fd", "ref_dist"))).where("x IS NOT NULL")
     by = ["chrom", "grp", "kind"]
     # Equal points are alike, so their order among themselves does not matter.
-    labelled = clustering.dbscan_1d(points, by, "x", "x", eps, min_points)
-    best = clustering.largest_cluster(labelled, by)
+    labelled = stored(clustering.dbscan_1d(points, by, "x", "x", eps, min_points, keep=stored).where("cluster >= 0"))
+    best = stored(clustering.largest_cluster(labelled, by))
     median = clustering.upper_median(labelled.join(best, [*by, "cluster"]), by, "x").join(best, by)
     wide = median.groupBy("chrom", "grp").pivot("kind", ["ps", "pe", "ss", "se", "rd", "fd"]).agg(F.first("median").alias("m"), F.first("n").alias("n"))
-    d = wide.join(votes, ["chrom", "grp"]).where("ps_m IS NOT NULL OR pe_m IS NOT NULL")
+    d = stored(wide.join(votes, ["chrom", "grp"]).where("ps_m IS NOT NULL OR pe_m IS NOT NULL"))
     size = "greatest(coalesce(ps_n, 0), coalesce(pe_n, 0))"
     d = d.withColumn("p_size", F.expr(size)).withColumn("s_size", F.expr("greatest(coalesce(ss_n, 0), coalesce(se_n, 0))"))
     # Distances: an insertion where the read has more between the parts, unknown where the reference has.

@@ -146,7 +146,7 @@ def final_calls(cigar: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def split_calls_of(alignments: DataFrame) -> DataFrame:
-    return _as_calls(split_calls.split_read_calls(alignments))
+    return _as_calls(split_calls.split_read_calls(reads.split_reads(alignments)))
 
 
 def call_set(alignments: DataFrame, snps: DataFrame, model: hmm.Model, params: CallerParams = CallerParams(), contigs: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -156,15 +156,15 @@ def call_set(alignments: DataFrame, snps: DataFrame, model: hmm.Model, params: C
     ends and read spans come from the CIGAR.  snps: chrom, pos, baf, pfb (null where the population's
     frequency is not known).  Candidates of each kind are merged, their copy number is predicted from
     depth and SNPs, and all are merged once more."""
-    alignments = reads.with_ends(reads.query_span(alignments)).withColumnsRenamed({"q_start": "query_start", "q_end": "query_end"})
     runs = stored(read_depth(alignments))
     means = filters.contigs_with_reads(coverage.mean_coverage(runs))
     seen = lambda calls: observations.observations(
         calls.withColumnRenamed("call_id", "region_id"), snps, runs, means, params.sample, params.pfb_match, contigs
     )
     cigar = stored(cigar_calls(alignments, params, means, contigs))
-    # Only calls of the model's least length are looked at.
-    cigar = stored(cigar_copy_numbers(cigar, seen(filters.long_enough(cigar, params.min_cnv)), model, params))
+    # Only calls of the model's least length are looked at; the model and the vote both read their observations.
+    looked_at = stored(seen(filters.long_enough(cigar, params.min_cnv)))
+    cigar = stored(cigar_copy_numbers(cigar, looked_at, model, params))
     split = stored(split_calls_of(alignments))
     obs = stored(seen(split))
     split = stored(split_copy_numbers(split, obs, model))
