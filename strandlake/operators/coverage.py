@@ -27,14 +27,53 @@ def tiled(blocks: DataFrame, tile: int = TILE) -> DataFrame:
     return cut.select("chrom", "tile", F.greatest("start_pos", F.expr(f"tile * {tile}")).alias("start_pos"), F.least("end_pos", F.expr(f"(tile + 1) * {tile} - 1")).alias("end_pos"))
 
 
+def _swept(table: pa.Table) -> pa.RecordBatch:
+    """Runs of positive depth of blocks (chrom, tile, start_pos, end_pos) whose tiles follow each other and are whole."""
+    chrom, tile, start, end = (c.chunk(0) for c in table.combine_chunks().columns)
+    start, end = (x.to_numpy().astype(np.int64) for x in (start, end))
+    new = _tile_starts(chrom, tile.to_numpy())
+    group = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(start)]))
+    p, of = np.concatenate([start, end + 1]), np.concatenate([group, group])
+    order = np.lexsort((p, of))
+    p, of, step = p[order], of[order], np.where(order < len(start), 1, -1)
+    heads = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (of[1:] != of[:-1])])
+    # Steps of a tile sum up to nothing, so the sum goes on over tiles; places without a step end no run.
+    step = np.add.reduceat(step, heads)
+    p, of, step = p[heads][step != 0], of[heads][step != 0], step[step != 0]
+    depth = np.cumsum(step)
+    at = np.flatnonzero(depth > 0)
+    return pa.RecordBatch.from_arrays([chrom.take(pa.array(new[of[at]])), pa.array(p[at]), pa.array(p[at + 1] - 1), pa.array(depth[at])], names=["chrom", "start_pos", "end_pos", "depth"])
+
+
+def _tile_starts(chrom: pa.Array, tile: np.ndarray) -> np.ndarray:
+    code = chrom.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (tile[1:] != tile[:-1])])
+
+
 def coverage_runs(blocks: DataFrame, tile: int = TILE) -> DataFrame:
-    """chrom, start_pos, end_pos, depth of every maximal run of positive depth inside a tile (sweep line)."""
-    # Blocks are dealt to their tiles once; both ends, their sums and the sweep follow there.
-    ends = tiled(blocks, tile).repartition("chrom", "tile").select("chrom", "tile", F.explode(F.expr("array(named_struct('p', start_pos, 'd', 1L), named_struct('p', end_pos + 1, 'd', -1L))")).alias("e"))
-    steps = ends.groupBy("chrom", "tile", F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    w = Window.partitionBy("chrom", "tile").orderBy("p")
-    runs = steps.select("chrom", F.col("p").alias("start_pos"), (F.lead("p").over(w) - 1).alias("end_pos"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return runs.where("depth > 0")
+    """chrom, start_pos, end_pos, depth of every maximal run of positive depth inside a tile (sweep line).
+
+    Blocks are dealt to their tiles once; a task sweeps the tiles of a batch at once and holds those of the last one until the tile is whole."""
+    d = tiled(blocks, tile).select("chrom", "tile", F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+            if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != first:
+                yield _swept(pa.Table.from_batches(held))
+                held = []
+            cut = int(_tile_starts(batch.column(0), batch.column(1).to_numpy())[-1])
+            if cut:
+                yield _swept(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _swept(pa.Table.from_batches(held))
+
+    return d.repartition("chrom", "tile").sortWithinPartitions("chrom", "tile").mapInArrow(run, f"chrom {dict(blocks.dtypes)['chrom']}, start_pos bigint, end_pos bigint, depth bigint")
 
 
 def mean_coverage(runs: DataFrame) -> DataFrame:
